@@ -65,9 +65,10 @@ def scope_facts(scopes: DataFrame, surveys: DataFrame, claims: DataFrame) -> Dat
     """All facts of each scope in one row.
 
     ``scopes`` holds ``scope_key`` and ``effective``; the cubes carry ``_source_id``. Every
-    intermediate table has at most scopes x categories rows.
+    intermediate table has at most scopes x categories rows. The distinct scopes are taken
+    from the questions once.
     """
-    distinct = scopes.dropDuplicates(["scope_key"])
+    distinct = measure(scopes.dropDuplicates(["scope_key"]), ["scope_key"]).table
     members = distinct.select("scope_key", F.explode("effective").alias("_source_id"))
     seen = surveys.join(members, "_source_id")
     claimed = claims.join(members, "_source_id")
@@ -190,9 +191,10 @@ def retrieved_records(
         for source, df in frames.items()
     ]
     rows = union_aligned(parts)
-    best = retrieve_many(
-        rows, questions, "key", k, text=F.col("text"), source="source", scope=scope
-    )
+    best = measure(
+        retrieve_many(rows, questions, "key", k, text=F.col("text"), source="source", scope=scope),
+        ["source", "key"],
+    ).table
     chosen = measure(best.select("source", "key").distinct(), ["source", "key"])
     texts = attach(rows.select("source", "key", "record"), chosen, "inner")
     lines = best.join(texts, ["source", "key"])

@@ -117,8 +117,9 @@ def retrieve_many(
         vocabulary = sorted({w for _, unit_words, _ in asked for w in unit_words})
         matching = narrow
         if len(vocabulary) <= JVM_WORDS:
+            # No filter on the result: it would make the tokens be computed twice.
             common = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
-            matching = narrow.withColumn("words", common).filter(F.size("words") > 0)
+            matching = narrow.withColumn("words", common)
         found = matching.mapInPandas(
             _best_rows(asked, k), f"unit string, overlap int, place int, source string, key {key_type}"
         )

@@ -43,7 +43,8 @@ def answer_questions(
     facts = scope_facts(scopes, surveys, claims)
     keys = {source: sources.specs[source].order_key for source in frames}
     records = retrieved_records(units, frames, keys, k)
-    active = {name: value for name, value in asdict(spec).items() if value not in (None, "", (), [], {}, False)}
+    unset = asdict(FilterSpec())
+    active = {name: value for name, value in asdict(spec).items() if value != unset[name]}
     return contexts(units, facts, records, json.dumps(active, ensure_ascii=False, default=str))
 
 

@@ -148,7 +148,7 @@ def filtered_mean_by_country(spark, sf):
 _LINE_COLUMNS = ("l_orderkey", "l_linenumber", "quantity", "satisfaction", "discount", "tax", "constant", "linestatus")
 
 
-def _missing_sql(view_name: str, columns, source: str = "source") -> str:
+def missing_sql(view_name: str, columns, source: str = "source") -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT {source} AS source, '{c}' AS "column", count(*) - count({c}) AS missing_count, count(*) AS row_count,
           round((count(*) - count({c})) / count(*) * 100, 2) AS missing_rate_pct FROM {view_name} GROUP BY 1"""
@@ -156,22 +156,32 @@ def _missing_sql(view_name: str, columns, source: str = "source") -> str:
     )
 
 
-@query("missing_report", _missing_sql("lines", _LINE_COLUMNS), uses=("lines",))
+@query("missing_report", missing_sql("lines", _LINE_COLUMNS), uses=("lines",))
 def missing_report_query(spark, sf):
     return missing_report(view(spark, sf, "lines"), ["source"]).drop("dtype")
 
 
-def _raw_names(branch: str) -> list[str]:
+def raw_names(branch: str) -> list[str]:
     by_canonical = {c: n for n, c in presets.COLUMN_MAPS[branch].items()}
     return [by_canonical[c] for c in presets.CANONICAL_COLUMNS if c in by_canonical]
 
 
+def numeric_names(branch: str) -> list[str]:
+    """The numeric raw columns of a branch: its details, and the score where it is a number."""
+    if branch == "Maroc":
+        return ["poids_kg", "prix_livraison_eur"]
+    names = {c: n for n, c in presets.COLUMN_MAPS[branch].items()}
+    details = ["poids_kg", "prix_livraison_eur", "delai_livraison", "relation_livreur", "etat_colis", "service_client"]
+    score = ["satisfaction_globale"] if branch in ("France", "Canada") else []
+    return [names[c] for c in details + score]
+
+
 _RAW_VIEWS = tuple(f"raw_{b.lower()}" for b in BRANCHES)
 
 
 @query(
     "missing_report_unlike_sources",
-    "\nUNION ALL\n".join(_missing_sql(f"raw_{b.lower()}", _raw_names(b), f"'{b}'") for b in BRANCHES),
+    "\nUNION ALL\n".join(missing_sql(f"raw_{b.lower()}", raw_names(b), f"'{b}'") for b in BRANCHES),
     uses=_RAW_VIEWS,
 )
 def missing_report_unlike_sources(spark, sf):
@@ -202,8 +212,8 @@ def profile_sources(spark, sf):
 @query(
     "structure_report",
     "\nUNION ALL\n".join(
-        f"""SELECT '{b}' AS source, count(*) AS rows, {len(_raw_names(b))} AS columns,
-          {_missing_total(_raw_names(b))} AS total_missing,
+        f"""SELECT '{b}' AS source, count(*) AS rows, {len(raw_names(b))} AS columns,
+          {_missing_total(raw_names(b))} AS total_missing,
           {f"'{t}'" if (t := {'Canada': 'overall_satisfaction', 'France': 'satisfaction_globale'}.get(b)) else 'CAST(NULL AS VARCHAR)'} AS target_column,
           CAST(0 AS BIGINT) AS duplicate_rows FROM raw_{b.lower()}"""
         for b in BRANCHES
@@ -279,13 +289,13 @@ _NUMERIC = {
     "France": ["poids_kg", "prix_livraison_eur", "delai_livraison", "relation_livreur", "etat_colis", "service_client"],
     "Canada": ["poids_kg", "prix_livraison_eur", "delivery_time", "delivery_person", "parcel_condition", "customer_service"],
 }
-_RAW_CORR = "\nUNION ALL\n".join(
+RAW_CORRELATIONS = "\nUNION ALL\n".join(
     _corr_sql(f"raw_{b.lower()}", t, _NUMERIC[b], f"'{b}'")
     for b, t in (("France", "satisfaction_globale"), ("Canada", "overall_satisfaction"))
 )
 
 
-@query("correlations_unlike_sources", _RAW_CORR, uses=("raw_france", "raw_canada"))
+@query("correlations_unlike_sources", RAW_CORRELATIONS, uses=("raw_france", "raw_canada"))
 def correlations_unlike_sources(spark, sf):
     return _rounded(correlations(raw_sources(spark, sf)))
 
@@ -293,7 +303,7 @@ def correlations_unlike_sources(spark, sf):
 @query(
     "prune_weak_columns",
     f"""SELECT *, CAST(0.2 AS DOUBLE) AS threshold, 'Pearson |r| < 0.2: faible correlation avec le target.' AS justification
-    FROM ({_RAW_CORR}) WHERE abs_r < 0.2 AND variable NOT IN ('taille_colis', 'fragile', 'poids_kg', 'prix_livraison_eur', 'statut_colis')""",
+    FROM ({RAW_CORRELATIONS}) WHERE abs_r < 0.2 AND variable NOT IN ('taille_colis', 'fragile', 'poids_kg', 'prix_livraison_eur', 'statut_colis')""",
     uses=("raw_france", "raw_canada"),
 )
 def prune_weak_columns(spark, sf):
@@ -302,14 +312,14 @@ def prune_weak_columns(spark, sf):
 
 @query(
     "low_correlation_candidates",
-    f"SELECT * FROM ({_RAW_CORR}) WHERE abs_r < 0.2 ORDER BY abs_r, source, variable LIMIT 40",
+    f"SELECT * FROM ({RAW_CORRELATIONS}) WHERE abs_r < 0.2 ORDER BY abs_r, source, variable LIMIT 40",
     uses=("raw_france", "raw_canada"),
 )
 def low_correlation_candidates_query(spark, sf):
     return low_correlation_candidates(_rounded(correlations(raw_sources(spark, sf))))
 
 
-def _bounds_sql(view_name: str, columns, source: str = "source") -> str:
+def bounds_sql(view_name: str, columns, source: str = "source") -> str:
     parts = []
     for c in columns:
         parts.append(
@@ -320,7 +330,7 @@ def _bounds_sql(view_name: str, columns, source: str = "source") -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-_OUTLIERS = """SELECT source, "column", count(*) AS valid_count, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outlier_count,
+OUTLIER_SQL = """SELECT source, "column", count(*) AS valid_count, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outlier_count,
     round(count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) / count(*) * 100, 2) AS outlier_rate_pct,
     round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3, round(any_value(q3 - q1), 6) AS iqr,
     round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS upper_bound
@@ -333,7 +343,7 @@ def _round_bounds(report):
 
 @query(
     "outlier_report",
-    _OUTLIERS.replace("{rows}", _bounds_sql("gaps", ["price", "balance", "rating"])),
+    OUTLIER_SQL.replace("{rows}", bounds_sql("gaps", ["price", "balance", "rating"])),
     uses=("gaps",),
 )
 def outlier_report_query(spark, sf):
@@ -342,7 +352,7 @@ def outlier_report_query(spark, sf):
 
 @query(
     "outlier_report_large_groups",
-    _OUTLIERS.replace("{rows}", _bounds_sql("lines", ["quantity", "satisfaction", "discount"])),
+    OUTLIER_SQL.replace("{rows}", bounds_sql("lines", ["quantity", "satisfaction", "discount"])),
     uses=("lines",),
 )
 def outlier_report_large_groups(spark, sf):
@@ -432,7 +442,7 @@ def cap_outliers_query(spark, sf):
       count(*) - count(priority) AS count_corrected, 'mode' AS method, any_value(mode) AS value
     FROM gaps g JOIN ({_MODES}) m ON g.source = m.source GROUP BY g.source
     UNION ALL SELECT source, "column", 'numeric_outlier', outlier_count, outlier_count, 'clip_iqr_bounds',
-      'bounds' FROM ({_OUTLIERS.replace("{rows}", _bounds_sql("gaps", ["price", "balance"]))}) WHERE outlier_count > 0""",
+      'bounds' FROM ({OUTLIER_SQL.replace("{rows}", bounds_sql("gaps", ["price", "balance"]))}) WHERE outlier_count > 0""",
     uses=("gaps",),
 )
 def correction_log_query(spark, sf):
@@ -472,7 +482,7 @@ def normalized_profiles_query(spark, sf):
 @query(
     "top_missing_columns",
     f"""SELECT source, "column", missing_count FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY missing_count DESC, "column") AS r
-    FROM ({_missing_sql("norm", _NORM_COLUMNS, "source_id")} UNION ALL {_missing_sql("claim", _CLAIM_COLUMNS, "'reclamations'")})) WHERE r <= 12""",
+    FROM ({missing_sql("norm", _NORM_COLUMNS, "source_id")} UNION ALL {missing_sql("claim", _CLAIM_COLUMNS, "'reclamations'")})) WHERE r <= 12""",
     uses=("norm", "claim"),
 )
 def top_missing_columns(spark, sf):

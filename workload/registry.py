@@ -104,7 +104,7 @@ RAW_SCORE = {
 }
 
 
-def _normalized(branch: str, raw: str | None = None) -> str:
+def normalized_sql(branch: str, raw: str | None = None) -> str:
     local = {canonical: name for name, canonical in presets.COLUMN_MAPS[branch].items()}
     score = f"CAST({RAW_SCORE[branch]} AS DOUBLE)"
     comment = "commentaire_global" if branch == "Maroc" else "CAST(NULL AS VARCHAR)"
@@ -138,7 +138,7 @@ def _standardized(branch: str) -> str:
 
 
 DERIVED = {
-    "norm": "\nUNION ALL\n".join(_normalized(b) for b in BRANCHES),
+    "norm": "\nUNION ALL\n".join(normalized_sql(b) for b in BRANCHES),
     "standard": "\nUNION ALL\n".join(_standardized(b) for b in BRANCHES),
     "claim": f"SELECT *, {CLAIM_PRODUCT_SQL} AS produit_global FROM claims",
 }
