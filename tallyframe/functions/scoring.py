@@ -4,38 +4,46 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
 from tallyframe import presets
 from tallyframe.functions.cast import num
-from tallyframe.functions.text import fold
+from tallyframe.functions.text import fold_present
 
 
 def lexicon_score(column: Column | str, lexicon: Mapping[str, tuple[str, ...]] = presets.LEXICON) -> Column:
-    """Score free text on five by phrases first, then by distinct whole-word hits."""
+    """Score free text on five by phrases first, then by distinct whole-word hits.
+
+    A strong phrase decides alone: 5 or 1. Otherwise 3 is neutral; a good word without a bad
+    one adds 1, two bad words or a single one without a good word take 1 away. Written as a
+    sum of flags instead of nested conditions, so that the folded text and the hits are each
+    computed once per row; a null text makes every flag null.
+    """
     raw = F.col(column) if isinstance(column, str) else column
-    text = fold(raw)
+    text = fold_present(raw)
+
+    def flag(condition: Column) -> Column:
+        return condition.cast("double")
+
+    # A whole-word hit is a maximal run of word characters that equals the word.
+    runs = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
     def phrase_in(name: str) -> Column:
-        return text.rlike("|".join(re.escape(phrase) for phrase in lexicon[name]))
+        return flag(reduce(Column.__or__, [text.contains(phrase) for phrase in lexicon[name]]))
 
     def hits(name: str) -> Column:
-        # Whole single words cannot overlap, so one pass finds each of them.
-        pattern = r"(?U)\b(?:" + "|".join(re.escape(word) for word in lexicon[name]) + r")\b"
-        return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        broken = [word for word in lexicon[name] if not re.fullmatch(r"\w+", word)]
+        if broken:
+            raise ValueError(f"lexicon words must be single words: {broken}")
+        return F.size(F.array_intersect(runs, F.array(*[F.lit(word) for word in lexicon[name]])))
 
+    best, worst = phrase_in("strong_positive"), phrase_in("strong_negative")
     good, bad = hits("positive"), hits("negative")
-    by_hits = (
-        F.when(bad >= 2, 2.0)
-        .when(bad > 0, F.when(good > 0, 3.0).otherwise(2.0))
-        .when(good > 0, 4.0)
-        .otherwise(3.0)
-    )
-    return F.when(
-        raw.isNotNull(),
-        F.when(phrase_in("strong_positive"), 5.0).when(phrase_in("strong_negative"), 1.0).otherwise(by_hits),
-    )
+    some_good, one_bad, two_bad = flag(good > 0), flag(bad == 1), flag(bad >= 2)
+    by_hits = 3 + some_good * (1 - one_bad - two_bad) - one_bad * (1 - some_good) - two_bad
+    return best * 5 + (1 - best) * (worst + (1 - worst) * by_hits)
 
 
 def in_range(column: Column, low: float, high: float) -> Column:
@@ -65,7 +73,10 @@ def rule_score(
     elif kind == "ordinal":
         score = lookup(column.cast("string"), rule["levels"])
     elif kind == "lexicon":
+        # Always a whole number from 1 to 5.
+        low, high = score_range
         score = lexicon_score(column, lexicon)
+        return score if low <= 1 and high >= 5 else in_range(score, low, high)
     else:
         raise ValueError(f"unknown score rule: {kind}")
     return in_range(score, *score_range)

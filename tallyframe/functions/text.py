@@ -30,11 +30,16 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
-def fold(column: Column | str) -> Column:
-    """Lower case without accents; null becomes the empty text."""
+def fold_present(column: Column | str) -> Column:
+    """Lower case without accents; null stays null."""
     source, target = _accent_tables()
     lowered = F.translate(F.lower(_col(column).cast("string")), source, target)
-    return F.coalesce(F.regexp_replace(lowered, r"\p{Mn}", ""), F.lit(""))
+    return F.regexp_replace(lowered, r"\p{Mn}", "")
+
+
+def fold(column: Column | str) -> Column:
+    """Lower case without accents; null becomes the empty text."""
+    return F.coalesce(fold_present(column), F.lit(""))
 
 
 def strip(column: Column | str) -> Column:

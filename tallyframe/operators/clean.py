@@ -83,9 +83,10 @@ def imputation_stats(
         keys,
     )
     asked = described.table.filter((F.col("method") == "median") & F.col("mean").isNotNull())
+    largest = asked.agg(F.max(F.col("row_count") - F.col("missing_before"))).first()[0] or 0
     asked = measure(asked.select(*keys), keys)
     medians = quantiles(
-        attach(numeric_values(tables, by, columns), asked, "inner"), keys, (0.5,), direct_values
+        attach(numeric_values(tables, by, columns), asked, "inner"), keys, (0.5,), direct_values, largest
     ).select(*keys, F.col("q0").alias("median"))
     value = F.when(F.col("method") == "median", F.col("median")).when(
         F.col("method") == "mean", F.col("mean")

@@ -221,7 +221,10 @@ def outlier_report(
     """Quartiles, fences at ``multiplier`` ranges, and the values strictly outside them."""
     values = numeric_values(tables, by, columns)
     keys = [*source_keys(tables, by), "column"]
-    quartiles = quantiles(values, keys, (0.25, 0.75), direct_values)
+    # Rows per source bound the values of each column; this pass reads the source key only.
+    rows = stacked(tables, by, lambda df, group: df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")))
+    largest = rows.agg(F.max("n")).first()[0] or 0
+    quartiles = quantiles(values, keys, (0.25, 0.75), direct_values, largest)
     span = F.col("q1") - F.col("q0")
     fences = measure(
         quartiles.select(

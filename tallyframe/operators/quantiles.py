@@ -52,14 +52,17 @@ def quantiles(
     keys: Sequence[str],
     probabilities: Sequence[float],
     direct_values: int = DIRECT_VALUES,
+    largest: int | None = None,
 ) -> DataFrame:
     """``keys``, ``valid_count`` and ``q0, q1, ...``: linearly interpolated quantiles.
 
-    ``values`` holds the keys and a non-null double ``value``.
+    ``values`` holds the keys and a non-null double ``value``. ``largest`` is an upper bound of
+    the group sizes, if the caller has counted already.
     """
     keys = list(keys)
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("valid_count"))
-    largest = sizes.agg(F.max("valid_count")).first()[0] or 0
+    if largest is None:
+        largest = sizes.agg(F.max("valid_count")).first()[0] or 0
     if largest > direct_values:
         return _interpolated(values, keys, sizes, probabilities, direct_values)
     probs = F.array(*[F.lit(float(p)) for p in probabilities])

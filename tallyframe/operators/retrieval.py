@@ -61,8 +61,9 @@ def retrieve(
     check_question(question, k)
     wanted = query_words(F.lit(question))
     overlap = F.size(F.array_intersect(words(record_text(df, columns)), wanted))
-    scored = df.withColumn("overlap", overlap).filter("overlap > 0")
-    return scored.orderBy(F.desc("overlap"), ref(order_key)).limit(k)
+    best = df.withColumn("overlap", overlap).orderBy(F.desc("overlap"), ref(order_key)).limit(k)
+    # Rows without a shared word sort last; dropping them here keeps one pass over the text.
+    return best.filter("overlap > 0")
 
 
 def question_units(questions: DataFrame, question: str = "question", scope: str | None = None) -> DataFrame:

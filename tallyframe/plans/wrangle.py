@@ -45,9 +45,28 @@ class Preset:
 
 @dataclass(frozen=True)
 class Wrangled:
+    """The normalized rows, what cleaning did, and the inputs of its stages.
+
+    ``logs`` were needed to clean and are at hand. The profiles of the raw data are built on
+    demand, as they cost passes of their own.
+    """
+
     tables: dict[str, DataFrame]
     consolidated: DataFrame
-    reports: dict[str, DataFrame]
+    logs: dict[str, DataFrame]
+    raw: dict[str, DataFrame]
+    pruned: dict[str, DataFrame]
+    imputed: dict[str, DataFrame]
+    preset: Preset
+
+    def structure(self) -> DataFrame:
+        return structure_report(self.raw, aliases=self.preset.aliases)
+
+    def missing(self) -> DataFrame:
+        return missing_report(self.raw)
+
+    def missing_comparison(self) -> DataFrame:
+        return compare_missing(self.pruned, self.imputed)
 
 
 def normalize(source: str, df: DataFrame, products: Lookup, preset: Preset = Preset()) -> DataFrame:
@@ -122,18 +141,12 @@ def wrangle(
     tables = {
         source: consolidated.filter(F.col(SOURCE) == source).drop(SOURCE) for source in frames
     }
-    return Wrangled(
-        tables,
-        consolidated,
-        {
-            "structure": structure_report(raw, aliases=preset.aliases),
-            "missing": missing_report(raw),
-            "correlations": found,
-            "removed_columns": weak,
-            "imputation": imputation,
-            "missing_comparison": compare_missing(pruned, imputed),
-            "outliers": bounds,
-            "corrections": corrections,
-            "normalization": audit,
-        },
-    )
+    logs = {
+        "correlations": found,
+        "removed_columns": weak,
+        "imputation": imputation,
+        "outliers": bounds,
+        "corrections": corrections,
+        "normalization": audit,
+    }
+    return Wrangled(tables, consolidated, logs, raw, pruned, imputed, preset)

@@ -60,15 +60,16 @@ def write_standardized(frames: Mapping[str, DataFrame], out: str) -> DataFrame:
     return audit
 
 
-def check_scores(
+def checked_scores(
     df: DataFrame,
     column: str = presets.SCORE_COLUMN,
     score_range: tuple[float, float] = presets.SCORE_RANGE,
-) -> None:
-    """Fail if any score lies outside the range; stops at the first one found."""
-    outside = df.filter(~F.col(column).between(*score_range)).limit(1)
-    if not outside.isEmpty():
-        raise ValueError("Scores hors intervalle")
+) -> DataFrame:
+    """The same rows; a score outside the range fails the job that reads them."""
+    score = F.col(column)
+    fine = score.isNull() | score.between(*score_range)
+    wrong = F.raise_error(F.concat(F.lit("Scores hors intervalle: "), score.cast("string"))).cast("double")
+    return df.withColumn(column, F.when(fine, score).otherwise(wrong))
 
 
 def write_normalized(
@@ -80,15 +81,14 @@ def write_normalized(
     """Write the normalized rows once, partitioned by source, plus the code reference.
 
     One partitioned table serves as both the per-source and the consolidated output: a
-    filter on the source column prunes to its folder. Nothing is written if a score is
-    out of range.
+    filter on the source column prunes to its folder. The range check rides along in the
+    writing job: a score out of range fails it, and nothing is committed.
     """
-    check_scores(consolidated)
     paths = {
         "table": f"{out}/normalized",
         "reference": f"{out}/product_reference",
     }
-    consolidated.write.partitionBy(source_column).parquet(paths["table"])
+    checked_scores(consolidated).write.partitionBy(source_column).parquet(paths["table"])
     reference.write.json(paths["reference"], ignoreNullFields=False)
     return paths
 
