@@ -108,7 +108,8 @@ def scope_facts(scopes: DataFrame, surveys: DataFrame, claims: DataFrame) -> Dat
 def summary_text() -> Column:
     """The answer that the facts alone allow, from the columns of ``scope_facts``.
 
-    Expects ``labels`` (array) and ``warning`` beside the facts.
+    Expects ``labels`` (array) and ``warning`` beside the facts. ``format_number`` rounds the
+    exact value half to even; ``format_string`` would round the printed one up.
     """
     joined = F.array_join("labels", " · ")
     heading = F.when(F.size("labels") == 1, "Source analysée").otherwise("Sources analysées")
@@ -120,20 +121,20 @@ def summary_text() -> Column:
     weakest = F.col("weakest_product")
     compared = F.transform(
         "by_country",
-        lambda x: F.format_string("- %s : %.2f / 5 (%d réponses)", x["label"], x["mean"], x["count"]),
+        lambda x: F.format_string("- %s : %s / 5 (%d réponses)", x["label"], F.format_number(x["mean"], 2), x["count"]),
     )
     surveys = F.when(
         F.col("mean").isNotNull(),
         F.concat_ws(
             "\n",
             F.concat(joined, F.lit(" · "), spaced, F.lit(" réponses")),
-            F.format_string("Satisfaction moyenne : %.2f / 5", "mean"),
-            F.format_string("Taux de notes >= 4 : %.1f %%", "good_rate_pct"),
+            F.format_string("Satisfaction moyenne : %s / 5", F.format_number("mean", 2)),
+            F.format_string("Taux de notes >= 4 : %s %%", F.format_number("good_rate_pct", 1)),
             F.when(
                 weakest.isNotNull(),
                 F.format_string(
-                    "Le produit avec la satisfaction moyenne la plus faible est %s avec %.2f / 5 (%d notes).",
-                    weakest["label"], weakest["mean"], weakest["count"],
+                    "Le produit avec la satisfaction moyenne la plus faible est %s avec %s / 5 (%d notes).",
+                    weakest["label"], F.format_number(weakest["mean"], 2), weakest["count"],
                 ),
             ),
             F.when(F.size("by_country") > 1, F.concat_ws("\n", F.lit("\nComparaison par pays :"), compared)),

@@ -521,31 +521,71 @@ _CORPUS = f"""SELECT question_id, question, CASE WHEN len(list_intersect(effecti
     THEN list_filter(effective, lambda x: x <> 'reclamations') ELSE effective END AS corpus FROM ({_SCOPED})"""
 
 
-@query(
-    "answer_rows",
-    f"""SELECT question_id, rank, overlap, source, key FROM (
+_RETRIEVED = f"""SELECT question_id, rank, overlap, source, key FROM (
       SELECT question_id, source_id AS source, key, count(*) AS overlap, row_number() OVER (PARTITION BY question_id
         ORDER BY count(*) DESC, any_value(list_position(corpus, source_id)), key) AS rank
       FROM (SELECT question_id, corpus, unnest({query_tokens_sql('question')}) AS w FROM ({_CORPUS})) q
       JOIN (SELECT source_id, id_unique AS key, unnest({tokens_sql(_ROW_WORDS)}) AS w FROM norm WHERE produit_global = 'EXPRESS'
         UNION ALL SELECT 'reclamations', colis_id, unnest({tokens_sql(_CLAIM_WORDS)}) FROM claim WHERE produit_global = 'EXPRESS') d
-      ON q.w = d.w AND list_contains(corpus, source_id) GROUP BY question_id, source_id, key) WHERE rank <= 8""",
-    uses=("questions", "norm", "claim"),
-)
+      ON q.w = d.w AND list_contains(corpus, source_id) GROUP BY question_id, source_id, key) WHERE rank <= 8"""
+
+
+@query("answer_rows", _RETRIEVED, uses=("questions", "norm", "claim"))
 def answer_rows(spark, sf):
     listed = _answers(spark, sf).select("question_id", F.inline("retrieved"))
     key = F.coalesce(F.get_json_object("record", "$.id_unique"), F.get_json_object("record", "$.colis_id"))
     return listed.select("question_id", "rank", "overlap", "source", key.alias("key"))
 
 
-@query("answer_summaries")
+_SUMMARIES = f"""WITH s AS ({_SCOPED}), m AS (SELECT question_id, unnest(effective) AS source_id FROM s),
+  n AS (SELECT question_id, norm.* FROM m JOIN norm ON norm.source_id = m.source_id WHERE produit_global = 'EXPRESS'),
+  c AS (SELECT question_id, claim.* FROM m JOIN claim ON m.source_id = 'reclamations' WHERE produit_global = 'EXPRESS'),
+  f AS (SELECT question_id, count(*) AS responses, round(avg(satisfaction_normalisee), 3) AS mean, count(satisfaction_normalisee) AS valid,
+      round(avg(CASE WHEN satisfaction_normalisee >= 4 THEN 1.0 WHEN satisfaction_normalisee IS NOT NULL THEN 0.0 END) * 100, 3) AS rate
+    FROM n GROUP BY question_id),
+  p AS (SELECT question_id, string_agg(printf('- %s : %.2f / 5 (%d réponses)', pays, round(a, 3), k), chr(10) ORDER BY a DESC, pays) AS lines, count(*) AS countries
+    FROM (SELECT question_id, pays, avg(satisfaction_normalisee) AS a, count(satisfaction_normalisee) AS k FROM n
+      WHERE satisfaction_normalisee IS NOT NULL GROUP BY question_id, pays) GROUP BY question_id),
+  g AS (SELECT question_id, sum(k) AS claims, string_agg(printf('- %s : %d', categorie_reclamation, k), chr(10) ORDER BY k DESC, categorie_reclamation) FILTER (r <= 5) AS lines
+    FROM (SELECT question_id, categorie_reclamation, count(*) AS k, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, categorie_reclamation) AS r
+      FROM c GROUP BY question_id, categorie_reclamation) GROUP BY question_id)
+  SELECT s.question_id, concat_ws(chr(10),
+    CASE WHEN len(effective) = 1 THEN 'Source analysée' ELSE 'Sources analysées' END, replace({_labels('effective')}, ' + ', ' · '), '', 'Réponse', '',
+    CASE WHEN mode = 'question_override' THEN 'Avertissement : La question mentionne ' || {_labels('mentioned')} || ' alors que l''interface sélectionne ' ||
+      {_labels('selected')} || '. L''analyse utilise le périmètre explicitement demandé dans la question.' || chr(10) END,
+    CASE WHEN mean IS NOT NULL THEN replace({_labels('effective')}, ' + ', ' · ') || ' · ' || replace(format('{{:,}}', responses), ',', ' ') || ' réponses' || chr(10) ||
+      printf('Satisfaction moyenne : %.2f / 5', mean) || chr(10) || printf('Taux de notes >= 4 : %.1f %%', rate) || chr(10) ||
+      printf('Le produit avec la satisfaction moyenne la plus faible est EXPRESS avec %.2f / 5 (%d notes).', mean, valid) END,
+    CASE WHEN countries > 1 THEN chr(10) || 'Comparaison par pays :' || chr(10) || p.lines END,
+    CASE WHEN claims > 0 THEN chr(10) || printf('Réclamations : %d', CAST(claims AS BIGINT)) || chr(10) || 'Principales catégories :' || chr(10) || g.lines END,
+    CASE WHEN responses > 0 AND claims > 0 THEN chr(10) || '{presets.NO_ROW_JOIN.replace("'", "''")}' END) AS summary
+  FROM s LEFT JOIN f ON s.question_id = f.question_id LEFT JOIN p ON s.question_id = p.question_id LEFT JOIN g ON s.question_id = g.question_id"""
+
+
+@query("answer_summaries", "SELECT * FROM (" + _SUMMARIES + ")", uses=("questions", "norm", "claim"))
 def answer_summaries(spark, sf):
-    return _answers(spark, sf).select("question_id", "labels", "summary")
+    return _answers(spark, sf).select("question_id", "summary")
 
 
-@query("answer_contexts")
+@query(
+    "answer_contexts",
+    f"""SELECT a.question_id, mode, sources, responses, claims, coalesce(n, 0) AS n_rows, first_source FROM
+      (SELECT a.*, replace({_labels('s.effective')}, ' + ', ',') AS sources FROM ({_ASKED}) a JOIN ({_SCOPED}) s ON a.question_id = s.question_id) a
+      LEFT JOIN (SELECT question_id, count(*) AS n, max(source) FILTER (rank = 1) AS first_source FROM ({_RETRIEVED}) GROUP BY question_id) r
+      ON a.question_id = r.question_id""",
+    uses=("questions", "norm", "claim"),
+)
 def answer_contexts(spark, sf):
-    return _answers(spark, sf).select("question_id", "context")
+    """Fields read back from the context JSON of each question."""
+    schema = (
+        "sources array<string>, mode string, facts struct<responses: bigint, claims: bigint>, "
+        "rows array<struct<rank: int, source: string>>"
+    )
+    read = _answers(spark, sf).select("question_id", F.from_json("context", schema).alias("c"))
+    return read.select(
+        "question_id", "c.mode", F.array_join("c.sources", ",").alias("sources"), "c.facts.responses", "c.facts.claims",
+        F.size("c.rows").alias("n_rows"), F.get("c.rows", F.lit(0))["source"].alias("first_source"),
+    )
 
 
 # --- Composed plans ----------------------------------------------------------------------------------
