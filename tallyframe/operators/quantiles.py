@@ -11,8 +11,9 @@ statistics are located in passes that keep nothing but counts:
    the running count names the value at the rank. Equal values become one counted row, so
    a hot value is no load.
 
-The cuts decide how little is left for step 3, never the result: the counts are exact. An
-interval that still holds too many different values is cut again by a finer grid.
+The cuts decide how little is left for step 3, never the result: the counts are exact. If an
+interval still holds too many different values, the counted values are written out and cut
+again, now evenly by different values, so that every round leaves a sixtieth.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.cast import present
 from tallyframe.operators.attach import Lookup, attach, measure
+from tallyframe.session import materialize
 
 # Up to this many values per group the built-in aggregate is used.
 DIRECT_VALUES = 1_000_000
@@ -103,7 +105,7 @@ def _interpolated(values, keys, sizes, probabilities, direct_values) -> DataFram
 
 @dataclass(frozen=True)
 class _Cut:
-    rows: DataFrame  # keys, value, _interval
+    rows: DataFrame  # keys, value, _n, _interval
     targets: DataFrame  # keys, _interval, _rank, _before
     hit: Lookup  # the intervals that hold a wanted rank
 
@@ -122,9 +124,9 @@ def _cut(rows: DataFrame, keys: list[str], ranks: DataFrame, cut_points: Sequenc
         F.array_distinct(F.percentile_approx("value", probs, SKETCH_ACCURACY)).alias("_cuts")
     )
     interval = _interval_of(F.col("value"), F.col("_cuts"), len(cut_points))
-    placed = attach(rows, measure(cuts, keys), "inner").select(*keys, "value", interval.alias("_interval"))
+    placed = attach(rows, measure(cuts, keys), "inner").select(*keys, "value", "_n", interval.alias("_interval"))
 
-    counted = placed.groupBy(*keys, "_interval").agg(F.count(F.lit(1)).alias("_n"))
+    counted = placed.groupBy(*keys, "_interval").agg(F.sum("_n").alias("_n"))
     spans = _running(counted, keys, "_interval")
     offset = F.col("_rank") - F.col("_before")
     hits = spans.join(ranks, keys).filter((offset >= F.col("_start")) & (offset < F.col("_end")))
@@ -152,20 +154,23 @@ def order_statistics(
 ) -> DataFrame:
     """The value at each wanted zero-based ``_rank`` of its group, as ``_value``."""
     group, keys = list(keys), list(keys)
+    rows = rows.select(*keys, "value", F.lit(1).cast("bigint").alias("_n"))
     ranks = ranks.withColumn("_before", F.lit(0).cast("bigint"))
     for round_ in range(MAX_ROUNDS):
         cut = _cut(rows, keys, ranks, cut_points)
         keys = [*keys, "_interval"]
         inside = attach(cut.rows, cut.hit, "inner")
-        by_value = inside.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
+        by_value = inside.groupBy(*keys, "value").agg(F.sum("_n").alias("_n"))
         different = by_value.groupBy(*keys).agg(F.count(F.lit(1)).alias("_different"))
         if (different.agg(F.max("_different")).first()[0] or 0) <= direct_values:
             break
         # Too many left: each hit interval becomes a group of its own and is cut finer.
         deeper = f"_interval{round_}"
-        rows = inside.withColumnRenamed("_interval", deeper)
+        rows = materialize(by_value, "interval").withColumnRenamed("_interval", deeper)
         ranks = cut.targets.withColumnRenamed("_interval", deeper)
         keys, cut_points = [*keys[:-1], deeper], GRID
+    else:
+        raise RuntimeError("quantile intervals did not shrink")
 
     offset = F.col("_rank") - F.col("_before")
     at = _running(by_value, keys, "value").join(cut.targets, keys)
