@@ -92,3 +92,10 @@ def clip(column: Column, low: Column, high: Column) -> Column:
     become a bound.
     """
     return F.when(column.isNotNull(), F.least(F.greatest(column, low), high))
+
+
+def unpivoted(lines: list[Column], fields: str) -> Column:
+    """One output row per struct; ``fields`` names the columns when there is no struct at all."""
+    if lines:
+        return F.inline(F.array(*lines))
+    return F.inline(F.from_json(F.lit("[]"), f"array<struct<{fields}>>"))

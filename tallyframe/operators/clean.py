@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import clip, numeric_columns, ref, text_columns
+from tallyframe.functions.cast import clip, numeric_columns, ref, text_columns, unpivoted
 from tallyframe.operators.attach import attach, measure
 from tallyframe.operators.profile import (
     SOURCE,
@@ -112,7 +112,8 @@ def _counts_and_means(df: DataFrame, by: list[str], columns: Sequence[str] | Non
         )
         for i, n in enumerate(names)
     ]
-    return counted.select(*by, F.inline(F.array(*lines)))
+    fields = "column: string, missing_before: bigint, row_count: bigint, mean: double"
+    return counted.select(*by, unpivoted(lines, fields))
 
 
 def imputation_log(stats: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def category_stats(
 def _text_values(df: DataFrame, by: list[str], columns: Sequence[str] | None) -> DataFrame:
     names = list(columns) if columns is not None else text_columns(df, exclude=by)
     cells = [F.struct(F.lit(n).alias("column"), ref(n).alias("value")) for n in names]
-    return df.select(*by, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    listed = df.select(*by, unpivoted(cells, "column: string, value: string"))
+    return listed.filter(F.col("value").isNotNull())
 
 
 def fill_categories(df: DataFrame, stats: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

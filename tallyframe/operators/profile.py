@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import is_numeric, numeric_columns, present, ref
+from tallyframe.functions.cast import is_numeric, numeric_columns, present, ref, unpivoted
 from tallyframe.operators.attach import attach, measure
 from tallyframe.operators.quantiles import DIRECT_VALUES, long_values, quantiles
 
@@ -81,7 +81,8 @@ def _missing_report(df: DataFrame, by: list[str], columns: Sequence[str] | None)
         )
         for i, name in enumerate(names)
     ]
-    return counted.select(*by, F.inline(F.array(*lines))).withColumn(
+    fields = "column: string, dtype: string, missing_count: bigint, row_count: bigint"
+    return counted.select(*by, unpivoted(lines, fields)).withColumn(
         "missing_rate_pct", F.round(F.col("missing_count") / F.col("row_count") * 100, 2)
     )
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyframe.functions.cast import present
+from tallyframe.functions.cast import present, unpivoted
 from tallyframe.operators.attach import Lookup, attach, measure
 from tallyframe.session import materialize
 
@@ -45,8 +45,8 @@ def long_values(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Dat
         )
         for name in columns
     ]
-    unpivoted = df.select(*by, F.inline(F.array(*cells)))
-    return unpivoted.filter(F.col("value").isNotNull())
+    listed = df.select(*by, unpivoted(cells, "column: string, value: double"))
+    return listed.filter(F.col("value").isNotNull())
 
 
 def quantiles(
