@@ -69,6 +69,11 @@ def num_of(df: DataFrame, name: str) -> Column:
     return num(ref(name), df.schema[name].dataType)
 
 
+def ts_of(df: DataFrame, name: str) -> Column:
+    """The column as a timestamp; one that is already passes bare, so scans can filter on it."""
+    return ref(name) if isinstance(df.schema[name].dataType, T.TimestampType) else ts(ref(name))
+
+
 def ts(column: Column | str, formats: tuple[str, ...] = ()) -> Column:
     """To timestamp, or null; extra formats are tried in order after the ISO forms."""
     c = F.col(column) if isinstance(column, str) else column

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import ref, round3
+from tallyframe.functions.cast import ref, round3, without_nan
 from tallyframe.operators.attach import attach, measure
 from tallyframe.operators.facts import TOP_CATEGORIES
 from tallyframe.operators.metrics import measured
@@ -21,6 +21,8 @@ from tallyframe.operators.retrieval import DEFAULT_K, question_units, record_tex
 from tallyframe.operators.schema import union_aligned
 
 SUMMARY_CATEGORIES = 5
+# Retrieved lists are wide rows, so fewer of them are broadcast.
+BROADCAST_RECORDS = 2_000
 
 
 def scope_key(effective: Column | str) -> Column:
@@ -189,7 +191,7 @@ def retrieved_records(
             record_text(df).alias("text"),
             F.to_json(F.struct(*[ref(c) for c in df.columns]), json).alias("record"),
         )
-        for source, df in frames.items()
+        for source, df in ((source, without_nan(df)) for source, df in frames.items())
     ]
     rows = union_aligned(parts)
     best = measure(
@@ -219,7 +221,7 @@ def contexts(
         {"scope_key": scope_key("effective"), "labels": source_labels(F.col("effective"))}
     )
     with_facts = attach(keyed, measure(facts, ["scope_key"]))
-    joined = attach(with_facts, measure(records, ["unit"]))
+    joined = attach(with_facts, measure(records, ["unit"], BROADCAST_RECORDS))
     fact_fields = [c for c in facts.columns if c != "scope_key"]
     statistics = F.struct(
         *[F.col(c) for c in ("responses", "valid_scores", "total", "mean", "by_product", "by_country")]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import num_of, ref, round3
+from tallyframe.functions.cast import num_of, ref, round3, without_nan
 from tallyframe.operators.metrics import (
     _has,
     _none,
@@ -122,7 +122,7 @@ def evidence(frames: Mapping[str, DataFrame], order_keys: Mapping[str, str], lim
     share = max(1, limit // max(len(frames), 1))
     parts = []
     for position, (source, df) in enumerate(frames.items()):
-        first = df.orderBy(ref(order_keys[source])).limit(share)
+        first = without_nan(df.orderBy(ref(order_keys[source])).limit(share))
         fields = [ref(c) for c in visible_columns(df)]
         parts.append(
             first.select(

@@ -9,10 +9,10 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe import presets
-from tallyframe.functions.cast import num, present, ref, ts
+from tallyframe.functions.cast import num, present, ref, ts, ts_of
 from tallyframe.functions.text import missing_text, strip, value_text
 
 
@@ -46,22 +46,30 @@ def in_values(df: DataFrame, column: str, values: Sequence[str]) -> Column:
 
 
 def in_score_range(df: DataFrame, column: str, low: float | None, high: float | None) -> list[Column]:
-    """Inclusive bounds; a missing score fails either one."""
-    score = num(ref(column), df.schema[column].dataType)
+    """Inclusive bounds; a missing score fails either one.
+
+    A double is compared bare, which the scan can use. NaN sorts above all numbers, so the
+    upper bound excludes it already.
+    """
+    dtype = df.schema[column].dataType
+    bare = isinstance(dtype, T.DoubleType)
+    score = ref(column) if bare else num(ref(column), dtype)
     conditions = []
     if low is not None:
         conditions.append(score >= F.lit(float(low)))
+        if bare:
+            conditions.append(~F.isnan(score))
     if high is not None:
         conditions.append(score <= F.lit(float(high)))
     return conditions
 
 
-def in_date_range(column: Column, start: str | None, end: str | None) -> list[Column]:
+def in_date_range(df: DataFrame, column: str, start: str | None, end: str | None) -> list[Column]:
     """From the start to one second before the day after the end, both inclusive.
 
     A bound that is no date compares as null, so it keeps no row at all.
     """
-    date = ts(column)
+    date = ts_of(df, column)
     conditions = []
     if start:
         conditions.append(date >= ts(F.lit(start)))
@@ -102,7 +110,7 @@ def conditions(df: DataFrame, spec: FilterSpec) -> list[Column]:
         found += in_score_range(df, spec.score_column, spec.score_min, spec.score_max)
     date_column = next((c for c in spec.date_columns if c in df.columns), None)
     if date_column is not None:
-        found += in_date_range(ref(date_column), spec.date_start, spec.date_end)
+        found += in_date_range(df, date_column, spec.date_start, spec.date_end)
     wanted = {column: list(values) for column, values in spec.values.items()}
     if spec.chart_values:
         wanted[spec.chart_column] = wanted.get(spec.chart_column, []) + list(spec.chart_values)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import month_key, num_of, ref, round3, ts
+from tallyframe.functions.cast import month_key, num_of, ref, round3, ts_of
 
 GOOD_SCORE = 4
 
@@ -76,7 +76,7 @@ def survey_cube(
     keyed = df.select(
         _key(df, country).alias("country"),
         _key(df, product).alias("product"),
-        _key(df, date, month_key(ts(ref(date))) if date in df.columns else None).alias("month"),
+        _key(df, date, month_key(ts_of(df, date)) if date in df.columns else None).alias("month"),
         F.bround(value).cast("int").alias("bucket"),
         value.alias("score"),
         *[ref(name) for name in extra],
@@ -99,7 +99,7 @@ def claim_cube(
         _key(df, category).alias("category"),
         _key(df, country).alias("country"),
         _key(df, status).alias("status"),
-        _key(df, date, month_key(ts(ref(date))) if date in df.columns else None).alias("month"),
+        _key(df, date, month_key(ts_of(df, date)) if date in df.columns else None).alias("month"),
         met.alias("met"),
         *[ref(name) for name in extra],
     )
@@ -175,7 +175,7 @@ def monthly_mean(
     """Mean and count per month that has scores, in month order; gaps are not filled."""
     if not _has(df, date, score):
         return _none(df, "label string, value double, count bigint")
-    month = ref(date) if score is None else month_key(ts(ref(date)))
+    month = ref(date) if score is None else month_key(ts_of(df, date))
     dated = df.withColumn("_month", month).filter("_month is not null")
     counted = measured(dated, ["_month"], score).filter("scored > 0")
     return counted.select(
@@ -189,7 +189,7 @@ def monthly_count(df: DataFrame, date: str = "date_reclamation") -> DataFrame:
     """Rows per month, in month order."""
     if not _has(df, date):
         return _none(df, "label string, value bigint")
-    month = ref(date) if "rows" in df.columns else month_key(ts(ref(date)))
+    month = ref(date) if "rows" in df.columns else month_key(ts_of(df, date))
     dated = df.select(month.alias("label"), *[c for c in ("rows",) if c in df.columns])
     counted = dated.filter("label is not null").groupBy("label").agg(_rows(dated).alias("value"))
     return counted.orderBy("label")

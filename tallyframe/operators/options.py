@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import present, ref, ts
+from tallyframe.functions.cast import present, ts_of
 from tallyframe.functions.text import strip, value_text
 from tallyframe.operators.schema import visible_columns
 
@@ -42,7 +42,7 @@ def date_extent(frames: Mapping[str, DataFrame], columns: Sequence[str] = preset
     """First and last day over every date column of every source."""
     parts = []
     for df in frames.values():
-        dates = [ts(ref(name)) for name in columns if name in df.columns]
+        dates = [ts_of(df, name) for name in columns if name in df.columns]
         if dates:
             lows, highs = [F.min(d) for d in dates], [F.max(d) for d in dates]
             low = F.least(*lows) if len(lows) > 1 else lows[0]

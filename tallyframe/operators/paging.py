@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.cast import ref
+from tallyframe.functions.cast import ref, without_nan
 
 MIN_SIZE, MAX_SIZE, DEFAULT_SIZE = 5, 100, 25
 # Deepest start that a plain bounded top-k serves.
@@ -130,6 +130,7 @@ def page(
 ) -> Page:
     """One page: size clamped to 5..100, number clamped to the pages there are."""
     size = _clamp(size)
+    df = without_nan(df)
     total = df.count()
     pages = max(1, -(-total // size))
     number = min(max(number, 1), pages)

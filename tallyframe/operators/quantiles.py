@@ -4,22 +4,24 @@ The built-in ``percentile`` is exact but keeps a map of all distinct values of a
 one task. It is used while every group is known to be small. Beyond that the wanted order
 statistics are located in passes that keep nothing but counts:
 
-1. approximate quantiles just below and above each wanted rank cut the group into a few
-   intervals (a mergeable sketch of fixed size per group);
-2. the rows of each interval are counted, which tells the interval a wanted rank lies in;
-3. only the rows of those intervals (about one in two thousand) are counted by value, and
+1. approximate quantiles just below and above each wanted rank, taken from a fixed number of
+   sampled values per group, cut the group into a few intervals;
+2. all rows of each interval are counted, which tells the interval a wanted rank lies in;
+3. only the rows of those intervals (about one in four hundred) are counted by value, and
    the running count names the value at the rank. Equal values become one counted row, so
    a hot value is no load.
 
-The cuts decide how little is left for step 3, never the result: the counts are exact. If an
-interval still holds too many different values, the counted values are written out and cut
-again, now evenly by different values, so that every round leaves a sixtieth.
+The cuts decide how little is left for step 3, never the result: every row is counted, and a
+rank that lies outside its expected interval is found in another one. If an interval still
+holds too many different values, the counted values are written out and cut again, now
+evenly by different values, so that every round leaves a sixtieth.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,8 +32,9 @@ from tallyframe.session import materialize
 # Up to this many values per group the built-in aggregate is used.
 DIRECT_VALUES = 1_000_000
 SKETCH_ACCURACY = 10_000
-# How far around a wanted rank the first cuts lie; twice the error of the sketch.
-BRACKET = 2.0 / SKETCH_ACCURACY
+# Values per group that the cuts are taken from: a sketch of everything would make the one
+# task that merges a group read a sketch from every task of the scan.
+CUT_VALUES = 2_000_000
 GRID = [i / 64 for i in range(1, 64)]
 MAX_ROUNDS = 12
 
@@ -85,8 +88,11 @@ def _interpolated(values, keys, sizes, probabilities, direct_values) -> DataFram
         for rank in (F.floor, F.ceil)
     ]
     ranks = sizes.select(*keys, F.inline(F.array(*ends))).distinct()
-    around = {q for p in probabilities for q in (p - BRACKET, p + BRACKET) if 0.0 < q < 1.0}
-    found = order_statistics(values, keys, ranks, sorted(around) or GRID, direct_values)
+    # The first cuts keep the error of the sketch and of the sample on either side.
+    margin = 2.0 / SKETCH_ACCURACY + 1.75 / sqrt(CUT_VALUES)
+    around = {q for p in probabilities for q in (p - margin, p + margin) if 0.0 < q < 1.0}
+    counted = sizes.withColumnRenamed("valid_count", "_size")
+    found = order_statistics(values, keys, counted, ranks, sorted(around) or GRID, direct_values)
 
     by_rank = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
@@ -118,13 +124,18 @@ def _interval_of(value: Column, cuts: Column, n: int) -> Column:
     return below
 
 
-def _cut(rows: DataFrame, keys: list[str], ranks: DataFrame, cut_points: Sequence[float]) -> _Cut:
+def _cut(
+    rows: DataFrame, keys: list[str], sizes: DataFrame, ranks: DataFrame, cut_points: Sequence[float]
+) -> _Cut:
     probs = F.array(*[F.lit(float(p)) for p in cut_points])
-    cuts = rows.groupBy(*keys).agg(
+    sized = attach(rows, measure(sizes.select(*keys, "_size"), keys))
+    picked = sized.filter(F.rand(17) < F.lit(float(CUT_VALUES)) / F.col("_size"))
+    cuts = picked.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("value", probs, SKETCH_ACCURACY)).alias("_cuts")
     )
+    # A group without cuts stays whole in its first interval.
     interval = _interval_of(F.col("value"), F.col("_cuts"), len(cut_points))
-    placed = attach(rows, measure(cuts, keys), "inner").select(*keys, "value", "_n", interval.alias("_interval"))
+    placed = attach(rows, measure(cuts, keys)).select(*keys, "value", "_n", interval.alias("_interval"))
 
     counted = placed.groupBy(*keys, "_interval").agg(F.sum("_n").alias("_n"))
     spans = _running(counted, keys, "_interval")
@@ -148,25 +159,30 @@ def _running(counted: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def order_statistics(
     rows: DataFrame,
     keys: Sequence[str],
+    sizes: DataFrame,
     ranks: DataFrame,
     cut_points: Sequence[float],
     direct_values: int = DIRECT_VALUES,
 ) -> DataFrame:
-    """The value at each wanted zero-based ``_rank`` of its group, as ``_value``."""
+    """The value at each wanted zero-based ``_rank`` of its group, as ``_value``.
+
+    ``sizes`` holds the rows of each group as ``_size``.
+    """
     group, keys = list(keys), list(keys)
     rows = rows.select(*keys, "value", F.lit(1).cast("bigint").alias("_n"))
     ranks = ranks.withColumn("_before", F.lit(0).cast("bigint"))
     for round_ in range(MAX_ROUNDS):
-        cut = _cut(rows, keys, ranks, cut_points)
+        cut = _cut(rows, keys, sizes, ranks, cut_points)
         keys = [*keys, "_interval"]
         inside = attach(cut.rows, cut.hit, "inner")
         by_value = inside.groupBy(*keys, "value").agg(F.sum("_n").alias("_n"))
-        different = by_value.groupBy(*keys).agg(F.count(F.lit(1)).alias("_different"))
-        if (different.agg(F.max("_different")).first()[0] or 0) <= direct_values:
+        sizes = measure(by_value.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys).table
+        if (sizes.agg(F.max("_size")).first()[0] or 0) <= direct_values:
             break
         # Too many left: each hit interval becomes a group of its own and is cut finer.
         deeper = f"_interval{round_}"
         rows = materialize(by_value, "interval").withColumnRenamed("_interval", deeper)
+        sizes = sizes.withColumnRenamed("_interval", deeper)
         ranks = cut.targets.withColumnRenamed("_interval", deeper)
         keys, cut_points = [*keys[:-1], deeper], GRID
     else:

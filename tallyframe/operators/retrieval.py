@@ -23,8 +23,9 @@ from tallyframe.functions.cast import present, ref
 from tallyframe.functions.text import query_words, value_text, words
 
 DEFAULT_K = 8
-# Distinct question word sets sent to the tasks at a time.
+# Distinct question word sets, and their words, sent to the tasks at a time.
 BLOCK = 5_000
+BLOCK_WORDS = 1_000_000
 # Word matches handled at a time inside a task.
 MATCH_CHUNK = 2_000_000
 # Up to this many question words, rows are cut down to them before they reach Python.
@@ -70,13 +71,14 @@ def question_units(questions: DataFrame, question: str = "question", scope: str
     """Add the ``words`` of each question and the ``unit`` of questions that rank alike.
 
     Questions with the same words and the same ordered scope share one unit, so repeated
-    questions cost nothing. Questions without usable words get no unit.
+    questions cost nothing. The unit is a digest, as a question may be a long text. Questions
+    without usable words get no unit.
     """
     asked = questions.withColumn("words", F.array_sort(query_words(question)))
     parts = [F.array_join("words", " ")]
     if scope is not None:
         parts.append(F.array_join(scope, ","))
-    return asked.withColumn("unit", F.when(F.size("words") > 0, F.concat_ws("|", *parts)))
+    return asked.withColumn("unit", F.when(F.size("words") > 0, F.sha2(F.concat_ws("|", *parts), 256)))
 
 
 def retrieve_many(
@@ -103,7 +105,8 @@ def retrieve_many(
         .select("unit", "words", scopes.alias("scope"))
         .dropDuplicates(["unit"])
     )
-    n_blocks = max(1, -(-units.count() // block))
+    n_units, n_words = units.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    n_blocks = max(1, -(-n_units // block), -(-n_words // BLOCK_WORDS))
     tokens = words(record_text(rows) if text is None else text)
     origin = ref(source) if source is not None else F.lit("")
     narrow = rows.select(ref(order_key).alias("key"), origin.alias("source"), tokens.alias("words"))

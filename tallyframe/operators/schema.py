@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe import presets
-from tallyframe.functions.cast import is_numeric, num_of, ref
+from tallyframe.functions.cast import is_numeric, num_of, ref, without_nan
 from tallyframe.functions.scoring import lookup
 from tallyframe.functions.text import strip, value_text
 
@@ -121,7 +121,7 @@ def union_aligned(frames: Sequence[DataFrame]) -> DataFrame:
 
 def align_union(frames: Mapping[str, DataFrame]) -> DataFrame:
     """The display table: source label and kind first, other lineage columns hidden."""
-    combined = union_aligned(list(frames.values()))
+    combined = without_nan(union_aligned(list(frames.values())))
     lead = [name for name in ("_source_label", "_kind") if name in combined.columns]
     return combined.select(*[ref(c) for c in lead + visible_columns(combined)])
 

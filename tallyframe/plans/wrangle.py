@@ -12,7 +12,7 @@ from tallyframe.functions.cast import without_nan
 from tallyframe.functions.scoring import rule_score
 from tallyframe.operators.clean import correct_all, drop_weak, impute_all, weak_columns
 from tallyframe.operators.attach import Lookup, measure
-from tallyframe.operators.products import add_product, preset_lookup, require_mapped
+from tallyframe.operators.products import add_product, preset_lookup, product_reference, require_mapped
 from tallyframe.operators.profile import (
     SOURCE,
     compare_missing,
@@ -23,7 +23,8 @@ from tallyframe.operators.profile import (
 )
 from tallyframe.operators.quantiles import DIRECT_VALUES
 from tallyframe.operators.schema import select_final, standardize_all, union_tagged
-from tallyframe.session import materialize
+from tallyframe.session import scratch_path
+from tallyframe.sources.sinks import write_normalized
 
 
 @dataclass(frozen=True)
@@ -108,14 +109,15 @@ def check_row_counts(before: Mapping[str, DataFrame], audit: DataFrame) -> None:
 def wrangle(
     frames: Mapping[str, DataFrame],
     preset: Preset = Preset(),
+    out: str | None = None,
     check: bool = True,
 ) -> Wrangled:
-    """Profile, prune, impute, correct, standardize and normalize the raw sources.
+    """Profile, prune, impute, correct, standardize, normalize and write the raw sources.
 
     The score itself is imputed and capped before its scale is unified, and missing comments
-    take the most frequent one: cleaning treats every column of its type alike. The cleaned
-    sources and the final table are written to the shared folder, so that the guards and
-    every later reader share one computation.
+    take the most frequent one: cleaning treats every column of its type alike. The final
+    table is written once, below ``out`` or in the shared folder, partitioned by source; the
+    guards and all readers use what was written.
     """
     raw = {source: without_nan(df) for source, df in frames.items()}
     spark = next(iter(raw.values())).sparkSession
@@ -133,7 +135,9 @@ def wrangle(
     # A pruned column is absent from its source and comes back as null here.
     standard = standardize_all(corrected, preset.column_maps, preset.canonical)
     _, consolidated = normalize_all(standard, preset_lookup(spark), preset)
-    consolidated = materialize(consolidated, "normalized")
+    out = out or scratch_path(spark, "wrangled")
+    paths = write_normalized(consolidated, product_reference(spark), out, SOURCE, preset.score_range)
+    consolidated = spark.read.schema(consolidated.schema).parquet(paths["table"])
     audit = normalization_audit(consolidated, len(preset.final))
     if check:
         require_mapped(consolidated)

@@ -84,18 +84,19 @@ def read_table(
     """Read by suffix: parquet, orc, csv, json (object or array per file) or jsonl.
 
     A ``json`` file is one document and cannot be split between tasks; large inputs
-    belong in ``jsonl`` or Parquet. Labels are stripped and NaN becomes null.
+    belong in ``jsonl`` or Parquet. Without a schema, csv and json take one more pass to infer
+    types. Labels are stripped. NaN in text formats becomes null; columnar files are left
+    bare, so that filters reach the scan, and the operators read NaN as missing.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     if suffix == "parquet":
-        df = reader.parquet(path)
-    elif suffix == "orc":
-        df = reader.orc(path)
-    elif suffix == "csv":
-        # One more pass to infer types unless the caller declares them.
+        return strip_labels(reader.parquet(path))
+    if suffix == "orc":
+        return strip_labels(reader.orc(path))
+    if suffix == "csv":
         df = reader.options(header=True, inferSchema=schema is None).csv(path)
     elif suffix == "json":
         df = flatten(reader.option("multiLine", True).json(path))
@@ -118,7 +119,7 @@ def read_same_schema(spark: SparkSession, paths: Mapping[str, str], column: str
     for source, path in paths.items():
         file, folder = F.col("_metadata.file_path"), path.rstrip("/")
         name = F.when(file.endswith(folder) | file.contains(folder + "/"), source).otherwise(name)
-    return without_nan(df.withColumn(column, name))
+    return df.withColumn(column, name)
 
 
 def tag(df: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -166,7 +167,7 @@ class SourceSet:
         """From DataFrames at hand (tables, views or streams) instead of files."""
         return cls(
             {spec.id: spec for spec in specs},
-            {spec.id: tag(without_nan(frames[spec.id]), spec) for spec in specs if spec.id in frames},
+            {spec.id: tag(frames[spec.id], spec) for spec in specs if spec.id in frames},
             {spec.id: f"Source indisponible: {spec.id}" for spec in specs if spec.id not in frames},
         )
 

@@ -77,6 +77,7 @@ def write_normalized(
     reference: DataFrame,
     out: str,
     source_column: str = "source",
+    score_range: tuple[float, float] = presets.SCORE_RANGE,
 ) -> dict[str, str]:
     """Write the normalized rows once, partitioned by source, plus the code reference.
 
@@ -88,7 +89,7 @@ def write_normalized(
         "table": f"{out}/normalized",
         "reference": f"{out}/product_reference",
     }
-    checked_scores(consolidated).write.partitionBy(source_column).parquet(paths["table"])
+    checked_scores(consolidated, score_range=score_range).write.partitionBy(source_column).parquet(paths["table"])
     reference.write.json(paths["reference"], ignoreNullFields=False)
     return paths
 

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe import presets
-from tallyframe.functions.cast import num_of, ts
+from tallyframe.functions.cast import num_of, ts_of
 from tallyframe.functions.scoring import product_from_code
 
 
@@ -30,11 +30,15 @@ def tag_surveys(
     date_column: str = "date_enquete",
     score_column: str = presets.SCORE_COLUMN,
 ) -> DataFrame:
-    """Survey rows with lineage, date and score coerced where the columns exist."""
+    """Survey rows with lineage, date and score coerced where the columns exist.
+
+    Columns of the right type are left bare: a wrapped one would hide from the scan's
+    filters. The operators read NaN as missing themselves.
+    """
     result = _lineage(df, spec)
     if date_column in df.columns:
-        result = result.withColumn(date_column, ts(date_column))
-    if score_column in df.columns:
+        result = result.withColumn(date_column, ts_of(df, date_column))
+    if score_column in df.columns and not isinstance(df.schema[score_column].dataType, T.DoubleType):
         result = result.withColumn(score_column, num_of(df, score_column))
     return result
 
@@ -50,7 +54,7 @@ def tag_claims(
     """Claim rows with lineage, date coerced and the product derived from its code."""
     result = _lineage(df, spec)
     if date_column in df.columns:
-        result = result.withColumn(date_column, ts(date_column))
+        result = result.withColumn(date_column, ts_of(df, date_column))
     if code_column in df.columns:
         result = result.withColumn("produit_global", product_from_code(code_column, codes, pattern))
     return result

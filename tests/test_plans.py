@@ -209,3 +209,14 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf):
     plan = plan_of(QUERIES["retrieve_many"](spark, sf))
     partial, final = plan.index("row_number(), 8, Final"), plan.index("row_number(), 8, Partial")
     assert "Exchange hashpartitioning(unit" in plan[partial:final]
+
+
+def test_service_filters_reach_the_scan(sources):
+    from tallyframe.operators.filters import apply_filters
+
+    spec = FilterSpec(score_min=3, score_max=4, date_start="1996-01-01", date_end="1997-01-01")
+    plan = plan_of(apply_filters(sources.frames["france"], spec).select("id_unique"))
+    pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    for part in ("GreaterThanOrEqual(satisfaction_normalisee,3.0)", "LessThanOrEqual(satisfaction_normalisee,4.0)", "GreaterThanOrEqual(date_enquete,"):
+        assert part in pushed
+    assert "struct<id_unique:string,date_enquete:timestamp,satisfaction_normalisee:double>" in plan

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tallyframe.operators.quantiles as quantile_module
 from tallyframe.operators.quantiles import long_values, quantiles
 
 PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -24,8 +25,9 @@ def groups():
     }
 
 
-@pytest.mark.parametrize("direct", [10**6, 500, 40])
-def test_quantiles_equal_numpy(spark, direct):
+@pytest.mark.parametrize("direct, cut_values", [(10**6, 2_000_000), (500, 2_000_000), (40, 2_000_000), (100, 150)])
+def test_quantiles_equal_numpy(spark, monkeypatch, direct, cut_values):
+    monkeypatch.setattr(quantile_module, "CUT_VALUES", cut_values)
     data = groups()
     rows = [(g, float(v)) for g, vs in data.items() for v in vs]
     values = spark.createDataFrame(rows, "g string, value double").repartition(6)

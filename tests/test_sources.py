@@ -6,6 +6,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators.facts import evidence
+from tallyframe.operators.filters import FilterSpec, apply_filters
+from tallyframe.operators.metrics import group_mean, score_histogram
+from tallyframe.plans.dashboard import combined_table, table_page
 from tallyframe.plans.wrangle import normalize_all
 from tallyframe.operators.products import preset_lookup, product_reference
 from tallyframe.operators.schema import standardize_all
@@ -33,8 +37,21 @@ def test_csv_and_parquet(spark, tmp_path):
     assert df.columns == ["a", "b"] and df.filter("a is null").count() == 1
     declared = read_table(spark, str(tmp_path / "t.csv"), "a double, b string")
     assert dict(declared.dtypes) == {"a": "double", "b": "string"}
-    spark.createDataFrame([(float("nan"),)], "v double").write.parquet(str(tmp_path / "p.parquet"))
-    assert read_table(spark, str(tmp_path / "p.parquet")).first().v is None
+    spark.range(3).withColumnRenamed("id", " id ").write.parquet(str(tmp_path / "p.parquet"))
+    assert read_table(spark, str(tmp_path / "p.parquet")).columns == ["id"]
+
+
+def test_nan_in_columnar_files_is_missing_to_the_operators(spark, tmp_path):
+    rows = [("a", 4.0, "x"), ("b", float("nan"), "y"), ("c", None, "z")]
+    spark.createDataFrame(rows, "id string, satisfaction_normalisee double, pays string").write.parquet(str(tmp_path / "ok.parquet"))
+    sources = SourceSet.load(spark, (SourceSpec("ok", "Ok", "satisfaction", str(tmp_path / "ok.parquet"), order_key="id"),))
+    frame = sources.frames["ok"]
+    assert [r.id for r in apply_filters(frame, FilterSpec(score_min=1)).collect()] == ["a"]
+    assert [tuple(r) for r in group_mean(frame, "pays").collect()] == [("x", 4.0, 1)]
+    assert [r.id for r in table_page(sources, ["ok"], sort_by="satisfaction_normalisee", descending=True).rows.collect()] == ["a", "b", "c"]
+    assert combined_table(sources, ["ok"]).filter("satisfaction_normalisee is null").count() == 2
+    assert "NaN" not in "".join(r.record for r in evidence(sources.frames, {"ok": "id"}).collect())
+    assert [r.value for r in score_histogram(frame).collect()] == [1]
 
 
 def test_unsupported_and_missing(spark, tmp_path):
