@@ -148,6 +148,7 @@ def _best_rows(asked: list[tuple], k: int):
                 if at == len(postings):
                     postings.append([])
                 postings[at].append(unit)
+        vocabulary = pd.Index(list(word_ids), dtype=object)
         lengths = np.array([len(p) for p in postings], dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         flat = np.array([u for p in postings for u in p], dtype=np.int64)
@@ -161,19 +162,23 @@ def _best_rows(asked: list[tuple], k: int):
         floor = np.zeros(len(asked), dtype=np.int64)
         best = None
         for batch in batches:
-            matched = [[word_ids[w] for w in ws if w in word_ids] for ws in batch["words"]]
-            load = np.array([lengths[m].sum() if m else 0 for m in matched], dtype=np.int64)
-            chunk = np.cumsum(load) // MATCH_CHUNK
-            for part in np.unique(chunk[load > 0]):
-                rows = np.flatnonzero((chunk == part) & (load > 0))
-                hit = np.concatenate([matched[r] for r in rows]).astype(np.int64)
-                row = np.repeat(rows, [len(matched[r]) for r in rows])
+            if not len(batch):
+                continue
+            sizes = batch["words"].str.len().to_numpy()
+            word_at = vocabulary.get_indexer(np.concatenate(batch["words"].to_numpy()))
+            row_at = np.repeat(np.arange(len(batch)), sizes)[word_at >= 0]
+            word_at = word_at[word_at >= 0]
+            load = np.bincount(row_at, weights=lengths[word_at], minlength=len(batch))
+            origin = batch["source"].map(places).fillna(len(places)).astype(int).to_numpy()
+            # Rows are cut into chunks of about equal numbers of matches.
+            chunk = (np.cumsum(load) // MATCH_CHUNK)[row_at]
+            for part in np.unique(chunk):
+                hit, row = word_at[chunk == part], row_at[chunk == part]
                 spread = lengths[hit]
                 inner = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
                 unit = flat[np.repeat(starts[hit], spread) + inner]
                 pair, overlap = np.unique(np.repeat(row, spread) * len(asked) + unit, return_counts=True)
                 row, unit = pair // len(asked), pair % len(asked)
-                origin = batch["source"].map(places).fillna(len(places)).astype(int).to_numpy()
                 place = rank_of[unit, origin[row]]
                 keep = (place >= 0) & (overlap >= floor[unit])
                 found = pd.DataFrame(
