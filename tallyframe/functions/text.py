@@ -42,9 +42,14 @@ def fold(column: Column | str) -> Column:
     return F.coalesce(fold_present(column), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _white_space() -> str:
+    return "".join(chr(code) for code in range(0x10000) if chr(code).isspace())
+
+
 def strip(column: Column | str) -> Column:
-    """Trim every kind of white space (Spark's ``trim`` removes blanks only)."""
-    return F.regexp_replace(_col(column), r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space (Spark's ``trim`` alone removes blanks only)."""
+    return F.btrim(_col(column), F.lit(_white_space()))
 
 
 def words(column: Column | str) -> Column:

@@ -16,14 +16,15 @@ from tallyframe.operators.schema import visible_columns
 def filter_values(frames: Mapping[str, DataFrame], fields: Sequence[str] = presets.FILTER_FIELDS) -> DataFrame:
     """The distinct printed values of each field over all sources, blanks left out.
 
-    One job for all fields: values are unpivoted and made distinct map-side first.
+    One job for all fields. Cells are unpivoted and made distinct before they are trimmed,
+    so the text work is done once per value and not once per row.
     """
     parts = []
     for df in frames.values():
         cells = [
             F.struct(
                 F.lit(name).alias("field"),
-                strip(value_text(present(name, df.schema[name].dataType), df.schema[name].dataType)).alias("value"),
+                value_text(present(name, df.schema[name].dataType), df.schema[name].dataType).alias("value"),
             )
             for name in fields
             if name in df.columns
@@ -33,7 +34,8 @@ def filter_values(frames: Mapping[str, DataFrame], fields: Sequence[str] = prese
     if not parts:
         spark = next(iter(frames.values())).sparkSession
         return spark.createDataFrame([], "field string, value string")
-    values = reduce(DataFrame.unionByName, parts)
+    seen = reduce(DataFrame.unionByName, parts).distinct()
+    values = seen.withColumn("value", strip("value"))
     named = values.filter((F.col("value") != "") & ~F.lower("value").isin("nan", "none"))
     return named.distinct().orderBy("field", "value")
 
