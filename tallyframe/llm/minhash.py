@@ -8,7 +8,8 @@
    bounds it; a pair is pruned when its chance of reaching the threshold is below the miss probability.
 4. Survivors are confirmed on their full shingle sets, and confirmed links give components.
 5. Buckets that still hold several components are finished: pairs across components are compared too,
-   unless the bounds to the centre rule them out by the triangle inequality of the Jaccard distance.
+   in blocks, unless the bounds to the centre rule them out by the triangle inequality of the Jaccard
+   distance. Only pairs that pass on their shingles, cut to 32 bits each, leave a block.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Settings:
     hashes: int = 240
     batch: int = 24
     #: Chance of pruning a pair whose similarity reaches the threshold, at each batch.
-    miss: float = 1e-4
+    miss: float = 1e-6
     seed: int = 20
 
 
@@ -191,30 +192,41 @@ def verified(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataFra
     )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has id and text."""
+def sets_of(asked: DataFrame, texts: DataFrame, settings: Settings, short: bool = False) -> DataFrame:
+    """(id, held): the shingle set of each asked id as sorted hashes of 64 bits, or 32 if ``short``."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for flat, offsets in shingle_sets(batch.column(1), settings.shingle):
                 n = len(offsets) - 1
-                held = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                sets = (flat[a:b] for a, b in zip(offsets, offsets[1:]))
+                held = [(np.unique((x >> np.uint64(32)).astype(np.uint32)) if short else x).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(held, pa.binary())], names=["id", "held"])
                 at += n
 
+    return texts.join(asked.distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, held binary")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has id and text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (left, right))
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= settings.percent * (len(both) - shared))
+                shared = _shared(x, y)
+                keep.append(100 * shared >= settings.percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = materialize(texts.join(asked, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, held binary"), "shingle-sets")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    held = materialize(sets_of(asked, texts, settings), "shingle-sets")
     left = held.select(F.col("id").alias("a"), F.col("held").alias("left"))
     right = held.select(F.col("id").alias("b"), F.col("held").alias("right"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -249,7 +261,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     chosen = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     signed = materialize(chosen.select(F.col("doc_id").alias("id"), "signature", "bands"), "signed")
 
-    banded = signed.select("id", F.explode("bands").alias("key"))
+    banded = signed.select("id", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(banded.join(shared, "key"), "buckets")
     weight = buckets.groupBy("id").agg(F.sum(F.col("size") - 1).alias("weight"))
@@ -258,7 +270,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
         buckets.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
         .select("key", (-F.col("top.minus")).alias("centre"))
     )
-    placed = materialize(buckets.join(centre, "key").select("key", "id", "size", "centre"), "centres")
+    placed = materialize(buckets.join(centre, "key").select("key", "band", "id", "size", "centre"), "centres")
     starred = placed.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     bounded = materialize(verified(starred.distinct(), signed, settings), "bounds")
 
@@ -267,7 +279,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     links = materialize(confirmed(bounded.where(alike), texts, settings), "links")
     labels = components(links.union(members))
 
-    rest = materialize(leftover(placed, bounded, labels, signed, settings), "leftover")
+    rest = materialize(leftover(placed, bounded, labels, signed, texts, settings), "leftover")
     more = materialize(confirmed(rest, texts, settings), "links")
     if not more.isEmpty():
         # Labels stand for the links found so far.
@@ -278,12 +290,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
+def leftover(
+    placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings
+) -> DataFrame:
     """Pairs (a, b) of a bucket in unlike components, neither its centre, that the bounds don't rule out.
 
     Inside a bucket, documents outside the centre's component are compared with all others, in blocks:
     one row of the join holds two blocks of at most about ``BLOCK`` documents, and only pairs that pass
-    leave it. With distances p and q of two documents to the centre, theirs is at least p - q, which
+    leave it. A pair of several buckets is compared in the first. With distances p and q of two documents to the centre, theirs is at least p - q, which
     spares most signatures of documents far from the centre.
     """
     held = placed.where("size > 2").join(labels.select("id", "component"), "id", "left")
@@ -291,15 +305,17 @@ def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: D
     main = held.where("id = centre").select("key", F.col("component").alias("main"))
     rows = held.where("id <> centre").withColumns({"a": F.least("id", "centre"), "b": F.greatest("id", "centre")})
     rows = rows.join(main, "key").join(bounded, ["a", "b"])
-    rows = materialize(rows.select("key", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "low", "high"), "leftover-rows")
+    rows = materialize(rows.select("key", "band", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "low", "high"), "leftover-rows")
     counts = rows.groupBy("key", "inside").agg(F.count("*").alias("n"))
     outside = counts.where("NOT inside").select("key")
     counts = counts.join(outside, "key", "left_semi")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    fields = ["id", "component", "low", "high", "signature"]
+    fields = ["id", "component", "low", "high", "signature", "held"]
+    rows = rows.join(counts, ["key", "inside"])
+    held = sets_of(rows.select("id"), texts, settings, short=True)
     blocks = (
-        rows.join(counts, ["key", "inside"]).join(signed.select("id", "signature"), "id")
-        .groupBy("key", "inside", chunk.alias("chunk"))
+        rows.join(signed.select("id", "signature"), "id").join(held, "id")
+        .groupBy("key", "band", "inside", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
     blocks = materialize(blocks, "leftover-blocks")
@@ -310,11 +326,21 @@ def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: D
         flat = rows.values
         plain = {name: flat.field(name).to_numpy() for name in fields[:4]}
         signature = np.frombuffer(b"".join(flat.field("signature").to_pylist()), dtype=np.uint32)
-        return plain | {"signature": signature.reshape(-1, settings.hashes)}
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in flat.field("held")]
+        return plain | {"signature": signature.reshape(-1, settings.hashes), "held": sets}
+
+    def first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        used = slice(0, settings.bands * settings.rows)
+        return (x[:, used] == y[:, used]).reshape(len(x), settings.bands, -1).all(axis=2).argmax(axis=1)
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        # One percent less than asked makes up for unlike shingles with equal 32 bits.
+        shared = _shared(x, y)
+        return 100 * shared >= (settings.percent - 1) * (len(x) + len(y) - shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
+            for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 x, y = unpack(left), unpack(right)
                 open_pair = (x["component"][:, None] != y["component"]) & (x["id"][:, None] != y["id"])
                 open_pair &= x["low"][:, None] - y["high"] <= reach
@@ -322,11 +348,13 @@ def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: D
                 i, j = np.nonzero(open_pair)
                 for at in range(0, len(i), PAIRS_AT_ONCE):
                     p, q = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
-                    high = compare(x["signature"][p], y["signature"][q], settings, bounds)[1]
-                    passed = high >= settings.percent / 100
-                    a, b = x["id"][p][passed], y["id"][q][passed]
+                    left_signed, right_signed = x["signature"][p], y["signature"][q]
+                    passed = compare(left_signed, right_signed, settings, bounds)[1] >= settings.percent / 100
+                    passed &= first_band(left_signed, right_signed) == band
+                    near = np.array([k for k in np.flatnonzero(passed) if alike(x["held"][p[k]], y["held"][q[k]])], dtype=np.int64)
+                    a, b = x["id"][p[near]], y["id"][q[near]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     x, y = blocks.where("NOT inside").alias("x"), blocks.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.inside") | (F.col("x.chunk") <= F.col("y.chunk"))))
-    return met.select(F.col("x.rows").alias("left"), F.col("y.rows").alias("right")).mapInArrow(run, "a long, b long").distinct()
+    return met.select("x.band", F.col("x.rows").alias("left"), F.col("y.rows").alias("right")).mapInArrow(run, "a long, b long").distinct()
