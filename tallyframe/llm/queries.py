@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, minhash, mixing, quality, shards, tokencount, urls
+from tallyframe.llm import licenses, minhash, mixing, neighbours, quality, shards, tokencount, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +136,28 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id c O
 @query("op3_near_duplicates", NEAR_SQL)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), minhash.Settings(shingle=2))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+degrees AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a),
+reach AS (
+  SELECT a AS id, a AS other FROM links
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least_id AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component, e.vec_id) AS component_id,
+       coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degrees d ON d.id = e.vec_id LEFT JOIN least_id c ON c.id = e.vec_id
+"""
+
+
+@query("op10_near_vectors", VECTOR_SQL)
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
