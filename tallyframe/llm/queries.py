@@ -141,8 +141,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_SQL = """
 WITH RECURSIVE vectors AS (
   SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
