@@ -290,6 +290,19 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one document of each component.
+
+    Of several rows with a kept doc_id one stays, the first by hashed text. Rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs, settings).where("kept").select("doc_id").distinct()
+    names = docs.columns
+    # Sorted by doc_id already for the join, so the window adds no shuffle.
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return chosen.select(*names).union(docs.where("doc_id IS NULL").select(*names))
+
+
 def leftover(
     placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings
 ) -> DataFrame:

@@ -149,7 +149,7 @@ def features(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ("do
                 row += n
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
 
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*keep, F.col("text").alias("_text"))
     types = dict(kept.dtypes)
     return kept.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + FEATURES)
 
@@ -220,6 +220,31 @@ def _near(class_limit: Column | float, word_limit: Column | float) -> Column:
     )
 
 
+def counted(docs: DataFrame, rules: Rules, keep: Sequence[str]) -> DataFrame:
+    """The kept columns, the counts of each text and ``base_failed``."""
+    failed = (F.col("n_words") < rules.min_words) | (
+        100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
+    )
+    return features(docs, rules, keep).withColumn("base_failed", failed)
+
+
+def learn(counts: DataFrame, rules: Rules = Rules()) -> References:
+    """References of the languages from all counted documents; ``counts`` is read twice and has ``lang``."""
+    first = distances(counts, references(counts, rules), rules)
+    # Junk widens a reference, so the second references come from documents near the first ones.
+    trimmed = first.where(_near(rules.trim_class_distance, rules.trim_word_distance))
+    return references(trimmed.drop("class_distance", "word_distance"), rules)
+
+
+def verdicts(counts: DataFrame, known: References, rules: Rules = Rules()) -> DataFrame:
+    """``counts`` with both distances and ``kept`` in place of the histograms."""
+    measured = distances(counts, known, rules)
+    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    limit = lambda pair, n: pair[0] + pair[1] / F.sqrt(F.greatest(n, F.lit(1)))
+    kept = ~F.col("base_failed") & _near(limit(rules.class_limit, chars), limit(rules.word_limit, F.col("n_words")))
+    return measured.withColumn("kept", kept).drop("classes", "common")
+
+
 def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The kept columns, the counts, ``base_failed``, ``class_distance``, ``word_distance`` and ``kept``.
 
@@ -232,16 +257,20 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ("doc_i
     """
     keep = list(keep)
     with_lang = keep if "lang" in keep else [*keep, "lang"]
-    failed = (F.col("n_words") < rules.min_words) | (
-        100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
-    )
-    counted = materialize(features(docs, rules, with_lang).withColumn("base_failed", failed), "quality")
-    # Junk widens a reference, so the second references come from documents near the first ones.
-    first = distances(counted, references(counted, rules), rules)
-    trimmed = first.where(_near(rules.trim_class_distance, rules.trim_word_distance))
-    measured = distances(counted, references(trimmed.drop("class_distance", "word_distance"), rules), rules)
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    limit = lambda pair, n: pair[0] + pair[1] / F.sqrt(F.greatest(n, F.lit(1)))
-    verdict = ~F.col("base_failed") & _near(limit(rules.class_limit, chars), limit(rules.word_limit, F.col("n_words")))
-    judged = measured.withColumn("kept", verdict).drop("classes", "common")
+    counts = materialize(counted(docs, rules, with_lang), "quality")
+    judged = verdicts(counts, learn(counts, rules), rules)
     return judged if "lang" in keep else judged.drop("lang")
+
+
+def good_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns and no others.
+
+    Texts are counted twice, once for the references and once for the verdict, instead of being copied
+    or shuffled. A column of ``docs`` that has the name of a count is safe.
+    """
+    known = learn(materialize(counted(docs, rules, ["lang"]), "quality"), rules)
+    names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], F.col("text"))
+    kept = verdicts(counted(renamed, rules, plain), known, rules).where("kept")
+    return kept.select(*[F.col(p).alias(c) for c, p in zip(names, plain)])

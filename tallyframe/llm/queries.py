@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, minhash, mixing, neighbours, quality, shards, tokencount, urls
+from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, shards, tokencount, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,3 +161,13 @@ FROM embeddings e LEFT JOIN degrees d ON d.id = e.vec_id LEFT JOIN least_id c ON
 @query("op10_near_vectors", VECTOR_SQL)
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir))
+
+
+@query("op4_sampled_pieces")
+def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
