@@ -1,21 +1,22 @@
 """Near-duplicates of texts: banded MinHash, sequential Bayesian verification, exact confirmation.
 
-1. One pass gives each document its set of word shingles, a digest of the set, a MinHash signature and
-   band keys. Documents with equal digests are one class; only its least document goes on.
+1. One pass gives each document its set of word shingles, a digest of the set and the band keys of its
+   MinHash signature. Documents with equal digests are one class; only its least document goes on.
 2. In each bucket of a band, the document that shares most buckets with others is the centre, and all
-   others are paired with it: candidates grow with the rows, not with the square of a bucket.
+   others are paired with it: candidates grow with the rows, not with the square of a bucket. Texts of
+   documents in such buckets are shuffled once, for their signatures and full sets.
 3. Signatures of a pair are compared batch by batch. After each batch, the posterior of the similarity
    bounds it; a pair is pruned when its chance of reaching the threshold is below the miss probability.
-4. Survivors are confirmed on their full shingle sets, and confirmed links give components.
-5. Buckets that still hold several components are finished: pairs across components are compared too,
-   in blocks, unless the bounds to the centre rule them out by the triangle inequality of the Jaccard
-   distance. Only pairs that pass on their shingles, cut to 32 bits each, leave a block.
+   Survivors are verified on their full sets in the same task, and the links give components.
+4. Buckets that still hold several components are finished: pairs across components are compared too,
+   in blocks, unless their bounds to the centre rule them out by the triangle inequality of the Jaccard
+   distance. Only verified links leave a block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.links import components
-from tallyframe.llm.spans import BLANKS, hash_spans, mix, row_of, texts_of
+from tallyframe.llm.spans import BLANKS, hash_spans, mix, texts_of
 from tallyframe.session import materialize
 
 
@@ -96,14 +97,11 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, settings: Settings) -> np.
     return out
 
 
-SKETCH = "row long, doc_id long, n_shingles long, digest_1 long, digest_2 long, signature binary, bands array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, digest_1 long, digest_2 long, bands array<long>"
 
 
 def sketch(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: set size, digest of the set, signature and band keys.
-
-    ``row`` numbers the rows of this table once it is stored; it isn't stable before.
-    """
+    """One row per row of ``docs``: set size, digest of the set, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +121,13 @@ def sketch(docs: DataFrame, settings: Settings = Settings(), text: str = "text")
                     [
                         batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(offsets)),
                         pa.array(digests[0]), pa.array(digests[1]),
-                        pa.array([s.tobytes() for s in signed], pa.binary()),
                         pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel())),
                     ],
                     names=[part.split()[0] for part in SKETCH.split(", ")],
                 )
                 at += n
 
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col(text))
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), F.col(text))
     return read.mapInArrow(run, SKETCH)
 
 
@@ -170,66 +167,75 @@ def compare(left: np.ndarray, right: np.ndarray, settings: Settings, bounds) ->
     return low, high
 
 
-def verified(pairs: DataFrame, signed: DataFrame, settings: Settings) -> DataFrame:
-    """``pairs`` (a, b) with ``low`` and ``high``, the bounds of their similarity by their signatures."""
-    bounds = posterior_bounds(settings)
+USED = "id long, is_centre boolean, signature binary, held binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, settings.hashes)
-                for i in (2, 3)
-            )
-            low, high = compare(left, right, settings, bounds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(low), pa.array(high)], names=["a", "b", "low", "high"]
-            )
-
-    left = signed.select(F.col("id").alias("a"), F.col("signature").alias("left"))
-    right = signed.select(F.col("id").alias("b"), F.col("signature").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(
-        run, "a long, b long, low double, high double"
-    )
 
-
-def sets_of(asked: DataFrame, texts: DataFrame, settings: Settings, short: bool = False) -> DataFrame:
-    """(id, held): the shingle set of each asked id as sorted hashes of 64 bits, or 32 if ``short``."""
+def used_sets(asked: DataFrame, docs: DataFrame, text: str, settings: Settings) -> DataFrame:
+    """Signature and full set (sorted 64-bit hashes) of each asked id; ``asked`` has id and is_centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for flat, offsets in shingle_sets(batch.column(1), settings.shingle):
+            for flat, offsets in shingle_sets(batch.column(2), settings.shingle):
                 n = len(offsets) - 1
-                sets = (flat[a:b] for a, b in zip(offsets, offsets[1:]))
-                held = [(np.unique((x >> np.uint64(32)).astype(np.uint32)) if short else x).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(held, pa.binary())], names=["id", "held"])
+                held = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                signed = [s.tobytes() for s in signatures(flat, offsets, settings)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(signed, pa.binary()), pa.array(held, pa.binary())],
+                    names=[part.split()[0] for part in USED.split(", ")],
+                )
                 at += n
 
-    return texts.join(asked.distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, held binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
+    # The join sorts by id, so choosing one text of an id needs no shuffle of its own.
+    first = Window.partitionBy("id").orderBy(F.xxhash64("text"))
+    joined = texts.join(asked.hint("merge"), "id").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return joined.select("id", "is_centre", "text").mapInArrow(run, USED)
+
 
+def _held(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in column]
 
-def _shared(x: np.ndarray, y: np.ndarray) -> int:
+
+def _signed(column: pa.Array, settings: Settings) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, settings.hashes)
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union."""
     both = np.sort(np.concatenate((x, y)), kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared, len(both) - shared
+
 
+def verified(pairs: DataFrame, used: DataFrame, settings: Settings) -> DataFrame:
+    """``pairs`` (id, centre) with bounds of their similarity and whether they link.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has id and text."""
+    Pruned pairs have the bounds of the posterior; all others are verified on their sets, so both
+    bounds are the similarity itself.
+    """
+    bounds = posterior_bounds(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (left, right))
-                shared = _shared(x, y)
-                keep.append(100 * shared >= settings.percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            low, high = compare(_signed(batch.column(2), settings), _signed(batch.column(4), settings), settings, bounds)
+            linked = np.zeros(len(low), dtype=bool)
+            left, right = _held(batch.column(3)), _held(batch.column(5))
+            for i in np.flatnonzero(high >= settings.percent / 100):
+                shared, union = _overlap(left[i], right[i])
+                low[i] = high[i] = shared / union
+                linked[i] = 100 * shared >= settings.percent * union
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(low), pa.array(high), pa.array(linked)],
+                names=["id", "centre", "low", "high", "linked"],
+            )
 
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    held = materialize(sets_of(asked, texts, settings), "shingle-sets")
-    left = held.select(F.col("id").alias("a"), F.col("held").alias("left"))
-    right = held.select(F.col("id").alias("b"), F.col("held").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    left = used.select("id", F.col("signature").alias("s1"), F.col("held").alias("h1"))
+    right = used.where("is_centre").select(F.col("id").alias("centre"), F.col("signature").alias("s2"), F.col("held").alias("h2"))
+    joined = pairs.join(left.hint("merge"), "id").join(right.hint("merge"), "centre")
+    return joined.select("id", "centre", "s1", "h1", "s2", "h2").mapInArrow(
+        run, "id long, centre long, low double, high double, linked boolean"
+    )
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -237,7 +243,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
 
     ``component_id`` is the least doc_id that links reach, and a row is kept if it is its own. A null or
     blank text has an empty set and links with nothing. Rows of one doc_id are one document: its first
-    text by digest stands for it where texts differ, every row gets its component. A null doc_id links
+    text by hash stands for it where texts differ, every row gets its component. A null doc_id links
     with nothing: component null, kept. An empty table gives an empty result. Very long texts are
     shingled whole; other columns are not read.
 
@@ -247,21 +253,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     """
     sketched = materialize(sketch(docs, settings, text), "sketch")
     usable = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(
-        usable.groupBy("digest_1", "digest_2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("row").alias("row")), "classes"
-    )
+    same = ["digest_1", "digest_2", "n_shingles"]
+    classes = materialize(usable.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
     # Equal sets are links of their own; a document with rows in several classes joins them.
-    members = usable.select("doc_id", "digest_1", "digest_2", "n_shingles").join(
-        classes, ["digest_1", "digest_2", "n_shingles"]
-    ).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    members = usable.select("doc_id", *same).join(classes, same)
+    members = members.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
-    # One sketch for each class's least document.
-    first = Window.partitionBy("doc_id").orderBy("digest_1", "digest_2", "row")
+    # One row of bands for each class's least document.
+    first = Window.partitionBy("doc_id").orderBy("text_hash")
     chosen = usable.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    chosen = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    signed = materialize(chosen.select(F.col("doc_id").alias("id"), "signature", "bands"), "signed")
-
-    banded = signed.select("id", F.posexplode("bands").alias("band", "key"))
+    chosen = chosen.withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    banded = chosen.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    banded = materialize(banded, "bands")
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(banded.join(shared, "key"), "buckets")
     weight = buckets.groupBy("id").agg(F.sum(F.col("size") - 1).alias("weight"))
@@ -271,16 +274,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
         .select("key", (-F.col("top.minus")).alias("centre"))
     )
     placed = materialize(buckets.join(centre, "key").select("key", "band", "id", "size", "centre"), "centres")
-    starred = placed.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    bounded = materialize(verified(starred.distinct(), signed, settings), "bounds")
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    alike = F.col("high") >= settings.percent / 100
-    links = materialize(confirmed(bounded.where(alike), texts, settings), "links")
-    labels = components(links.union(members))
-
-    rest = materialize(leftover(placed, bounded, labels, signed, texts, settings), "leftover")
-    more = materialize(confirmed(rest, texts, settings), "links")
+    asked = placed.groupBy("id").agg(F.max(F.col("id") == F.col("centre")).alias("is_centre"))
+    used = materialize(used_sets(asked, docs, text, settings), "used")
+    pairs = placed.where("id <> centre").select("id", "centre").distinct()
+    bounded = materialize(verified(pairs, used, settings), "bounds")
+    stars = bounded.where("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    labels = components(stars.union(members))
+    more = materialize(leftover(placed, bounded, labels, used, settings), "leftover")
     if not more.isEmpty():
         # Labels stand for the links found so far.
         labels = components(more.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
@@ -303,53 +303,49 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return chosen.select(*names).union(docs.where("doc_id IS NULL").select(*names))
 
 
-def leftover(
-    placed: DataFrame, bounded: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, settings: Settings
-) -> DataFrame:
-    """Pairs (a, b) of a bucket in unlike components, neither its centre, that the bounds don't rule out.
+def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, used: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) inside a bucket between unlike components, neither document its centre.
 
     Inside a bucket, documents outside the centre's component are compared with all others, in blocks:
-    one row of the join holds two blocks of at most about ``BLOCK`` documents, and only pairs that pass
-    leave it. A pair of several buckets is compared in the first. With distances p and q of two documents to the centre, theirs is at least p - q, which
-    spares most signatures of documents far from the centre.
+    one row of the join holds two blocks of about ``BLOCK`` documents. With distances p and q of two
+    documents to the centre, theirs is at least p - q; that leaves out most documents of the centre's
+    component before any block is made. A pair of several buckets is compared in the first.
     """
+    reach = 1 - settings.percent / 100 + 1e-9
     held = placed.where("size > 2").join(labels.select("id", "component"), "id", "left")
     held = held.withColumn("component", F.coalesce("component", "id"))
     main = held.where("id = centre").select("key", F.col("component").alias("main"))
-    rows = held.where("id <> centre").withColumns({"a": F.least("id", "centre"), "b": F.greatest("id", "centre")})
-    rows = rows.join(main, "key").join(bounded, ["a", "b"])
+    rows = held.where("id <> centre").join(main, "key").join(bounded, ["id", "centre"])
     rows = materialize(rows.select("key", "band", "id", "component", (F.col("component") == F.col("main")).alias("inside"), "low", "high"), "leftover-rows")
+    outside = rows.where("NOT inside").groupBy("key").agg(F.min("low").alias("out_low"), F.max("high").alias("out_high"))
+    rows = rows.join(outside, "key").where(
+        (~F.col("inside")) | ((F.col("low") - F.col("out_high") <= reach) & (F.col("out_low") - F.col("high") <= reach))
+    ).drop("out_low", "out_high")
     counts = rows.groupBy("key", "inside").agg(F.count("*").alias("n"))
-    outside = counts.where("NOT inside").select("key")
-    counts = counts.join(outside, "key", "left_semi")
+    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
     fields = ["id", "component", "low", "high", "signature", "held"]
-    rows = rows.join(counts, ["key", "inside"])
-    held = sets_of(rows.select("id"), texts, settings, short=True)
     blocks = (
-        rows.join(signed.select("id", "signature"), "id").join(held, "id")
+        rows.join(several, "key", "left_semi").join(counts, ["key", "inside"])
+        .join(used.select("id", "signature", "held"), "id")
         .groupBy("key", "band", "inside", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct(*fields)).alias("rows"))
     )
     blocks = materialize(blocks, "leftover-blocks")
     bounds = posterior_bounds(settings)
-    reach = 1 - settings.percent / 100 + 1e-9
 
-    def unpack(rows: pa.StructScalar) -> dict:
+    def unpack(rows: pa.ListScalar) -> dict:
         flat = rows.values
         plain = {name: flat.field(name).to_numpy() for name in fields[:4]}
-        signature = np.frombuffer(b"".join(flat.field("signature").to_pylist()), dtype=np.uint32)
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in flat.field("held")]
-        return plain | {"signature": signature.reshape(-1, settings.hashes), "held": sets}
+        return plain | {"signature": _signed(flat.field("signature"), settings), "held": _held(flat.field("held"))}
 
     def first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        used = slice(0, settings.bands * settings.rows)
-        return (x[:, used] == y[:, used]).reshape(len(x), settings.bands, -1).all(axis=2).argmax(axis=1)
+        on = slice(0, settings.bands * settings.rows)
+        return (x[:, on] == y[:, on]).reshape(len(x), settings.bands, -1).all(axis=2).argmax(axis=1)
 
-    def alike(x: np.ndarray, y: np.ndarray) -> bool:
-        # One percent less than asked makes up for unlike shingles with equal 32 bits.
-        shared = _shared(x, y)
-        return 100 * shared >= (settings.percent - 1) * (len(x) + len(y) - shared)
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        shared, union = _overlap(x, y)
+        return 100 * shared >= settings.percent * union
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,9 +360,8 @@ def leftover(
                     left_signed, right_signed = x["signature"][p], y["signature"][q]
                     passed = compare(left_signed, right_signed, settings, bounds)[1] >= settings.percent / 100
                     passed &= first_band(left_signed, right_signed) == band
-                    near = np.array([k for k in np.flatnonzero(passed) if alike(x["held"][p[k]], y["held"][q[k]])], dtype=np.int64)
-                    a, b = x["id"][p[near]], y["id"][q[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    near = np.array([k for k in np.flatnonzero(passed) if linked(x["held"][p[k]], y["held"][q[k]])], dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x["id"][p[near]]), pa.array(y["id"][q[near]])], names=["a", "b"])
 
     x, y = blocks.where("NOT inside").alias("x"), blocks.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.inside") | (F.col("x.chunk") <= F.col("y.chunk"))))
