@@ -32,7 +32,7 @@ END, START, OTHER = (np.uint64(x) for x in (0xE0D0E0D0E0D0E0D0, 0x57A7557A7557A7
 class Settings:
     #: A word is in the head if it is one of ``head`` tokens or more often; so the head has at most ``head`` words.
     head: int = 1 << 16
-    classes: int = 32
+    classes: int = 20
     per_class: int = 32
     #: Buckets of the features for classes, and for words of a class.
     class_buckets: int = 1 << 14
@@ -120,21 +120,26 @@ class Examples:
             out[back < steps] = START
             return out
 
-        one, two, three = (before(known, i) for i in (1, 2, 3))
+        one, two = before(known, 1), before(known, 2)
         near, next_near = before(common, 1), before(common, 2)
         salt = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         keys = [
             one + salt[0],  # the word before
             mix(near + salt[1]) + next_near,  # the two words before
             two + salt[2],  # skip one
-            three + salt[3],  # skip two
             mix(near + salt[4]) + before(common, 3),  # the word before and the third before
         ]
-        self.class_features = np.stack([(mix(k) % np.uint64(s.class_buckets)).astype(np.int64) for k in keys], axis=1)
         group = mix(self.target.astype(np.uint64) + salt[5])
-        self.word_features = np.stack(
-            [(mix(k + group) % np.uint64(s.word_buckets)).astype(np.int64) for k in (near, two + salt[6])], axis=1
-        )
+        self.class_features = _buckets(keys, s.class_buckets)
+        self.word_features = _buckets([k + group for k in (near, two + salt[6])], s.word_buckets)
+
+
+def _buckets(keys: list[np.ndarray], buckets: int) -> np.ndarray:
+    """A bucket for each key; ``buckets`` is a power of two of at most 2**16, which sorts fast."""
+    out = np.empty((len(keys[0]), len(keys)), dtype=np.uint16)
+    for i, key in enumerate(keys):
+        out[:, i] = mix(key) & np.uint64(buckets - 1)
+    return out
 
 
 def _log_softmax(scores: np.ndarray) -> np.ndarray:
