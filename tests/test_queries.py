@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as spark_entry
+import workload
 from workload.compare import connect, spark_rows, sql_rows
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, SQL = workload.QUERIES, workload.SQL
 
 
 @pytest.fixture(scope="module")
