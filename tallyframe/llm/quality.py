@@ -191,8 +191,11 @@ def _distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return nearest
 
 
-def distances(counted: DataFrame, known: References, rules: Rules = Rules()) -> DataFrame:
-    """``counted`` with ``class_distance`` and ``word_distance``, null where too short or without references."""
+def distances(counted: DataFrame, known: References, rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
+    """``counted`` with ``class_distance`` and ``word_distance``, null where too short or without references.
+
+    A language that has no reference isn't judged by those of others; an unknown one is, by the nearest.
+    """
     classes = np.array([c for c, _ in known.values()])
     common = np.array([w for _, w in known.values()])
 
@@ -201,12 +204,13 @@ def distances(counted: DataFrame, known: References, rules: Rules = Rules()) ->
             if not batch.num_rows:
                 continue
             named = dict(zip(batch.schema.names, batch.columns))
+            foreign = np.array([x is not None and x not in known for x in named[lang].to_pylist()])
             for name, of, shares, least in (
                 ("class_distance", "classes", classes, rules.min_chars_judged),
                 ("word_distance", "common", common, rules.min_words_judged),
             ):
                 counts = np.asarray(named[of].flatten()).reshape(batch.num_rows, -1)
-                unjudged = (counts.sum(axis=1) < least) | (not known)
+                unjudged = (counts.sum(axis=1) < least) | foreign | (not known)
                 named[name] = pa.array(_distance(counts, shares), pa.float64(), mask=unjudged)
             yield pa.RecordBatch.from_pydict(named)
 
@@ -236,9 +240,9 @@ def learn(counts: DataFrame, rules: Rules = Rules()) -> References:
     return references(trimmed.drop("class_distance", "word_distance"), rules)
 
 
-def verdicts(counts: DataFrame, known: References, rules: Rules = Rules()) -> DataFrame:
+def verdicts(counts: DataFrame, known: References, rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
     """``counts`` with both distances and ``kept`` in place of the histograms."""
-    measured = distances(counts, known, rules)
+    measured = distances(counts, known, rules, lang)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     limit = lambda pair, n: pair[0] + pair[1] / F.sqrt(F.greatest(n, F.lit(1)))
     kept = ~F.col("base_failed") & _near(limit(rules.class_limit, chars), limit(rules.word_limit, F.col("n_words")))
@@ -250,9 +254,9 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ("doc_i
 
     A document fails the base with fewer than 50 words, or with more than half its words in repeated
     three-word windows. It is kept if it passes and neither judged distance is beyond its limit.
-    Distances are null where the text is too short to judge, or no language has a reference; then the
-    base alone decides. A null text has no words and fails. A null ``lang`` is judged like any other,
-    as the nearest language counts, but adds to no reference. Each row, repeated or not, gets its own
+    Distances are null where the text is too short to judge or its language has no reference; then the
+    base alone decides. A null text has no words and fails. A null ``lang`` is judged by the nearest
+    language, and adds to no reference. Each row, repeated or not, gets its own
     verdict; an empty table gives an empty result; columns other than those named are not read.
     """
     keep = list(keep)
@@ -272,5 +276,5 @@ def good_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = docs.columns
     plain = [f"_c{i}" for i in range(len(names))]
     renamed = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], F.col("text"))
-    kept = verdicts(counted(renamed, rules, plain), known, rules).where("kept")
+    kept = verdicts(counted(renamed, rules, plain), known, rules, plain[names.index("lang")]).where("kept")
     return kept.select(*[F.col(p).alias(c) for c, p in zip(names, plain)])
