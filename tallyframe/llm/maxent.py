@@ -4,7 +4,7 @@ The most frequent words are dealt into classes by frequency; all other words are
 chance of a token is that of its class, by a softmax over hashed n-gram and skip features of the three
 words before it, times that of the word in its class: for a frequent word a second softmax over hashed
 features, for any other the add-one share of its count among those words. Both softmaxes start from
-the counts of all training tokens, so untrained weights give the unigram model.
+the counts of all training tokens, so untrained weights give the add-one unigram model.
 
 Training is distributed: in each round, every task descends on its own part of that round's documents
 from the same weights, and the weighted mean of the tasks' steps moves the weights. Scoring works on
@@ -40,6 +40,8 @@ class Settings:
     rounds: int = 3
     rate: float = 1.0
     minibatch: int = 1 << 13
+    #: Uses that every bucket counts as having before the first; it slows the first steps.
+    calm: float = 400.0
     #: Training leaves out documents whose checksum has this remainder.
     modulus: int = 7
     held_out: int = 2
@@ -64,14 +66,12 @@ class Tables:
         grid = grid.reshape(settings.classes, settings.per_class)
         self.rare_total = total - int(grid.sum())
         self.rare_distinct = distinct - len(frequent)
-        mass = np.append(grid.sum(axis=1), self.rare_total)
-        with np.errstate(divide="ignore"):
-            # Empty classes and places have no chance; the rare class always has some.
-            self.class_bias = np.log(mass + (np.arange(len(mass)) == settings.classes)).astype(np.float32)
-            self.word_bias = np.log(grid).astype(np.float32)
-        self.class_bias -= self.class_bias.max(initial=0)
-        self.word_bias[np.isinf(self.word_bias)] = -1e30
-        self.class_bias[np.isinf(self.class_bias)] = -1e30
+        # With one more for each word and for an unseen one, untrained weights give the base's chances.
+        smoothed = np.where(grid > 0, grid + 1, 0)
+        mass = np.append(smoothed.sum(axis=1), self.rare_total + self.rare_distinct + 1)
+        with np.errstate(divide="ignore"):  # empty classes and places have no chance
+            self.class_bias = np.maximum(np.log(mass / mass.max()), -1e30).astype(np.float32)
+            self.word_bias = np.maximum(np.log(smoothed), -1e30).astype(np.float32)
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token in the head, or -1."""
@@ -241,7 +241,7 @@ def train(texts: DataFrame, tables: Tables) -> Weights:
             tables, old = shipped_tables.value, shipped.value
             mine = Weights(tables.settings)
             mine.classes[:], mine.words[:] = old.classes, old.words
-            seen = tuple(np.full(len(w), 20.0, dtype=np.float32) for w in (mine.classes, mine.words))
+            seen = tuple(np.full(len(w), tables.settings.calm, dtype=np.float32) for w in (mine.classes, mine.words))
             n = 0
             for batch in batches:
                 for chunk in texts_of(batch.column(0)):
