@@ -64,6 +64,6 @@ def unmapped_codes(
 
 
 def require_mapped(df: DataFrame, country_column: str = "pays", code_column: str = "code_produit") -> None:
-    offenders = unmapped_codes(df, country_column, code_column).limit(20).collect()
+    offenders = unmapped_codes(df, country_column, code_column).collect()
     if offenders:
         raise ValueError(f"Codes produits non mappes: {[r.asDict() for r in offenders]}")

@@ -83,7 +83,7 @@ def _missing_report(df: DataFrame, by: list[str], columns: Sequence[str] | None)
     ]
     fields = "column: string, dtype: string, missing_count: bigint, row_count: bigint"
     return counted.select(*by, unpivoted(lines, fields)).withColumn(
-        "missing_rate_pct", F.round(F.col("missing_count") / F.col("row_count") * 100, 2)
+        "missing_rate_pct", F.round(F.try_divide("missing_count", "row_count") * 100, 2)
     )
 
 
@@ -117,7 +117,7 @@ def _profile(df: DataFrame, by: list[str], aliases: Sequence[str]) -> DataFrame:
     counted = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), reduce(Column.__add__, gaps).alias("total_missing")
     )
-    rate = F.col("total_missing") / (F.col("rows") * len(names)) * 100
+    rate = F.try_divide(F.col("total_missing"), F.col("rows") * len(names)) * 100
     described = counted.withColumns(
         {
             "columns": F.lit(len(names)),
@@ -131,12 +131,20 @@ def _profile(df: DataFrame, by: list[str], aliases: Sequence[str]) -> DataFrame:
     return described.withColumn("dtypes", F.lit(types))
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both tables joined by their keys; without keys each is one row, and no join is needed."""
+    if keys:
+        return left.join(right, keys)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(f"`{c}`").alias(c) for c in both.columns])
+
+
 def structure_report(
     tables: Tables, by: Sequence[str] = (), aliases: Sequence[str] = presets.TARGET_ALIASES
 ) -> DataFrame:
     """The profile plus the column types as text."""
     described = stacked(tables, by, lambda df, keys: _profile(df, keys, aliases))
-    return described.join(duplicate_rows(tables, by), source_keys(tables, by))
+    return _side_by_side(described, duplicate_rows(tables, by), source_keys(tables, by))
 
 
 def missing_totals(tables: Tables, by: Sequence[str] = ()) -> DataFrame:
@@ -148,7 +156,7 @@ def compare_missing(before: Tables, after: Tables, by: Sequence[str] = ()) -> Da
     """Missing cells per source before and after a treatment."""
     old = missing_totals(before, by).withColumnRenamed("missing", "missing_before")
     new = missing_totals(after, by).withColumnRenamed("missing", "missing_after")
-    return old.join(new, source_keys(before, by)).withColumn(
+    return _side_by_side(old, new, source_keys(before, by)).withColumn(
         "missing_removed", F.col("missing_before") - F.col("missing_after")
     )
 

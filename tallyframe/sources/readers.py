@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -113,13 +114,12 @@ def read_tables(spark: SparkSession, paths: Mapping[str, str], **options: str) -
 
 
 def read_same_schema(spark: SparkSession, paths: Mapping[str, str], column: str = "source") -> DataFrame:
-    """Several Parquet sources of one schema in a single scan, tagged by their folder."""
-    df = spark.read.parquet(*paths.values())
-    name = F.lit(None).cast("string")
-    for source, path in paths.items():
-        file, folder = F.col("_metadata.file_path"), path.rstrip("/")
-        name = F.when(file.endswith(folder) | file.contains(folder + "/"), source).otherwise(name)
-    return df.withColumn(column, name)
+    """Several Parquet sources of one schema, each read and tagged on its own.
+
+    The name goes with the read, not with the file's path, so any folder name will do.
+    """
+    tagged = [spark.read.parquet(path).withColumn(column, F.lit(source)) for source, path in paths.items()]
+    return reduce(DataFrame.unionByName, tagged)
 
 
 def tag(df: DataFrame, spec: SourceSpec) -> DataFrame:

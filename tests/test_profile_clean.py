@@ -181,3 +181,17 @@ def test_top_missing(spark):
     df = one(spark, rows, ", ".join(f"{n} int" for n in names))
     top = top_missing(missing_report(df, ["source"]), ["source"]).collect()
     assert sorted(r["column"] for r in top) == names[3:]
+
+
+def test_one_table_without_a_source_key(spark):
+    from tallyframe.operators.profile import compare_missing, missing_report, profile, structure_report
+
+    one = spark.createDataFrame([(1, None), (2, "a"), (2, "a")], "x long, y string")
+    got = profile(one).collect()
+    assert len(got) == 1 and (got[0]["rows"], got[0]["duplicate_rows"], got[0]["total_missing"]) == (3, 1, 1)
+    assert structure_report(one).count() == 1
+    assert compare_missing(one, one.na.fill("-")).first()["missing_removed"] == 1
+    empty = one.limit(0)
+    assert {r["missing_rate_pct"] for r in missing_report(empty).collect()} == {None}
+    plan = compare_missing(one, one)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
