@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyframe.functions.cast import ref
 from tallyframe.session import materialize
 
-# A lookup of at most this many rows is sent to every executor.
-BROADCAST_ROWS = 20_000
-SALTS = 64
+# A lookup is sent to every executor only if it is no larger than this, as printed text.
+BROADCAST_BYTES = 20_000_000
+# No single row of such a lookup is longer than this.
+ROW_BYTES = 1_000
 
 
 @dataclass(frozen=True)
@@ -26,35 +28,41 @@ class Lookup:
 def measure(
     df: DataFrame,
     keys: Sequence[str],
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
+    row_bytes: int = ROW_BYTES,
 ) -> Lookup:
     """Compute a lookup once and decide how it may be joined.
 
-    At most ``max_rows + 1`` rows ever reach the driver. A larger table is written out,
-    so that the join reads it instead of computing it again.
+    Rows longer than ``row_bytes`` stay where they are, so what reaches the driver is never
+    larger than ``max_bytes``. A table with a longer row, or with more rows than that allows,
+    is written out, so that the join reads it instead of computing it again.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
+    max_rows = max_bytes // row_bytes
+    whole = F.struct(*[ref(c) for c in df.columns])
+    short = F.octet_length(whole.cast("string")) <= row_bytes
+    head = [row[0] for row in df.limit(max_rows + 1).select(F.when(short, whole)).collect()]
+    if len(head) <= max_rows and None not in head:
         spark = df.sparkSession
         return Lookup(spark.createDataFrame(head, df.schema), tuple(keys), True)
     return Lookup(materialize(df, "lookup"), tuple(keys), False)
 
 
-def attach(df: DataFrame, lookup: Lookup, how: str = "left", salts: int = SALTS) -> DataFrame:
+def attach(df: DataFrame, lookup: Lookup, how: str = "left") -> DataFrame:
     """Join the lookup's columns to ``df`` by its keys, one match per row at most.
 
     Small lookups are broadcast, so the large side is not moved. Beyond that both sides are
-    shuffled on the keys plus a salt: the lookup is repeated once per salt, and the rows of
-    one hot key spread over all of them.
+    joined by Spark's own choice; adaptive execution splits the rows of a hot key over
+    several tasks. A lookup without keys has one row at most; its values enter as constants.
     """
     keys = list(lookup.keys)
+    if not keys:
+        row = lookup.table.first()
+        made = {f.name: F.lit(row and row[f.name]).cast(f.dataType) for f in lookup.table.schema}
+        joined = df.withColumns(made)
+        return joined if row is not None or how == "left" else joined.limit(0)
     if lookup.small:
         return df.join(F.broadcast(lookup.table), keys, how)
-    spread = lookup.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
-    )
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return df.join(lookup.table, keys, how)
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> None:

@@ -21,8 +21,8 @@ from tallyframe.operators.retrieval import DEFAULT_K, question_units, record_tex
 from tallyframe.operators.schema import union_aligned
 
 SUMMARY_CATEGORIES = 5
-# Retrieved lists are wide rows, so fewer of them are broadcast.
-BROADCAST_RECORDS = 2_000
+# Retrieved lists are wide rows, so fewer of them fit the bound of a broadcast.
+RECORDS_BYTES = 16_000
 
 
 def scope_key(effective: Column | str) -> Column:
@@ -184,22 +184,26 @@ def retrieved_records(
     ``questions`` comes from ``question_units`` with the same scope column.
     """
     json = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
+    cleaned = {source: without_nan(df) for source, df in frames.items()}
     parts = [
-        df.select(
-            F.lit(source).alias("source"),
-            ref(order_keys[source]).alias("key"),
-            record_text(df).alias("text"),
-            F.to_json(F.struct(*[ref(c) for c in df.columns]), json).alias("record"),
-        )
-        for source, df in ((source, without_nan(df)) for source, df in frames.items())
+        df.select(F.lit(source).alias("source"), ref(order_keys[source]).alias("key"), record_text(df).alias("text"))
+        for source, df in cleaned.items()
     ]
     rows = union_aligned(parts)
     best = measure(
         retrieve_many(rows, questions, "key", k, text=F.col("text"), source="source", scope=scope),
         ["source", "key"],
     ).table
-    chosen = measure(best.select("source", "key").distinct(), ["source", "key"])
-    texts = attach(rows.select("source", "key", "record"), chosen, "inner")
+    names = ["_source", "_key"]
+    chosen = measure(best.select("source", "key").distinct().toDF(*names), names)
+    # Only the chosen rows are printed: the join comes first, on the bare columns.
+    records = []
+    for source, df in cleaned.items():
+        keyed = df.withColumns({"_source": F.lit(source), "_key": ref(order_keys[source]).cast(best.schema["key"].dataType)})
+        found = attach(keyed, chosen, "inner")
+        record = F.to_json(F.struct(*[ref(c) for c in df.columns]), json)
+        records.append(found.select(F.col("_source").alias("source"), F.col("_key").alias("key"), record.alias("record")))
+    texts = union_aligned(records)
     lines = best.join(texts, ["source", "key"])
     listed = lines.groupBy("unit").agg(
         F.sort_array(F.collect_list(F.struct("rank", "overlap", "source", "record"))).alias("retrieved")
@@ -221,7 +225,7 @@ def contexts(
         {"scope_key": scope_key("effective"), "labels": source_labels(F.col("effective"))}
     )
     with_facts = attach(keyed, measure(facts, ["scope_key"]))
-    joined = attach(with_facts, measure(records, ["unit"], BROADCAST_RECORDS))
+    joined = attach(with_facts, measure(records, ["unit"], row_bytes=RECORDS_BYTES))
     fact_fields = [c for c in facts.columns if c != "scope_key"]
     statistics = F.struct(
         *[F.col(c) for c in ("responses", "valid_scores", "total", "mean", "by_product", "by_country")]

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe import presets
-from tallyframe.operators.attach import BROADCAST_ROWS, Lookup, attach, measure, require_unique
+from tallyframe.operators.attach import BROADCAST_BYTES, Lookup, attach, measure, require_unique
 from tallyframe.operators.schema import canonical_country
 
 
 def product_reference(
     spark: SparkSession,
-    codes: Mapping[str, Sequence[str]] = presets.PRODUCT_CODES,
-    products: Sequence[str] = presets.PRODUCTS,
+    codes: Mapping[str, Mapping[str, str]] = presets.PRODUCT_CODES,
 ) -> DataFrame:
-    """Country, local code and global product; codes are listed in product order."""
+    """Country, local code and global product of a configured table."""
     rows = [
         (country, code, product)
         for country, local in codes.items()
-        for code, product in zip(local, products, strict=True)
+        for code, product in local.items()
     ]
     return spark.createDataFrame(rows, "pays string, code_produit_source string, produit_global string")
 
@@ -35,10 +35,10 @@ def product_lookup(reference: DataFrame) -> Lookup:
     return measure(table, KEYS)
 
 
-def preset_lookup(spark: SparkSession, codes: Mapping[str, Sequence[str]] = presets.PRODUCT_CODES) -> Lookup:
-    """The lookup of a configured code table: its size and keys are known without a job."""
+def preset_lookup(spark: SparkSession, codes: Mapping[str, Mapping[str, str]] = presets.PRODUCT_CODES) -> Lookup:
+    """The lookup of a configured code table, which is local: its keys are known without a job."""
     table = product_reference(spark, codes).withColumnRenamed("code_produit_source", "code_produit")
-    return Lookup(table, KEYS, sum(map(len, codes.values())) <= BROADCAST_ROWS)
+    return Lookup(table, KEYS, len(json.dumps(codes)) <= BROADCAST_BYTES)
 
 
 def add_product(

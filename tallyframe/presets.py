@@ -41,38 +41,83 @@ FINAL_COLUMNS = {
     "commentaire_global": "string",
 }
 
-# Columns every branch already names as the common schema does.
-_SHARED = ("taille_colis", "fragile", "poids_kg", "prix_livraison_eur", "statut_colis")
-
-# Remaining local names, in the order: id, date, country, product, delay, courier,
-# parcel state, service, overall score.
-_SURVEY_FIELDS = (
-    "id_enquete", "date_enquete", "pays", "code_produit", "delai_livraison",
-    "relation_livreur", "etat_colis", "service_client", "satisfaction_globale",
-)
-_LOCAL_NAMES = {
-    "Allemagne": (
-        "umfrage_id", "umfrage_datum", "land", "produkt_code", "lieferzeit",
-        "zusteller", "paket_zustand", "kundenservice", "gesamtzufriedenheit",
-    ),
-    "Canada": (
-        "survey_id", "survey_date", "country", "product_code", "delivery_time",
-        "delivery_person", "parcel_condition", "customer_service", "overall_satisfaction",
-    ),
-    "Espagne": (
-        "id_encuesta", "fecha_encuesta", "pais", "producto", "plazo_entrega",
-        "relacion_repartidor", "estado_paquete", "servicio_cliente", "satisfaccion_global",
-    ),
-    "France": _SURVEY_FIELDS,
-}
-
 COLUMN_MAPS = {
-    branch: {**dict(zip(local, _SURVEY_FIELDS)), **{name: name for name in _SHARED}}
-    for branch, local in _LOCAL_NAMES.items()
-}
-COLUMN_MAPS["Maroc"] = {
-    name: name
-    for name in ("id_enquete", "date_enquete", "pays", "code_produit", *_SHARED, "commentaire_global")
+    "Allemagne": {
+        "umfrage_id": "id_enquete",
+        "umfrage_datum": "date_enquete",
+        "land": "pays",
+        "produkt_code": "code_produit",
+        "lieferzeit": "delai_livraison",
+        "zusteller": "relation_livreur",
+        "paket_zustand": "etat_colis",
+        "kundenservice": "service_client",
+        "gesamtzufriedenheit": "satisfaction_globale",
+        "taille_colis": "taille_colis",
+        "fragile": "fragile",
+        "poids_kg": "poids_kg",
+        "prix_livraison_eur": "prix_livraison_eur",
+        "statut_colis": "statut_colis",
+    },
+    "Canada": {
+        "survey_id": "id_enquete",
+        "survey_date": "date_enquete",
+        "country": "pays",
+        "product_code": "code_produit",
+        "delivery_time": "delai_livraison",
+        "delivery_person": "relation_livreur",
+        "parcel_condition": "etat_colis",
+        "customer_service": "service_client",
+        "overall_satisfaction": "satisfaction_globale",
+        "taille_colis": "taille_colis",
+        "fragile": "fragile",
+        "poids_kg": "poids_kg",
+        "prix_livraison_eur": "prix_livraison_eur",
+        "statut_colis": "statut_colis",
+    },
+    "Espagne": {
+        "id_encuesta": "id_enquete",
+        "fecha_encuesta": "date_enquete",
+        "pais": "pays",
+        "producto": "code_produit",
+        "plazo_entrega": "delai_livraison",
+        "relacion_repartidor": "relation_livreur",
+        "estado_paquete": "etat_colis",
+        "servicio_cliente": "service_client",
+        "satisfaccion_global": "satisfaction_globale",
+        "taille_colis": "taille_colis",
+        "fragile": "fragile",
+        "poids_kg": "poids_kg",
+        "prix_livraison_eur": "prix_livraison_eur",
+        "statut_colis": "statut_colis",
+    },
+    "France": {
+        "id_enquete": "id_enquete",
+        "date_enquete": "date_enquete",
+        "pays": "pays",
+        "code_produit": "code_produit",
+        "delai_livraison": "delai_livraison",
+        "relation_livreur": "relation_livreur",
+        "etat_colis": "etat_colis",
+        "service_client": "service_client",
+        "satisfaction_globale": "satisfaction_globale",
+        "taille_colis": "taille_colis",
+        "fragile": "fragile",
+        "poids_kg": "poids_kg",
+        "prix_livraison_eur": "prix_livraison_eur",
+        "statut_colis": "statut_colis",
+    },
+    "Maroc": {
+        "id_enquete": "id_enquete",
+        "date_enquete": "date_enquete",
+        "pays": "pays",
+        "code_produit": "code_produit",
+        "taille_colis": "taille_colis",
+        "fragile": "fragile",
+        "poids_kg": "poids_kg",
+        "prix_livraison_eur": "prix_livraison_eur",
+        "statut_colis": "statut_colis",
+        "commentaire_global": "commentaire_global",
+    },
 }
 
 # --- Fixed values: score column search and protected columns ----------------------
@@ -84,22 +129,52 @@ TARGET_ALIASES = (
     "satisfaction",
     "global_satisfaction",
 )
-PROTECTED_COLUMNS = _SHARED
+PROTECTED_COLUMNS = (
+    "taille_colis",
+    "fragile",
+    "poids_kg",
+    "prix_livraison_eur",
+    "statut_colis",
+)
 
 # --- Fixed values: product codes ---------------------------------------------------
 
 PRODUCTS = ("STANDARD", "EXPRESS", "PREMIUM")
 PRODUCT_CODES = {
-    "France": ("COLIS_STANDARD", "COLIS_EXPRESS", "COLIS_PREMIUM"),
-    "Espagne": ("PAQUETE_ESTANDAR", "PAQUETE_EXPRESS", "PAQUETE_PREMIUM"),
-    "Canada": ("PARCEL_STANDARD", "PARCEL_EXPRESS", "PARCEL_PREMIUM"),
-    "Maroc": ("COLIS_STANDARD", "COLIS_EXPRESS", "COLIS_PREMIUM"),
-    "Allemagne": ("PAK_001", "PAK_002", "PAK_003"),
+    "France": {
+        "COLIS_STANDARD": "STANDARD",
+        "COLIS_EXPRESS": "EXPRESS",
+        "COLIS_PREMIUM": "PREMIUM",
+    },
+    "Espagne": {
+        "PAQUETE_ESTANDAR": "STANDARD",
+        "PAQUETE_EXPRESS": "EXPRESS",
+        "PAQUETE_PREMIUM": "PREMIUM",
+    },
+    "Canada": {
+        "PARCEL_STANDARD": "STANDARD",
+        "PARCEL_EXPRESS": "EXPRESS",
+        "PARCEL_PREMIUM": "PREMIUM",
+    },
+    "Maroc": {
+        "COLIS_STANDARD": "STANDARD",
+        "COLIS_EXPRESS": "EXPRESS",
+        "COLIS_PREMIUM": "PREMIUM",
+    },
+    "Allemagne": {
+        "PAK_001": "STANDARD",
+        "PAK_002": "EXPRESS",
+        "PAK_003": "PREMIUM",
+    },
 }
 COUNTRY_ALIASES = {"Deutschland": "Allemagne", "España": "Espagne"}
 CLAIM_PRODUCTS = {
-    **{f"COLIS_{product}": product for product in PRODUCTS},
-    **{product: product for product in PRODUCTS},
+    "COLIS_STANDARD": "STANDARD",
+    "COLIS_EXPRESS": "EXPRESS",
+    "COLIS_PREMIUM": "PREMIUM",
+    "STANDARD": "STANDARD",
+    "EXPRESS": "EXPRESS",
+    "PREMIUM": "PREMIUM",
 }
 CLAIM_PRODUCT_PATTERN = "(STANDARD|EXPRESS|PREMIUM)"
 

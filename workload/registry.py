@@ -83,7 +83,7 @@ def query_tokens_sql(text: str) -> str:
 def product_sql(branch: str, column: str) -> str:
     arms = " ".join(
         f"WHEN '{code}' THEN '{product}'"
-        for code, product in zip(presets.PRODUCT_CODES[branch], presets.PRODUCTS)
+        for code, product in presets.PRODUCT_CODES[branch].items()
     )
     return f"CASE {column} {arms} END"
 
