@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -12,9 +13,9 @@ from tallyframe.presets import STOP_WORDS
 
 @lru_cache(maxsize=1)
 def _accent_tables() -> tuple[str, str]:
-    """Accented letters and their base letters, derived from the Unicode data."""
+    """Accented letters and their single base letters, derived from the Unicode data."""
     source, target = [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         letter = chr(code)
         decomposed = unicodedata.normalize("NFD", letter)
         if decomposed == letter:
@@ -26,6 +27,47 @@ def _accent_tables() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+# Hangul syllables lie in order of their leads, vowels and tails; the first tail is none.
+_SYLLABLES = ("\uac00", "\ud7a3")
+_LEADS = "".join(chr(0x1100 + i) for i in range(19))
+_VOWELS = "".join(chr(0x1161 + i) for i in range(21))
+_TAILS = "".join(chr(0x11A7 + i) for i in range(28))
+
+
+@lru_cache(maxsize=1)
+def _several_bases() -> dict[str, str]:
+    """Letters other than Hangul that decompose to several base letters."""
+    found = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        letter = chr(code)
+        if _SYLLABLES[0] <= letter <= _SYLLABLES[1]:
+            continue
+        base = "".join(ch for ch in unicodedata.normalize("NFD", letter) if unicodedata.category(ch) != "Mn")
+        if len(base) > 1:
+            found[letter] = base
+    return found
+
+
+def _split_bases(text: Column) -> Column:
+    """Letters of several bases as those; texts without such letters are left as they are."""
+    table = _several_bases()
+    bases = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
+    syllables = f"[{_SYLLABLES[0]}-{_SYLLABLES[1]}]"
+
+    def one(letter: Column) -> Column:
+        place = F.ascii(letter) - ord(_SYLLABLES[0])
+        tail = place % 28
+        jamo = F.concat(
+            F.substr(F.lit(_LEADS), F.floor(place / 588).cast("int") + 1, F.lit(1)),
+            F.substr(F.lit(_VOWELS), F.floor(place % 588 / 28).cast("int") + 1, F.lit(1)),
+            F.when(tail > 0, F.substr(F.lit(_TAILS), tail + 1, F.lit(1))).otherwise(""),
+        )
+        return F.when(letter.rlike(syllables), jamo).otherwise(F.coalesce(bases[letter], letter))
+
+    some = text.rlike(f"[{_SYLLABLES[0]}-{_SYLLABLES[1]}{''.join(table)}]")
+    return F.when(some, F.concat_ws("", F.transform(F.split(text, ""), one))).otherwise(text)
+
+
 def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
@@ -34,7 +76,7 @@ def fold_present(column: Column | str) -> Column:
     """Lower case without accents; null stays null."""
     source, target = _accent_tables()
     lowered = F.translate(F.lower(_col(column).cast("string")), source, target)
-    return F.regexp_replace(lowered, r"\p{Mn}", "")
+    return F.regexp_replace(_split_bases(lowered), r"\p{Mn}", "")
 
 
 def fold(column: Column | str) -> Column:

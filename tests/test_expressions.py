@@ -156,3 +156,17 @@ def test_score_rules(spark):
     df = spark.createDataFrame(rows, "source string, satisfaction_globale string, commentaire_global string, want double")
     for row in df.select("*", score_by_source(F.col("source")).alias("got")).collect():
         assert row.got == row.want, row
+
+
+def test_fold_covers_unicode(spark):
+    import sys
+    import unicodedata
+
+    letters = [
+        ch for ch in map(chr, range(0x80, sys.maxunicode + 1))
+        if unicodedata.normalize("NFD", ch) != ch and ch.lower() == ch and unicodedata.category(ch) != "Mn"
+    ]
+    df = spark.createDataFrame([(ch, f"<{ch}a{ch}>") for ch in letters], "letter string, text string")
+    for letter, text, folded in df.select("letter", "text", fold("text")).collect():
+        want = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        assert folded == want, (hex(ord(letter)), folded, want)
