@@ -61,13 +61,21 @@ def dashboard(sources: SourceSet, ids: Sequence[str], spec: FilterSpec = FilterS
     surveys, claims = cubes(sources, frames)
     claims_selected = any(sources.specs[i].kind == CLAIM_KIND for i in ids)
     unfiltered = sources.pick(ids)
-    rows = surveys.select(F.lit("satisfaction_rows").alias("id"), "rows").unionByName(
-        claims.select(F.lit("claims_rows").alias("id"), "rows")
+    # A total without group key has a line also where there are no rows of a kind.
+    total = F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")
+    counts = surveys.agg(total).select(F.lit("satisfaction_rows").alias("id"), "rows").unionByName(
+        claims.agg(total).select(F.lit("claims_rows").alias("id"), "rows")
+    )
+    satisfaction, claimed = (F.sum(F.when(F.col("id") == name, F.col("rows"))) for name in ("satisfaction_rows", "claims_rows"))
+    overview = counts.agg(
+        F.sum("rows").alias("row_count"),
+        (satisfaction > 0).alias("has_satisfaction"),
+        (claimed > 0).alias("has_claims"),
     )
-    counts = rows.groupBy("id").agg(F.sum("rows").alias("rows"))
     return {
         "indicators": indicators(surveys, claims, claims_selected),
         "row_counts": counts,
+        "overview": overview,
         "satisfaction_by_country": group_mean(surveys, "country", None),
         "satisfaction_by_product": group_mean(surveys, "product", None),
         "satisfaction_over_time": monthly_mean(surveys, "month", None),

@@ -116,8 +116,8 @@ def wrangle(
 
     The score itself is imputed and capped before its scale is unified, and missing comments
     take the most frequent one: cleaning treats every column of its type alike. The final
-    table is written once, below ``out`` or in the shared folder, partitioned by source; the
-    guards and all readers use what was written.
+    table is written to the shared folder, partitioned by source; the guards and all readers
+    use what was written there. Only after the guards is it published below ``out``.
     """
     raw = {source: without_nan(df) for source, df in frames.items()}
     spark = next(iter(raw.values())).sparkSession
@@ -135,13 +135,16 @@ def wrangle(
     # A pruned column is absent from its source and comes back as null here.
     standard = standardize_all(corrected, preset.column_maps, preset.canonical)
     _, consolidated = normalize_all(standard, preset_lookup(spark), preset)
-    out = out or scratch_path(spark, "wrangled")
-    paths = write_normalized(consolidated, product_reference(spark), out, SOURCE, preset.score_range)
+    paths = write_normalized(
+        consolidated, product_reference(spark), scratch_path(spark, "wrangled"), SOURCE, preset.score_range
+    )
     consolidated = spark.read.schema(consolidated.schema).parquet(paths["table"])
     audit = normalization_audit(consolidated, len(preset.final))
     if check:
         require_mapped(consolidated)
         check_row_counts(raw, audit)
+    if out:
+        write_normalized(consolidated, product_reference(spark), out, SOURCE, preset.score_range)
     tables = {
         source: consolidated.filter(F.col(SOURCE) == source).drop(SOURCE) for source in frames
     }

@@ -46,7 +46,7 @@ def test_one_source(sources):
     made = dashboard(sources, ["france"])
     assert labels(made["satisfaction_by_country"]) == {"France"}
     counts = {r.id: r.rows for r in made["row_counts"].collect()}
-    assert counts == {"satisfaction_rows": sources.frames["france"].count()}
+    assert counts == {"satisfaction_rows": sources.frames["france"].count(), "claims_rows": 0}
     rows = {r.id: r for r in made["indicators"].collect()}
     assert not rows["claims"].available and "sla" not in rows
 
@@ -60,7 +60,11 @@ def test_two_sources(sources):
 
 def test_claims_only(sources):
     made = dashboard(sources, ["reclamations"])
-    assert {r.id: r.rows for r in made["row_counts"].collect()} == {"claims_rows": sources.frames["reclamations"].count()}
+    assert {r.id: r.rows for r in made["row_counts"].collect()} == {
+        "claims_rows": sources.frames["reclamations"].count(), "satisfaction_rows": 0,
+    }
+    overview = made["overview"].first()
+    assert overview.row_count > 0 and overview.has_claims and not overview.has_satisfaction
     assert made["satisfaction_by_country"].count() == 0 and made["claims_by_category"].count() == 5
 
 
@@ -220,3 +224,21 @@ def test_service_filters_reach_the_scan(sources):
     for part in ("GreaterThanOrEqual(satisfaction_normalisee,3.0)", "LessThanOrEqual(satisfaction_normalisee,4.0)", "GreaterThanOrEqual(date_enquete,"):
         assert part in pushed
     assert "struct<id_unique:string,date_enquete:timestamp,satisfaction_normalisee:double>" in plan
+
+
+def test_nothing_is_published_before_the_guards(spark, sf, tmp_path):
+    raw = dict(raw_sources(spark, sf))
+    raw["Allemagne"] = raw["Allemagne"].withColumn("produkt_code", F.lit("PAK_999"))
+    raw["Canada"] = raw["Canada"].withColumn("product_code", F.lit("PARCEL_ODD"))
+    out = tmp_path / "out"
+    with pytest.raises(ValueError, match="PA[RK].*PA[RK]"):
+        wrangle(raw, out=str(out))
+    assert not out.exists()
+
+
+def test_published_table_equals_the_result(spark, sf, tmp_path):
+    out = tmp_path / "out"
+    done = wrangle(raw_sources(spark, sf), out=str(out))
+    published = spark.read.parquet(str(out / "normalized"))
+    assert published.count() == done.consolidated.count() > 0
+    assert (out / "product_reference" / "_SUCCESS").exists()
