@@ -70,7 +70,7 @@ def imputation_stats(
     """
     keys = [*source_keys(tables, by), "column"]
     counted = stacked(tables, by, lambda df, group: _counts_and_means(df, group, columns))
-    rate = F.col("missing_before") / F.col("row_count")
+    rate = F.try_divide("missing_before", "row_count")
     described = measure(
         counted.withColumns(
             {

@@ -41,10 +41,11 @@ def stacked(
     """``make`` over one table, or over each unlike table with its name in ``source``.
 
     The parts have one schema, so all sources go through the same few jobs as one lazy union.
+    A report aggregates each unlike table without a key, so one without rows keeps its line.
     """
     if isinstance(tables, DataFrame):
         return make(tables, list(by))
-    parts = [make(df.withColumn(SOURCE, F.lit(name)), [SOURCE]) for name, df in tables.items()]
+    parts = [make(df.drop(SOURCE), []).select(F.lit(name).alias(SOURCE), "*") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -100,7 +101,7 @@ def duplicate_rows(tables: Tables, by: Sequence[str] = ()) -> DataFrame:
 def _duplicate_rows(df: DataFrame, by: list[str]) -> DataFrame:
     cells = [cell(df, name).alias(name) for name in data_columns(df, by)]
     counted = df.select(*by, *cells).groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*by).agg(F.sum(F.col("_n") - 1).alias("duplicate_rows"))
+    return counted.groupBy(*by).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def profile(
@@ -113,7 +114,7 @@ def profile(
 def _profile(df: DataFrame, by: list[str], aliases: Sequence[str]) -> DataFrame:
     names = data_columns(df, by)
     numeric = [n for n in names if is_numeric(df.schema[n].dataType)]
-    gaps = [F.sum(F.when(cell(df, n).isNull(), 1).otherwise(0)) for n in names]
+    gaps = [F.count_if(cell(df, n).isNull()) for n in names]
     counted = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), reduce(Column.__add__, gaps).alias("total_missing")
     )

@@ -195,3 +195,34 @@ def test_one_table_without_a_source_key(spark):
     assert {r["missing_rate_pct"] for r in missing_report(empty).collect()} == {None}
     plan = compare_missing(one, one)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_single_table_without_source_key(spark):
+    from tallyframe.operators.clean import cap_outliers, category_stats, fill_categories, imputation_stats, impute_numeric
+    from tallyframe.operators.profile import compare_missing, missing_report, outlier_report, profile, structure_report
+
+    rows = [(1.0, "a"), (2.0, "a"), (3.0, None), (None, "b"), (900.0, "a")]
+    df = spark.createDataFrame(rows, "n double, t string")
+    empty = df.limit(0)
+    assert profile(df).count() == profile(empty).count() and structure_report(df).count() == 1
+    assert missing_report(empty).count() == 2 and structure_report(empty).count() == 1
+    filled = fill_categories(df, category_stats(df), ())
+    imputed = impute_numeric(filled, imputation_stats(df), ())
+    assert imputed.filter("n is null or t is null").count() == 0
+    assert compare_missing(df, imputed).first().missing_removed == 2
+    capped = cap_outliers(imputed, outlier_report(imputed), ())
+    plan = capped._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert capped.agg({"n": "max"}).first()[0] < 900
+    assert impute_numeric(empty, imputation_stats(empty), ()).count() == 0
+
+
+def test_empty_source_keeps_its_rows_in_reports(spark):
+    from tallyframe.operators.profile import missing_report, profile, structure_report
+
+    df = spark.createDataFrame([(1.0, "a")], "n double, t string")
+    tables = {"full": df, "empty": df.limit(0)}
+    assert {r.source for r in structure_report(tables).collect()} == {"full", "empty"}
+    line = profile(tables).filter("source = 'empty'").first()
+    assert (line.rows, line.total_missing, line.duplicate_rows) == (0, 0, 0)
+    assert {r.source for r in missing_report(tables).collect()} == {"full", "empty"}
