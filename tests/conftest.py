@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -23,6 +23,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
             "spark.sql.maxMetadataStringLength": "2000",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
