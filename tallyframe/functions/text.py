@@ -75,8 +75,11 @@ def _col(column: Column | str) -> Column:
 def fold_present(column: Column | str) -> Column:
     """Lower case without accents; null stays null."""
     source, target = _accent_tables()
-    lowered = F.translate(F.lower(_col(column).cast("string")), source, target)
-    return F.regexp_replace(_split_bases(lowered), r"\p{Mn}", "")
+    text = _col(column).cast("string")
+    lowered = F.translate(F.lower(text), source, target)
+    # Asked of the text as it came, by one range: most texts are then folded once and not searched further.
+    rare = text.rlike(f"[{min(_several_bases())}-\U0010ffff]")
+    return F.regexp_replace(F.when(rare, _split_bases(lowered)).otherwise(lowered), r"\p{Mn}", "")
 
 
 def fold(column: Column | str) -> Column:
