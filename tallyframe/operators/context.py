@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyframe import presets
 from tallyframe.functions.cast import ref, round3, without_nan
 from tallyframe.operators.attach import attach, measure
-from tallyframe.operators.facts import TOP_CATEGORIES
+from tallyframe.operators.facts import TOP_CATEGORIES, evidence
 from tallyframe.operators.metrics import measured
 from tallyframe.operators.questions import source_labels
 from tallyframe.operators.retrieval import DEFAULT_K, question_units, record_text, retrieve_many
 from tallyframe.operators.schema import union_aligned
 
 SUMMARY_CATEGORIES = 5
+EVIDENCE_ROWS = 8
 # Retrieved lists are wide rows, so fewer of them fit the bound of a broadcast.
 RECORDS_BYTES = 16_000
 
@@ -211,22 +212,61 @@ def retrieved_records(
     return listed
 
 
-def contexts(
-    scoped: DataFrame,
-    facts: DataFrame,
-    records: DataFrame,
-    filters: str = "{}",
+def evidence_lists(
+    scopes: DataFrame, frames: Mapping[str, DataFrame], order_keys: Mapping[str, str], limit: int = EVIDENCE_ROWS
 ) -> DataFrame:
-    """One row per question: scope, facts, summary text and the whole context as JSON.
+    """Per ordered scope (``place_key``) the list of a few first rows of each of its sources as JSON.
 
-    ``scoped`` holds the resolved questions with ``corpus`` and ``unit``.
+    ``scopes`` holds ``effective``. The sources of a scope share ``limit`` evenly. Every source
+    gives at most ``limit`` rows, whatever the number of scopes.
     """
+    asked = scopes.select("effective", place_key("effective").alias("place_key")).dropDuplicates(["place_key"])
+    present = F.array_intersect("effective", _texts(list(frames)))
+    members = asked.select("place_key", F.size(present).alias("_n"), F.posexplode(present).alias("position", "source"))
+    first = evidence(frames, order_keys, limit * len(frames)).select("source", "rank", "record")
+    share = F.greatest(F.floor(F.lit(limit) / F.col("_n")), F.lit(1))
+    lines = members.join(first, "source").filter(F.col("rank") <= share)
+    line = F.struct("position", "rank", "source", "record")
+    listed = F.slice(F.sort_array(F.collect_list(line)), 1, limit)
+    plain = F.transform(listed, lambda x: F.struct(*[x[f].alias(f) for f in ("source", "rank", "record")]))
+    return lines.groupBy("place_key").agg(plain.alias("evidence"))
+
+
+def place_key(effective: Column | str) -> Column:
+    """Scopes with the same sources in the same order share their evidence."""
+    return F.array_join(effective, ",")
+
+
+def missing_messages(effective: Column | str, errors: Mapping[str, str]) -> Column:
+    """The messages of a scope's unavailable sources, in the order of the scope."""
+    if not errors:
+        return F.array().cast("array<string>")
+    said = F.create_map(*[F.lit(x) for pair in errors.items() for x in pair])
+    return F.filter(F.transform(effective, lambda s: F.try_element_at(said, s)), lambda m: m.isNotNull())
+
+
+def with_facts(scoped: DataFrame, facts: DataFrame) -> DataFrame:
+    """The questions with the facts of their scope, its labels, row count and summary text."""
     keyed = scoped.withColumns(
         {"scope_key": scope_key("effective"), "labels": source_labels(F.col("effective"))}
     )
-    with_facts = attach(keyed, measure(facts, ["scope_key"]))
-    joined = attach(with_facts, measure(records, ["unit"], row_bytes=RECORDS_BYTES))
-    fact_fields = [c for c in facts.columns if c != "scope_key"]
+    joined = attach(keyed, measure(facts, ["scope_key"])).drop("scope_key")
+    return joined.withColumns(
+        {"row_count": F.col("responses") + F.col("claims"), "summary": summary_text()}
+    )
+
+
+def contexts(
+    known: DataFrame,
+    fact_fields: Sequence[str],
+    records: DataFrame,
+    filters: str = "{}",
+) -> DataFrame:
+    """``known`` with the best rows of each question and the whole context as JSON.
+
+    ``known`` comes from ``with_facts`` and has ``unit``.
+    """
+    joined = attach(known, measure(records, ["unit"], row_bytes=RECORDS_BYTES))
     statistics = F.struct(
         *[F.col(c) for c in ("responses", "valid_scores", "total", "mean", "by_product", "by_country")]
     )
@@ -241,6 +281,6 @@ def contexts(
         F.coalesce("retrieved", F.array().cast(records.schema["retrieved"].dataType)).alias("rows"),
         F.lit(presets.NO_ROW_JOIN).alias("link"),
     )
-    return joined.withColumns(
-        {"summary": summary_text(), "context": F.to_json(context, {"ignoreNullFields": "false"})}
-    ).select(*scoped.columns, "labels", *fact_fields, "retrieved", "summary", "context")
+    return joined.withColumn("context", F.to_json(context, {"ignoreNullFields": "false"})).select(
+        *known.columns, "retrieved", "context"
+    )

@@ -3,33 +3,26 @@
 Score of a row = number of distinct query words it contains; rows without any are out; ties
 go to the earlier row, by an explicit unique order key.
 
-Many questions are answered in one scan of the rows. A join on words would produce every
-(row, question) pair that shares a common word, which no cluster can shuffle when a word
-stands in a third of both sides. Instead the distinct questions, which are measured first,
-go to every task, and each task keeps its best ``k`` rows per question. What leaves a task
-is therefore at most k rows per question, however frequent a word is. Question sets beyond
-the measured size are taken in blocks.
+Many questions are answered in one scan of the rows. A join of rows and questions on words
+would produce every pair that shares a common word. But rows of one source that hold the same
+asked words score alike for every question, so only the first ``k`` of them can be among the
+best. Rows are therefore first grouped by the asked words they hold, and the groups take the
+rows' place in the join. Nothing is dropped that could be an answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.cast import present, ref
 from tallyframe.functions.text import query_words, value_text, words
+from tallyframe.session import materialize
 
 DEFAULT_K = 8
-# Distinct question word sets, and their words, sent to the tasks at a time.
-BLOCK = 5_000
-BLOCK_WORDS = 1_000_000
-# Word matches handled at a time inside a task.
-MATCH_CHUNK = 2_000_000
-# Up to this many question words, rows are cut down to them before they reach Python.
-JVM_WORDS = 2_000
+# Parts in which the groups found for one question are ranked before the last ranking.
+BUCKETS = 64
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -89,13 +82,13 @@ def retrieve_many(
     text: Column | None = None,
     source: str | None = None,
     scope: str | None = None,
-    block: int = BLOCK,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``unit``, ``rank``, ``overlap``, source and order key of the ``k`` best rows per unit.
 
     ``questions`` comes from ``question_units``. With ``source`` (a column of the rows) and
     ``scope`` (an array column of the questions) a question sees only the rows of its scope,
-    and rows of an earlier source in the scope win ties.
+    and rows of an earlier source in the scope win ties. The rows are read once, when called.
     """
     if k < 1:
         raise ValueError("top_k doit etre superieur ou egal a 1.")
@@ -105,101 +98,46 @@ def retrieve_many(
         .select("unit", "words", scopes.alias("scope"))
         .dropDuplicates(["unit"])
     )
-    n_units, n_words = units.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    n_blocks = max(1, -(-n_units // block), -(-n_words // BLOCK_WORDS))
+    places = units.select("unit", "words", F.posexplode("scope").alias("place", "source"))
+    places = places.groupBy("unit", "source").agg(F.min("place").alias("place"), F.first("words").alias("words"))
+    postings = places.select("unit", "source", "place", F.explode("words").alias("word"))
+
     tokens = words(record_text(rows) if text is None else text)
     origin = ref(source) if source is not None else F.lit("")
     narrow = rows.select(ref(order_key).alias("key"), origin.alias("source"), tokens.alias("words"))
-    key_type = rows.schema[order_key].dataType.simpleString()
-
-    candidates = None
-    for number in range(n_blocks):
-        part = units.filter(F.pmod(F.xxhash64("unit"), F.lit(n_blocks)) == number)
-        asked = [tuple(r) for r in part.collect()]
-        if not asked:
-            continue
-        vocabulary = sorted({w for _, unit_words, _ in asked for w in unit_words})
-        matching = narrow
-        if len(vocabulary) <= JVM_WORDS:
-            # No filter on the result: it would make the tokens be computed twice.
-            common = F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))
-            matching = narrow.withColumn("words", common)
-        found = matching.mapInPandas(
-            _best_rows(asked, k), f"unit string, overlap int, place int, source string, key {key_type}"
-        )
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        schema = f"unit string, rank int, overlap int, source string, `{order_key}` {key_type}"
-        return rows.sparkSession.createDataFrame([], schema)
-    best = Window.partitionBy("unit").orderBy(F.desc("overlap"), "place", "key")
-    ranked = candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("unit", "rank", "overlap", "source", F.col("key").alias(order_key))
-
-
-def _best_rows(asked: list[tuple], k: int):
-    """A per-task scan that keeps the best ``k`` rows of each unit."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word_ids: dict[str, int] = {}
-        postings: list[list[int]] = []
-        for unit, (_, unit_words, _) in enumerate(asked):
-            for word in unit_words:
-                at = word_ids.setdefault(word, len(word_ids))
-                if at == len(postings):
-                    postings.append([])
-                postings[at].append(unit)
-        vocabulary = pd.Index(list(word_ids), dtype=object)
-        lengths = np.array([len(p) for p in postings], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.array([u for p in postings for u in p], dtype=np.int64)
-        places = {s: i for i, s in enumerate(sorted({s for _, _, scope in asked for s in scope}))}
-        rank_of = np.full((len(asked), len(places) + 1), -1, dtype=np.int64)
-        for unit, (_, _, scope) in enumerate(asked):
-            for rank, name in reversed(list(enumerate(scope))):
-                rank_of[unit, places[name]] = rank
-
-        # Rows scoring below the k-th best so far can be dropped at once.
-        floor = np.zeros(len(asked), dtype=np.int64)
-        best = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            sizes = batch["words"].str.len().to_numpy()
-            word_at = vocabulary.get_indexer(np.concatenate(batch["words"].to_numpy()))
-            row_at = np.repeat(np.arange(len(batch)), sizes)[word_at >= 0]
-            word_at = word_at[word_at >= 0]
-            load = np.bincount(row_at, weights=lengths[word_at], minlength=len(batch))
-            origin = batch["source"].map(places).fillna(len(places)).astype(int).to_numpy()
-            # Rows are cut into chunks of about equal numbers of matches.
-            chunk = (np.cumsum(load) // MATCH_CHUNK)[row_at]
-            for part in np.unique(chunk):
-                hit, row = word_at[chunk == part], row_at[chunk == part]
-                spread = lengths[hit]
-                inner = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-                unit = flat[np.repeat(starts[hit], spread) + inner]
-                pair, overlap = np.unique(np.repeat(row, spread) * len(asked) + unit, return_counts=True)
-                row, unit = pair // len(asked), pair % len(asked)
-                place = rank_of[unit, origin[row]]
-                keep = (place >= 0) & (overlap >= floor[unit])
-                found = pd.DataFrame(
-                    {
-                        "unit": unit[keep],
-                        "overlap": overlap[keep],
-                        "place": place[keep],
-                        "source": batch["source"].to_numpy()[row[keep]],
-                        "key": batch["key"].to_numpy()[row[keep]],
-                    }
-                )
-                best = found if best is None else pd.concat([best, found], ignore_index=True)
-                best = best.sort_values(
-                    ["unit", "overlap", "place", "key"], ascending=[True, False, True, True]
-                )
-                position = best.groupby("unit").cumcount().to_numpy()
-                best = best[position < k]
-                full = best[position[position < k] == k - 1]
-                floor[full["unit"].to_numpy()] = full["overlap"].to_numpy()
-        if best is not None and len(best):
-            names = np.array([a[0] for a in asked], dtype=object)
-            yield best.assign(unit=names[best["unit"].to_numpy()])
-
-    return scan
+    groups = materialize(_alike(narrow, postings.select("source", "word").distinct(), k), "alike")
+
+    # A group ranks by its first row; more than k groups ahead of it means k rows ahead of all its rows.
+    bucket = F.pmod(F.xxhash64("group"), F.lit(buckets))
+    held = groups.select("source", "group", F.get("keys", F.lit(0)).alias("key"), F.explode("words").alias("word"))
+    met = held.join(postings, ["source", "word"]).withColumn("bucket", bucket)
+    # Counting and the first cut share this shuffle.
+    scored = (
+        met.repartition("unit", "bucket")
+        .groupBy("unit", "bucket", "place", "source", "group", "key")
+        .agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    )
+    top = _first(_first(scored, k, "unit", "bucket"), k, "unit").drop("key", "bucket", "rank")
+    found = top.join(groups.select("source", "group", "keys"), ["source", "group"])
+    found = found.select("unit", "place", "source", "overlap", F.explode("keys").alias("key"))
+    return _first(found, k, "unit").select("unit", "rank", "overlap", "source", F.col("key").alias(order_key))
+
+
+def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Rows grouped by source and asked words: the words and the first ``k`` keys of each group."""
+    # Not ``explode``: the filter that comes with it would compute the words twice.
+    single = narrow.select("source", "key", F.explode_outer("words").alias("word"))
+    held = single.join(asked, ["source", "word"], "left_semi").groupBy("source", "key")
+    sets = held.agg(F.array_sort(F.collect_set("word")).alias("words"))
+    sets = sets.withColumn("group", F.sha2(F.array_join("words", " "), 256))
+    number = F.row_number().over(Window.partitionBy("source", "group").orderBy("key"))
+    heads = sets.withColumn("number", number).filter(F.col("number") <= k)
+    return heads.groupBy("source", "group").agg(
+        F.first("words").alias("words"), F.sort_array(F.collect_list("key")).alias("keys")
+    )
+
+
+def _first(scored: DataFrame, k: int, *by: str) -> DataFrame:
+    """The ``k`` best lines by overlap, place and key, with their ``rank``; cut before the shuffle too."""
+    best = Window.partitionBy(*by).orderBy(F.desc("overlap"), "place", "key")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -12,12 +12,13 @@ from tallyframe.operators.filters import FilterSpec, apply_filters
 from tallyframe.operators.products import add_product, preset_lookup
 from tallyframe.operators.profile import missing_report, outlier_report
 from tallyframe.operators.schema import standardize
-from tallyframe.plans.ask import answer_questions, check_questions
+from tallyframe.plans.ask import answer_questions, check_questions, question_facts
 from tallyframe.plans.dashboard import combined_table, dashboard, export, options, table_page
 from tallyframe.plans.quality import normalized_profiles, quality
 from tallyframe.plans.wrangle import wrangle
 from tallyframe.session import scratch_path
-from workload.sets import source_set
+from tallyframe.sources.readers import SourceSet
+from workload.sets import catalog, source_set
 from workload.views import raw_sources
 
 
@@ -97,12 +98,27 @@ def test_answers(spark, sources):
     assert {x.source for x in found[3].retrieved} == {"reclamations"}
     assert found[1].context == found[4].context
     assert found[5].retrieved is None and found[5].responses > 0
+    assert [x.source for x in found[1].evidence] == ["france"] * 4 + ["maroc"] * 4 and found[1].missing == []
+    assert [x.rank for x in found[2].evidence] == list(range(1, 9))
+    assert found[1].row_count == sum(sources.frames[s].count() for s in ("france", "maroc"))
     context = json.loads(found[1].context)
     assert context["sources"] == ["France", "Maroc"] and len(context["rows"]) == 3
     assert "Aucune clé commune" in context["link"]
     assert [c["label"] for c in context["facts"]["by_country"]] == [r["label"] for r in found[1].by_country]
 
 
+def test_facts_without_retrieval_and_messages_of_missing_sources(spark, sources):
+    frames = {s: df for s, df in sources.frames.items() if s != "maroc"}
+    few = SourceSet.of(catalog(), frames)
+    asked = spark.createDataFrame([(1, "Compare la France et le Maroc.", ["france"])], "question_id int, question string, selected array<string>")
+    facts = question_facts(asked, few)
+    assert "retrieved" not in facts.columns
+    row, whole = facts.first(), answer_questions(asked, few).first()
+    assert row.missing == [few.errors["maroc"]] == whole.missing
+    assert row.summary == whole.summary and row.row_count == whole.row_count == frames["france"].count()
+    assert [x.source for x in whole.evidence] == ["france"] * 8
+
+
 def test_answer_over_nothing(spark, sources):
     asked = spark.createDataFrame([(1, "Bonjour tout le monde", ["france"])], "question_id int, question string, selected array<string>")
     row = answer_questions(asked, sources, FilterSpec(values={"pays": ["Atlantide"]})).first()
@@ -211,8 +227,11 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf):
     from workload import QUERIES
 
     plan = plan_of(QUERIES["retrieve_many"](spark, sf))
-    partial, final = plan.index("row_number(), 8, Final"), plan.index("row_number(), 8, Partial")
-    assert "Exchange hashpartitioning(unit" in plan[partial:final]
+    # The plan is printed from the last step down.
+    final = plan.index("row_number(), 8, Final")
+    partial = plan.index("row_number(), 8, Partial", final)
+    assert "Exchange hashpartitioning(unit" in plan[final:partial]
+    assert "Exchange hashpartitioning(unit#" in plan and "MapInPandas" not in plan
 
 
 def test_service_filters_reach_the_scan(sources):

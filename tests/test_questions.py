@@ -8,7 +8,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import tallyframe.operators.retrieval as retrieval
 from tallyframe import presets
 from tallyframe.operators.questions import mentioned_sources, resolve_scope
 from tallyframe.operators.retrieval import question_units, record_text, retrieve, retrieve_many
@@ -102,18 +101,40 @@ def test_one_question(spark):
         assert found == best(rows, question, 8)
 
 
-@pytest.mark.parametrize("k, block, jvm_words, chunk", [(8, 5000, 2000, 2_000_000), (3, 2, 0, 50), (1, 3, 2000, 7)])
-def test_many_questions_equal_brute_force(spark, monkeypatch, k, block, jvm_words, chunk):
-    monkeypatch.setattr(retrieval, "JVM_WORDS", jvm_words)
-    monkeypatch.setattr(retrieval, "MATCH_CHUNK", chunk)
+@pytest.mark.parametrize("k, buckets", [(8, 64), (3, 2), (1, 1)])
+def test_many_questions_equal_brute_force(spark, k, buckets):
     rows, df = corpus(spark)
     asked = question_units(spark.createDataFrame(list(enumerate(QUESTIONS)), "q int, question string"))
-    found = asked.join(retrieve_many(df, asked, "id", k, text=F.col("text"), block=block), "unit").collect()
+    found = asked.join(retrieve_many(df, asked, "id", k, text=F.col("text"), buckets=buckets), "unit").collect()
     for number, question in enumerate(QUESTIONS):
         got = sorted((r["rank"], r.overlap, r.id) for r in found if r.q == number)
         assert got == best(rows, question, k), question
 
 
+def test_thousands_of_questions_read_the_rows_once(spark, tmp_path):
+    rows, df = corpus(spark, 200)
+    df.write.parquet(str(tmp_path / "rows"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = spark.read.parquet(str(tmp_path / "rows")).mapInArrow(seen, df.schema)
+    questions = [f"{QUESTIONS[i % 4]} numero{i}" for i in range(6000)]
+    asked = question_units(spark.createDataFrame(list(enumerate(questions)), "q int, question string"))
+    best_rows = retrieve_many(counted, asked, "id", 3, text=F.col("text"))
+    plan = best_rows._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    found = {}
+    for r in asked.join(best_rows, "unit").collect():
+        found.setdefault(r.q, []).append((r["rank"], r.overlap, r.id))
+    assert read.value == len(rows)
+    for number in range(0, 6000, 1499):
+        assert sorted(found.get(number, [])) == best(rows, questions[number], 3)
+
+
 def test_scope_orders_ties(spark):
     rows, df = corpus(spark)
     scopes = [["c", "a"], ["b"], ["a", "c", "b"], ["none"]]

@@ -29,13 +29,14 @@ from tallyframe.operators.options import date_extent, filter_values
 from tallyframe.operators.paging import page, page_after, rows_between, sort_orders
 from tallyframe.operators.questions import mentioned_sources, resolve_scope
 from tallyframe.operators.retrieval import question_units, retrieve, retrieve_many
-from tallyframe.plans.ask import answer_questions
+from tallyframe.plans.ask import answer_questions, question_facts
 from tallyframe.plans.dashboard import dashboard, table_page
 from tallyframe.plans.quality import quality
 from tallyframe.plans.wrangle import wrangle
+from tallyframe.sources.readers import SourceSet
 from workload.cleaning import OUTLIER_SQL, RAW_CORRELATIONS, bounds_sql, missing_sql, numeric_names, raw_names
 from workload.registry import SLA_SQL, normalized_sql, fold_sql, query, query_tokens_sql, tokens_sql, with_views
-from workload.sets import claim_rows, source_set, survey_rows
+from workload.sets import catalog, claim_rows, source_set, survey_rows
 from workload.views import BRANCHES, raw_sources, table, view
 
 # --- Metrics -----------------------------------------------------------------------------
@@ -504,9 +505,13 @@ def _answers(spark, sf):
     return answer_questions(_questions(spark, sf), source_set(spark, sf), _SPEC)
 
 
+def _facts(spark, sf):
+    return question_facts(_questions(spark, sf), source_set(spark, sf), _SPEC)
+
+
 @query("answer_facts", _ASKED, uses=("questions", "norm", "claim"))
 def answer_facts(spark, sf):
-    return _answers(spark, sf).select(
+    return _facts(spark, sf).select(
         "question_id", "mode", F.array_join("effective", ",").alias("effective"), "responses", "valid_scores",
         "mean", "good_rate_pct", "claims",
     )
@@ -564,7 +569,34 @@ _SUMMARIES = f"""WITH s AS ({_SCOPED}), m AS (SELECT question_id, unnest(effecti
 
 @query("answer_summaries", "SELECT * FROM (" + _SUMMARIES + ")", uses=("questions", "norm", "claim"))
 def answer_summaries(spark, sf):
-    return _answers(spark, sf).select("question_id", "summary")
+    return _facts(spark, sf).select("question_id", "summary")
+
+
+@query(
+    "answer_evidence",
+    f"""SELECT question_id, coalesce(responses, 0) + coalesce(claims, 0) AS row_count, array_to_string(missing, ',') AS missing, source, rank, key
+    FROM (SELECT s.question_id, s.effective, list_filter(s.effective, lambda x: x = 'canada') AS missing,
+        greatest(8 // greatest(len(list_filter(s.effective, lambda x: x <> 'canada')), 1), 1) AS share FROM ({_SCOPED}) s) q
+    JOIN (SELECT source_id AS source, id_unique AS key, row_number() OVER (PARTITION BY source_id ORDER BY id_unique) AS rank
+        FROM norm WHERE produit_global = 'EXPRESS' AND source_id <> 'canada'
+      UNION ALL SELECT 'reclamations', colis_id, row_number() OVER (ORDER BY colis_id) FROM claim WHERE produit_global = 'EXPRESS') e
+      ON list_contains(effective, source) AND rank <= share
+    LEFT JOIN (SELECT question_id, count(*) AS responses FROM ({_MEMBERS}) m JOIN norm ON norm.source_id = m.source_id
+      WHERE produit_global = 'EXPRESS' AND m.source_id <> 'canada' GROUP BY question_id) f USING (question_id)
+    LEFT JOIN (SELECT question_id, count(*) AS claims FROM ({_MEMBERS}) m JOIN claim ON m.source_id = 'reclamations'
+      WHERE produit_global = 'EXPRESS' GROUP BY question_id) c USING (question_id)""",
+    uses=("questions", "norm", "claim"),
+)
+def answer_evidence(spark, sf):
+    """First rows of each scope where one source is unavailable; questions on that source alone have none."""
+    whole = source_set(spark, sf)
+    frames = {s: df for s, df in whole.frames.items() if s != "canada"}
+    few = SourceSet.of(catalog(), frames)
+    answered = answer_questions(_questions(spark, sf), few, _SPEC)
+    listed = answered.select("question_id", "row_count", F.array_join("missing", ",").alias("missing"), F.inline("evidence"))
+    key = F.coalesce(F.get_json_object("record", "$.id_unique"), F.get_json_object("record", "$.colis_id"))
+    named = F.regexp_replace("missing", "Source indisponible: ", "")
+    return listed.select("question_id", "row_count", named.alias("missing"), "source", "rank", key.alias("key"))
 
 
 @query(
