@@ -74,10 +74,19 @@ def filter_date_range(spark, sf):
     return apply_filters(table(spark, sf, "events"), spec).select("event_id")
 
 
-@query("filter_bad_date_bound", "SELECT event_id FROM events WHERE false")
+@query(
+    "filter_bad_date_bound",
+    """SELECT 'good' AS bound, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05'
+    UNION ALL SELECT 'bad', event_id FROM events WHERE false""",
+)
 def filter_bad_date_bound(spark, sf):
-    spec = FilterSpec(date_start="not a date", date_columns=("ts",))
-    return apply_filters(table(spark, sf, "events"), spec).select("event_id")
+    """A bound that is no date keeps nothing; a good one beside it keeps its rows."""
+    events = table(spark, sf, "events")
+    kept = [
+        apply_filters(events, FilterSpec(date_start=start, date_columns=("ts",))).select(F.lit(bound).alias("bound"), "event_id")
+        for bound, start in (("good", "2024-01-05"), ("bad", "not a date"))
+    ]
+    return kept[0].unionByName(kept[1])
 
 
 @query(
@@ -105,13 +114,13 @@ def search_documents_literal(spark, sf):
 
 _FILTERED = """SELECT source AS label, id_unique AS id FROM norm WHERE pays IN ('France', 'Espagne')
     AND satisfaction_normalisee >= 3 AND date_enquete >= TIMESTAMP '1996-01-01'
-    AND date_enquete <= TIMESTAMP '1999-12-31 23:59:59'"""
+    AND date_enquete <= TIMESTAMP '2024-01-09 23:59:59'"""
 
 
 @query(
     "filter_all_sources",
     f"""{_FILTERED} UNION ALL SELECT 'Réclamations', colis_id FROM claim WHERE pays IN ('France', 'Espagne')
-      AND date_reclamation <= TIMESTAMP '1999-12-31 23:59:59'
+      AND date_reclamation <= TIMESTAMP '2024-01-09 23:59:59'
     UNION ALL SELECT 'all claims', colis_id FROM claim""",
     uses=("norm", "claim"),
 )
@@ -119,7 +128,7 @@ def filter_all_sources(spark, sf):
     """One spec over unlike sources: a score filter leaves claims alone."""
     sources = source_set(spark, sf)
     spec = FilterSpec(
-        values={"pays": ["France", "Espagne"]}, score_min=3, date_start="1996-01-01", date_end="1999-12-31"
+        values={"pays": ["France", "Espagne"]}, score_min=3, date_start="1996-01-01", date_end="2024-01-09"
     )
     kept = align_union(apply_to_all(sources.frames, spec))
     scored = apply_to_all({"reclamations": sources.frames["reclamations"]}, FilterSpec(score_min=5))["reclamations"]
@@ -156,9 +165,22 @@ def missing_sql(view_name: str, columns, source: str = "source") -> str:
     )
 
 
-@query("missing_report", missing_sql("lines", _LINE_COLUMNS), uses=("lines",))
+#: How the columns that aren't text print their type.
+_TYPES = {
+    "l_orderkey": "bigint", "l_linenumber": "int",
+    **dict.fromkeys(("quantity", "satisfaction", "discount", "tax", "constant"), "double"),
+}
+
+
+def typed(report: str) -> str:
+    """A report in SQL with the type of each column."""
+    arms = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in _TYPES.items())
+    return f"""SELECT *, CASE "column" {arms} ELSE 'string' END AS dtype FROM ({report})"""
+
+
+@query("missing_report", typed(missing_sql("lines", _LINE_COLUMNS)), uses=("lines",))
 def missing_report_query(spark, sf):
-    return missing_report(view(spark, sf, "lines"), ["source"]).drop("dtype")
+    return missing_report(view(spark, sf, "lines"), ["source"])
 
 
 def raw_names(branch: str) -> list[str]:
@@ -227,11 +249,12 @@ def structure_report_query(spark, sf):
 
 @query(
     "duplicate_rows",
-    """SELECT 'documents' AS source, count(*) - (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents)) AS duplicate_rows
+    """SELECT 'documents' AS source, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS duplicate_rows
     FROM documents""",
 )
 def duplicate_rows_query(spark, sf):
-    documents = table(spark, sf, "documents").select("lang", F.col("source").alias("origin"))
+    """Whole rows but for their number."""
+    documents = table(spark, sf, "documents").drop("doc_id").withColumnRenamed("source", "origin")
     return duplicate_rows({"documents": documents})
 
 
@@ -442,7 +465,7 @@ def cap_outliers_query(spark, sf):
       count(*) - count(priority) AS count_corrected, 'mode' AS method, any_value(mode) AS value
     FROM gaps g JOIN ({_MODES}) m ON g.source = m.source GROUP BY g.source
     UNION ALL SELECT source, "column", 'numeric_outlier', outlier_count, outlier_count, 'clip_iqr_bounds',
-      'bounds' FROM ({OUTLIER_SQL.replace("{rows}", bounds_sql("gaps", ["price", "balance"]))}) WHERE outlier_count > 0""",
+      '[' || printf('%.4f', lower_bound) || ', ' || printf('%.4f', upper_bound) || ']' FROM ({OUTLIER_SQL.replace("{rows}", bounds_sql("gaps", ["price", "balance"]))}) WHERE outlier_count > 0""",
     uses=("gaps",),
 )
 def correction_log_query(spark, sf):
@@ -452,8 +475,10 @@ def correction_log_query(spark, sf):
         outlier_report(gaps, ["source"], ["price", "balance"]),
         ["source"],
     )
-    is_text = F.col("value").rlike(r"^\[-?\d.*, -?\d.*\]$")
-    return log.withColumn("value", F.when(is_text, "bounds").otherwise(F.col("value")))
+    # The last digits of a bound depend on the order of the arithmetic; four places are compared.
+    ends = F.transform(F.split(F.regexp_replace("value", r"[\[\]]", ""), ", "), lambda x: x.try_cast("double"))
+    printed = F.format_string("[%.4f, %.4f]", F.get(ends, F.lit(0)), F.get(ends, F.lit(1)))
+    return log.withColumn("value", F.when(F.col("issue") == "numeric_outlier", printed).otherwise(F.col("value")))
 
 
 # --- Normalized profiles --------------------------------------------------------------------------
