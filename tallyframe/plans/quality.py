@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.operators.attach import measure
 from tallyframe.operators.profile import (
@@ -17,7 +18,7 @@ from tallyframe.operators.profile import (
     top_missing,
 )
 from tallyframe.operators.schema import visible_columns
-from tallyframe.sources.readers import SourceSet
+from tallyframe.sources.readers import SourceSet, read_tables
 
 
 def normalized_profiles(sources: SourceSet) -> tuple[DataFrame, DataFrame]:
@@ -57,3 +58,26 @@ def quality(raw: Mapping[str, DataFrame], sources: SourceSet | None = None, thre
     if sources is not None:
         reports["normalized"], reports["top_missing"] = normalized_profiles(sources)
     return reports
+
+
+def quality_of_files(
+    spark: SparkSession, paths: Mapping[str, str], sources: SourceSet | None = None, threshold: float = 0.2
+) -> dict[str, DataFrame]:
+    """``quality`` of raw files, with a one-row ``status``: raw_available and error.
+
+    Where a file cannot be read, the raw reports have no rows, the status says why, and the
+    normalized part is there all the same.
+    """
+    error = None
+    try:
+        raw = read_tables(spark, paths)
+    except (PySparkException, ValueError) as failed:
+        error = str(failed)
+        raw = {SOURCE: spark.createDataFrame([], "value double")}
+    reports = quality(raw, None, threshold)
+    if error is not None:
+        reports = {name: report.limit(0) for name, report in reports.items()}
+    if sources is not None:
+        reports["normalized"], reports["top_missing"] = normalized_profiles(sources)
+    reports["status"] = spark.createDataFrame([(error is None, error)], "raw_available boolean, error string")
+    return reports

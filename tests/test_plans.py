@@ -14,7 +14,7 @@ from tallyframe.operators.profile import missing_report, outlier_report
 from tallyframe.operators.schema import standardize
 from tallyframe.plans.ask import answer_questions, check_questions, question_facts
 from tallyframe.plans.dashboard import combined_table, dashboard, export, options, table_page
-from tallyframe.plans.quality import normalized_profiles, quality
+from tallyframe.plans.quality import normalized_profiles, quality, quality_of_files
 from tallyframe.plans.wrangle import wrangle
 from tallyframe.session import scratch_path
 from tallyframe.sources.readers import SourceSet
@@ -190,6 +190,19 @@ def test_quality(sources, sf, spark):
     assert ordered == sorted(ordered, reverse=True)
 
 
+def test_unreadable_raw_files_leave_the_normalized_reports(spark, sources, tmp_path):
+    raw_sources_path = str(tmp_path / "a.parquet")
+    spark.range(5).selectExpr("id", "id * 2.0D AS note").write.parquet(raw_sources_path)
+    found = quality_of_files(spark, {"a": raw_sources_path})
+    assert found["status"].first().raw_available and found["structure"].first().rows == 5
+    gone = quality_of_files(spark, {"a": raw_sources_path, "b": str(tmp_path / "gone.parquet")}, sources)
+    status = gone["status"].first()
+    assert not status.raw_available and "gone.parquet" in status.error
+    for name in ("structure", "missing", "correlations", "outliers"):
+        assert gone[name].columns == found[name].columns and gone[name].isEmpty()
+    assert gone["normalized"].count() == 6
+
+
 def test_unreadable_sources_keep_a_row(sources):
     from tallyframe.sources.readers import SourceSet
 
