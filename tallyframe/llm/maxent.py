@@ -2,9 +2,11 @@
 
 The most frequent words are dealt into classes by frequency; all other words are one class more. The
 chance of a token is that of its class, by a softmax over hashed n-gram and skip features of the three
-words before it, times that of the word in its class: for a frequent word a second softmax over hashed
-features, for any other the add-one share of its count among those words. Both softmaxes start from
-the counts of all training tokens, so untrained weights give the add-one unigram model.
+words before it, times that of the word in its class, by a second softmax over hashed features. The
+class of all others is a tree as deep as the head of the vocabulary asks for: each step down to a head
+word is one more such softmax, and one leaf at its root holds the words beyond the head, which share its
+chance by their counts plus one. All softmaxes start from the counts of all training tokens, so
+untrained weights give the add-one unigram model.
 
 Training is distributed: in each round, every task descends on its own part of that round's documents
 from the same weights, and the weighted mean of the tasks' steps moves the weights. Scoring works on
@@ -32,9 +34,10 @@ END, START, OTHER = (np.uint64(x) for x in (0xE0D0E0D0E0D0E0D0, 0x57A7557A7557A7
 class Settings:
     #: A word is in the head if it is one of ``head`` tokens or more often; so the head has at most ``head`` words.
     head: int = 1 << 16
-    classes: int = 20
+    classes: int = 32
+    #: Words of a class, and branches of a node of the tree; at least 2.
     per_class: int = 32
-    #: Buckets of the features for classes, and for words of a class.
+    #: Buckets of the features for classes, and for words of a class; steps in the tree have as many of their own.
     class_buckets: int = 1 << 14
     word_buckets: int = 1 << 13
     rounds: int = 3
@@ -59,8 +62,6 @@ class Tables:
         place[frequent] = np.arange(len(frequent))
         by_hash = np.argsort(hashes)
         self.hashes, self.counts, self.place = hashes[by_hash], counts[by_hash], place[by_hash]
-        self.class_of = np.where(self.place >= 0, self.place // settings.per_class, settings.classes)
-        self.member = np.where(self.place >= 0, self.place % settings.per_class, 0)
         grid = np.zeros(settings.classes * settings.per_class)
         grid[: len(frequent)] = counts[frequent]
         grid = grid.reshape(settings.classes, settings.per_class)
@@ -69,9 +70,50 @@ class Tables:
         # With one more for each word and for an unseen one, untrained weights give the base's chances.
         smoothed = np.where(grid > 0, grid + 1, 0)
         mass = np.append(smoothed.sum(axis=1), self.rare_total + self.rare_distinct + 1)
+        others = order[len(frequent) :]
+        self.open_total = self.rare_total - int(counts[others].sum())
+        self.open_distinct = self.rare_distinct - len(others)
+        nodes = self._paths(others, by_hash, counts, smoothed)
         with np.errstate(divide="ignore"):  # empty classes and places have no chance
             self.class_bias = np.maximum(np.log(mass / mass.max()), -1e30).astype(np.float32)
-            self.word_bias = np.maximum(np.log(smoothed), -1e30).astype(np.float32)
+            self.word_bias = np.maximum(np.log(nodes), -1e30).astype(np.float32)
+
+    def _paths(self, others: np.ndarray, by_hash: np.ndarray, counts: np.ndarray, smoothed: np.ndarray) -> np.ndarray:
+        """Set the nodes and branches on the way to each head word; returns the mass of every node's branches.
+
+        The first nodes are the classes, the next is the root of the tree over ``others``, whose branch 0 is
+        the words beyond the head. The last row of the paths is theirs, so that place -1 finds it.
+        """
+        s, n = self.settings, len(others)
+        levels = 1
+        while (s.per_class - 1) * s.per_class ** (levels - 1) < n:
+            levels += 1
+        at = np.arange(n)
+        node, branch = np.zeros((2, len(by_hash) + 1, levels), dtype=np.int64)
+        depth = np.ones(len(by_hash) + 1, dtype=np.int64)
+        node[:-1, 0], branch[:-1, 0] = np.divmod(np.where(self.place >= 0, self.place, 0), s.per_class)
+        rows = np.empty(len(by_hash), dtype=np.int64)
+        rows[by_hash] = np.arange(len(by_hash))
+        rows = rows[others]
+        depth[rows] = levels
+        node[-1, 0] = s.classes
+        if not n:
+            depth[-1] = 0
+        made = [smoothed]
+        first = s.classes
+        for level in range(levels):
+            below = s.per_class ** (levels - 1 - level)
+            spread = at // below + (s.per_class if level else 1)  # the root's branch 0 is taken
+            parents = spread // s.per_class - (1 if level else 0)
+            node[rows, level], branch[rows, level] = first + parents, spread % s.per_class
+            grid = np.zeros((parents.max() + 1 if n else 1, s.per_class))
+            np.add.at(grid, (parents, spread % s.per_class), counts[others] + 1)
+            if not level:
+                grid[0, 0] = self.open_total + self.open_distinct + 1
+            made.append(grid)
+            first += len(grid)
+        self.node, self.branch, self.depth = node, branch, depth
+        return np.concatenate(made)
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token in the head, or -1."""
@@ -85,7 +127,7 @@ class Tables:
 class Weights:
     def __init__(self, settings: Settings):
         self.classes = np.zeros((settings.class_buckets, settings.classes + 1), dtype=np.float32)
-        self.words = np.zeros((settings.word_buckets, settings.per_class), dtype=np.float32)
+        self.words = np.zeros((2 * settings.word_buckets, settings.per_class), dtype=np.float32)
 
 
 def _tokens(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +143,13 @@ def _tokens(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Examples:
-    """Features and targets of a chunk's tokens."""
+    """Features and targets of a chunk's tokens, and of the steps to each word behind its class."""
 
     def __init__(self, tables: Tables, tokens: np.ndarray, offsets: np.ndarray):
         s = tables.settings
         self.head = tables.find(tokens)
         frequent = np.where(self.head >= 0, tables.place[self.head] if len(tables.place) else -1, -1)
         self.target = np.where(frequent >= 0, frequent // s.per_class, s.classes)
-        self.member = frequent % s.per_class
         known = np.where(self.head >= 0, tokens, OTHER)
         common = np.where(frequent >= 0, tokens, OTHER)
         start = np.repeat(offsets[:-1], np.diff(offsets))
@@ -120,22 +161,35 @@ class Examples:
             out[back < steps] = START
             return out
 
-        one, two = before(known, 1), before(known, 2)
+        one, two, three = (before(known, i) for i in (1, 2, 3))
         near, next_near = before(common, 1), before(common, 2)
         salt = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         keys = [
             one + salt[0],  # the word before
             mix(near + salt[1]) + next_near,  # the two words before
             two + salt[2],  # skip one
+            three + salt[3],  # skip two
             mix(near + salt[4]) + before(common, 3),  # the word before and the third before
         ]
-        group = mix(self.target.astype(np.uint64) + salt[5])
         self.class_features = _buckets(keys, s.class_buckets)
-        self.word_features = _buckets([k + group for k in (near, two + salt[6])], s.word_buckets)
+        depth = tables.depth[self.head]
+        self.first_step = np.concatenate(([0], np.cumsum(depth)))
+        self.token = np.repeat(np.arange(len(tokens)), depth)
+        level = np.arange(len(self.token)) - self.first_step[self.token]
+        self.node = tables.node[self.head[self.token], level]
+        self.branch = tables.branch[self.head[self.token], level]
+        group = mix(self.node.astype(np.uint64) + salt[5])
+        self.word_features = _buckets([k[self.token] + group for k in (near, two + salt[6])], s.word_buckets)
+        self.word_features[self.node >= s.classes] += np.uint16(s.word_buckets)
+
+    def steps(self, part: slice) -> slice:
+        """The steps of a part of the tokens."""
+        ends = self.first_step[[part.start, min(part.stop, len(self.target))]]
+        return slice(*ends)
 
 
 def _buckets(keys: list[np.ndarray], buckets: int) -> np.ndarray:
-    """A bucket for each key; ``buckets`` is a power of two of at most 2**16, which sorts fast."""
+    """A bucket for each key; ``buckets`` is a power of two of at most 2**15, as 16 bits sort fast."""
     out = np.empty((len(keys[0]), len(keys)), dtype=np.uint16)
     for i, key in enumerate(keys):
         out[:, i] = mix(key) & np.uint64(buckets - 1)
@@ -155,8 +209,8 @@ def _class_scores(tables: Tables, weights: np.ndarray, features: np.ndarray) ->
     return _log_softmax(scores)
 
 
-def _word_scores(tables: Tables, weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    scores = weights[features[:, 0]] + tables.word_bias[classes]
+def _word_scores(tables: Tables, weights: np.ndarray, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    scores = weights[features[:, 0]] + tables.word_bias[nodes]
     for f in range(1, features.shape[1]):
         scores += weights[features[:, f]]
     return _log_softmax(scores)
@@ -183,11 +237,11 @@ def _learn(tables: Tables, weights: Weights, seen: tuple[np.ndarray, np.ndarray]
         slopes = np.exp(_class_scores(tables, weights.classes, features))
         slopes[np.arange(len(target)), target] -= 1
         _step(weights.classes, seen[0], features, slopes, s.rate)
-        frequent = np.flatnonzero(target < s.classes)
-        if len(frequent):
-            features = examples.word_features[part][frequent]
-            slopes = np.exp(_word_scores(tables, weights.words, features, target[frequent]))
-            slopes[np.arange(len(frequent)), examples.member[part][frequent]] -= 1
+        steps = examples.steps(part)
+        if steps.stop > steps.start:
+            features, branch = examples.word_features[steps], examples.branch[steps]
+            slopes = np.exp(_word_scores(tables, weights.words, features, examples.node[steps]))
+            slopes[np.arange(len(branch)), branch] -= 1
             _step(weights.words, seen[1], features, slopes, s.rate)
 
 
@@ -277,26 +331,30 @@ def train(texts: DataFrame, tables: Tables) -> Weights:
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, rest array<long>"
 
 
-def _score(tables: Tables, weights: Weights, chunk: Texts) -> dict:
+def _chances(tables: Tables, weights: Weights, examples: Examples) -> np.ndarray:
+    """The log10 chance of each token; for words beyond the head that of the leaf they share."""
     s = tables.settings
-    tokens, offsets = _tokens(chunk)
-    examples = Examples(tables, tokens, offsets)
-    chance = np.empty(len(tokens))
-    for a in range(0, len(tokens), s.minibatch):
+    chance = np.empty(len(examples.target))
+    for a in range(0, len(chance), s.minibatch):
         part = slice(a, a + s.minibatch)
-        target = examples.target[part]
+        target, steps = examples.target[part], examples.steps(part)
         here = _class_scores(tables, weights.classes, examples.class_features[part])[np.arange(len(target)), target].astype(np.float64)
-        frequent = np.flatnonzero(target < s.classes)
-        if len(frequent):
-            scores = _word_scores(tables, weights.words, examples.word_features[part][frequent], target[frequent])
-            here[frequent] += scores[np.arange(len(frequent)), examples.member[part][frequent]]
+        if steps.stop > steps.start:
+            scores = _word_scores(tables, weights.words, examples.word_features[steps], examples.node[steps])
+            taken = scores[np.arange(len(scores)), examples.branch[steps]]
+            here += np.bincount(examples.token[steps] - a, weights=taken, minlength=len(here))
         chance[part] = here / np.log(10)
+    return chance
+
+
+def _score(tables: Tables, weights: Weights, chunk: Texts) -> dict:
+    tokens, offsets = _tokens(chunk)
+    examples = Examples(tables, tokens, offsets)
+    chance = _chances(tables, weights, examples)
     head = examples.head >= 0
     ones = np.log10((tables.counts[examples.head] if len(tables.counts) else np.zeros(len(tokens))) + 1.0)
     base = np.where(head, ones, 0.0) - np.log10(tables.total + tables.distinct + 1)
-    rare = examples.target == s.classes
-    chance -= np.where(rare, np.log10(tables.rare_total + tables.rare_distinct + 1), 0.0)
-    chance += np.where(rare & head, ones, 0.0)
+    chance -= np.where(head, 0.0, np.log10(tables.open_total + tables.open_distinct + 1))
     rest = ~head
     return {
         "n_tokens": np.diff(offsets), "n_head": sums_by_row(head, offsets), "base_head": np.add.reduceat(base, offsets[:-1]),

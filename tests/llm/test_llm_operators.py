@@ -113,6 +113,43 @@ def test_model_chances_sum_to_one(spark):
     assert rare == 1 and tables.rare_total == 100 - 95
 
 
+def test_model_gives_rarer_head_words_context():
+    settings = maxent.Settings(classes=2, per_class=4, class_buckets=1 << 8, word_buckets=1 << 8)
+    words = np.arange(1, 81, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.append(np.arange(100, 20, -10), np.full(72, 3))
+    tables = maxent.Tables(words, counts, int(counts.sum()) + 40, 100, settings)
+    place = tables.find(words)
+
+    def chances(weights, context):
+        tokens = np.stack([np.full(81, context), np.append(words, np.uint64(12345))], axis=1).ravel()
+        examples = maxent.Examples(tables, tokens, np.arange(0, len(tokens) + 1, 2))
+        return 10 ** maxent._chances(tables, weights, examples)[1::2]
+
+    weights = maxent.Weights(settings)
+    plain = chances(weights, words[0])
+    assert (place >= 0).all() and np.allclose(plain[:80], (counts + 1) / (tables.total + 101), rtol=1e-4)
+    rng = np.random.default_rng(1)
+    weights.classes[:], weights.words[:] = (rng.standard_normal(w.shape) for w in (weights.classes, weights.words))
+    one, two = (chances(weights, words[i]) for i in (0, 1))
+    assert np.isclose(one.sum(), 1, atol=1e-4) and np.isclose(two.sum(), 1, atol=1e-4)
+    # Words of equal count beyond the classes: which of them follows depends on the word before.
+    share = [c[8:80] / c[8:80].sum() for c in (one, two)]
+    assert np.abs(share[0] - share[1]).max() > 0.01
+
+
+def test_model_learns_which_rarer_word_follows(spark):
+    """The rarer word is told by the frequent word before it alone."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(600):
+        picks = rng.integers(0, 8, 40)
+        rows.append((i, " ".join(f"f{p} r{p * 8 + rng.integers(0, 8)}" for p in picks)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = maxent.score(docs, maxent.Settings(classes=3, per_class=3)).where("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in made) / sum(r["n_tokens"] for r in made)
+    assert gain > 0.4
+
+
 def shingles(text, n):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
