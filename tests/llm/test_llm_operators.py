@@ -393,6 +393,25 @@ def test_vectors(spark):
     assert found[None]["component_id"] is None and found[None]["n_links"] == 0
 
 
+def test_vectors_link_across_full_lists(spark):
+    """Tight groups that link with each other: every list is full of the own group's vectors."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    rows = []
+    for pair in range(3):
+        a, b = axes[2 * pair], axes[2 * pair + 1]
+        angle = np.arccos(0.965)
+        for centre in (a, np.cos(angle) * a + np.sin(angle) * b):
+            rows += [centre + 0.004 * rng.standard_normal(24) for _ in range(12)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    made = neighbours.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    want = {i: (int(near[i].sum()) - 1, i // 24 * 24) for i in range(72)}
+    assert all(n == 23 for n, _ in want.values())
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in made} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
