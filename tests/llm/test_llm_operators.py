@@ -412,6 +412,23 @@ def test_vectors_link_across_full_lists(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in made} == want
 
 
+def test_audit_needs_links_and_fails_below_its_aim(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((2000, 32))
+    rows[1999] = rows[0] + 0.01 * rng.standard_normal(32)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, 32, bytearray(u.tobytes())) for i, u in enumerate(unit)], "id long, width int, unit binary")
+    nothing = spark.createDataFrame([], "id long, component long")
+    recall, missed, complete = neighbours.audit(vectors, nothing, neighbours.Settings())
+    assert (recall, complete) == (0.0, True) and {tuple(sorted(r)) for r in missed.collect()} == {(0, 1999)}
+
+    twins = np.concatenate([rows[:1500], rows[:1500] + 0.02 * rng.standard_normal((1500, 32))])
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(twins)], "vec_id long, embedding array<double>")
+    poor = neighbours.Settings(orders=1, bits=1, block=2, rounds=0, repeats=1, shares=(2,), audit_links=1)
+    with pytest.raises(RuntimeError, match="recall 0"):
+        neighbours.near_vectors(table, poor)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
