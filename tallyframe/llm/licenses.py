@@ -52,8 +52,9 @@ IDENTIFIERS: Mapping[str, str] = {
 PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "bsl", "public-domain", "unlicense", "cc-by"})
 
 TAG = "spdx license identifier"
-_TAG_TEXT = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*:[ \t]*([^\r\n]{0,400})")
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*(?::[a-z0-9.+-]+)?")
+_TAG_TEXT = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*:")
+_LINE_END = re.compile(r"[\r\n]|\Z")
+_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*(?::[a-z0-9.+-]+)?", re.ASCII | re.IGNORECASE)
 
 # Lower-cases A-Z and blanks out what is no letter, digit or byte beyond ASCII.
 _CLEAN = bytes(
@@ -63,26 +64,30 @@ _CLEAN = bytes(
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(expression: str) -> list[str]:
-    """The longest valid expression that the text begins with, in postfix order; empty if there is none.
+def postfix(text: str, start: int = 0, end: int | None = None) -> list[str]:
+    """The longest valid expression at the start of the part, in postfix order; empty if there is none.
 
     ``with`` binds closer than ``and``, ``and`` closer than ``or``.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = False  # whether the last token ends an operand
-    complete: list[str] = []
-    for token in _TOKEN.findall(expression.lower()):
+    opened = 0  # brackets on the stack
+    complete, pending = 0, []  # how much of ``out`` the longest valid expression takes, and the operators behind it
+    for match in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        token = match[0].lower()
         if token == "(":
             if operand:
                 break
             stack.append(token)
+            opened += 1
         elif token == ")":
-            if not operand or "(" not in stack:
+            if not operand or not opened:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            opened -= 1
         elif token in PRECEDENCE:
             if not operand:
                 break
@@ -95,9 +100,9 @@ def postfix(expression: str) -> list[str]:
                 break
             out.append(token)
             operand = True
-        if operand and "(" not in stack:
-            complete = out + stack[::-1]
-    return complete
+        if operand and not opened:
+            complete, pending = len(out), stack[::-1]  # at most one operator of each precedence
+    return out[:complete] + pending
 
 
 def label_of(identifier: str) -> str | None:
@@ -181,8 +186,11 @@ class Scanner:
         return found
 
     def _expressions(self, text: str, found: Scan) -> None:
-        for match in _TAG_TEXT.finditer(text.encode().translate(_LOWER).decode()):
-            tokens = postfix(match[1])
+        lowered, line_end = text.encode().translate(_LOWER).decode(), -1
+        for match in _TAG_TEXT.finditer(lowered):
+            if match.end() > line_end:
+                line_end = _LINE_END.search(lowered, match.end()).start()
+            tokens = postfix(lowered, match.end(), line_end)
             if not tokens:
                 continue
             verdict, labels = evaluate(tokens, self.allowed)

@@ -284,6 +284,25 @@ def test_expressions(text, tokens, allowed):
         assert licenses.evaluate(tokens, licenses.PERMISSIVE)[0] is allowed
 
 
+@pytest.mark.parametrize("start, end", [("", ""), ("(", ")")])
+def test_long_expressions(start, end):
+    names = ["mit", "apache-2.0", "bsd-3-clause", "isc"] * 25
+    line = start + " and ".join([*names, "gpl-3.0"]) + end
+    assert len(line) > 1000
+    scan = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES, licenses.PERMISSIVE).scan(
+        f"/* SPDX-License-Identifier: {line}\nand lgpl-3.0 */"
+    )
+    assert scan.labels == {"mit", "apache", "bsd", "isc", "gpl"} and scan.allowed is False
+    assert [t for t in scan.expressions[0].split() if t != "and"] == [*names, "gpl-3.0"]
+
+
+def test_every_tag_of_a_line_counts():
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES, licenses.PERMISSIVE)
+    for gap in (1, 1000):
+        scan = scanner.scan("SPDX-License-Identifier: MIT" + " */" * gap + " SPDX-License-Identifier: GPL-2.0")
+        assert scan.expressions == ["mit", "gpl-2.0"] and scan.allowed is False
+
+
 def test_urls(spark):
     rows = [None, "", "a.b/c", "http://A.Org/x", "http://a.org", "http://sub.example.org/en/1?x", "http://EXAMPLE.org/es/#a",
             "x://y?z://q/", "http://example.org:80/es/", "http://com/fr/é", "http://notcom/de/", "http://cheap-pills.test/buy"]
