@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, shards, tokencount, urls
+from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, resample, shards, tokencount, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,3 +171,52 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sampled_pieces")
 def op4_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+RESAMPLE_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, _: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id, true AS corpus, text FROM documents
+  UNION ALL SELECT NULL, NULL, false, text FROM benchmark),
+words AS (
+  SELECT *, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM texts),
+features AS (
+  SELECT row, corpus, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature
+  FROM words),
+hashed AS (
+  SELECT feature, xor(list_reduce(range(len(h)), lambda c, i: xor(c >> 4,
+      t[(xor(c, instr('0123456789abcdef', h[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1) & 15) + 1]),
+      4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT feature, lower(hex(feature)) AS h FROM (SELECT DISTINCT feature FROM features)), crc_table),
+totals AS (
+  SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t
+  FROM features JOIN hashed USING (feature) GROUP BY bucket),
+sums AS (SELECT sum(s)::DOUBLE + 10000 AS all_s, sum(t)::DOUBLE + 10000 AS all_t FROM totals),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * all_s / ((s + 1)::DOUBLE * all_t)))::BIGINT AS gain FROM totals, sums),
+weights AS (
+  SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE corpus GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS drawable, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row) WHERE corpus),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY drawable ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    count(*) OVER (PARTITION BY drawable) AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN drawable AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op11_resample", RESAMPLE_SQL)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
