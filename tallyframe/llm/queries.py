@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, resample, shards, tokencount, urls
+from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, resample, shards, tokencount, urls, zonemaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,3 +220,38 @@ SELECT doc_id, n_features, weight, score, CASE WHEN drawable AND place <= 5 * n
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _cluster_sql(rounds: int = 10, clusters: int = 8, width: int = 64) -> str:
+    """Centroid clustering in SQL: one pair of tables per round; distance and centroid number share a long."""
+    nearest = f"""SELECT vec_id, v.x, min({clusters} * list_sum(list_transform(list_zip(v.x, c.x),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT + c.cluster) AS far
+  FROM kept v, c{{0}} c GROUP BY ALL"""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, x FROM kept
+  ORDER BY sha256('3:' || vec_id) LIMIT {clusters})""",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY axis) AS x FROM (
+      SELECT far % {clusters} AS cluster, axis, sum(x[axis])::BIGINT AS s, count(*) AS n
+      FROM a{i}, range(1, {width + 1}) r(axis) GROUP BY ALL) GROUP BY cluster) n ON n.cluster = c.cluster)""")
+    parts.append(f"done AS MATERIALIZED ({nearest.format(rounds)})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(d.cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY d.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM (SELECT vec_id, far % {clusters} AS cluster, far // {clusters} AS distance FROM done) d
+JOIN c{rounds} c ON c.cluster = d.cluster
+"""
+
+
+@query("op13_centroids", _cluster_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
