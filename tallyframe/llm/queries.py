@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, resample, shards, tokencount, urls, zonemaps
+from tallyframe.llm import graphsearch, licenses, maxent, minhash, mixing, neighbours, pieces, quality, resample, shards, tokencount, urls, zonemaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -255,3 +255,25 @@ JOIN c{rounds} c ON c.cluster = d.cluster
 @query("op13_centroids", _cluster_sql())
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonemaps.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SEARCH_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 20
+"""
+
+
+@query("op12_nearest", SEARCH_SQL)
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = graphsearch.search(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.select("query_id", "rank", "vec_id", "score")
