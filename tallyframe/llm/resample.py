@@ -220,11 +220,24 @@ def frequent_runs(texts: DataFrame, settings: Settings, text: str = "text") -> D
 
 
 def find_head(texts: DataFrame, settings: Settings, text: str = "text") -> Head:
-    """The most frequent words and pairs; at most ``head_words`` and ``head_pairs`` short rows reach the driver."""
-    found = materialize(frequent_runs(texts, settings, text), "frequent-runs")
+    """The most frequent words and pairs; at most ``head_words`` and ``head_pairs`` short rows reach the driver.
+
+    Counts are cut where the runs of all higher eighths of a power of two still fit, so no task sends more
+    than the driver keeps.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    found = materialize(frequent_runs(texts, settings, text).withColumn("step", step), "frequent-runs")
+    sizes = found.groupBy("words", "step").count().orderBy(F.desc("step")).collect()  # some hundred rows
 
     def most(length: int, limit: int) -> list[bytes]:
-        rows = found.where(F.col("words") == length).orderBy(F.desc("n"), "run").limit(limit).select("run").collect()
+        least, total = 1 << 20, 0
+        for row in sizes:
+            if row["words"] == length:
+                total += row["count"]
+                if total > limit:
+                    break
+                least = row["step"]
+        rows = found.where((F.col("words") == length) & (F.col("step") >= least)).select("run").collect()
         return [bytes(r["run"]) for r in rows]
 
     words = most(1, settings.head_words)
