@@ -73,13 +73,18 @@ def _col(column: Column | str) -> Column:
 
 
 def fold_present(column: Column | str) -> Column:
-    """Lower case without accents; null stays null."""
+    """Lower case without accents; null stays null.
+
+    A text with as many bytes as characters is plain ASCII, where lower case is all there is to do.
+    """
     source, target = _accent_tables()
     text = _col(column).cast("string")
+    plain = F.octet_length(text) == F.length(text)
     lowered = F.translate(F.lower(text), source, target)
     # Asked of the text as it came, by one range: most texts are then folded once and not searched further.
     rare = text.rlike(f"[{min(_several_bases())}-\U0010ffff]")
-    return F.regexp_replace(F.when(rare, _split_bases(lowered)).otherwise(lowered), r"\p{Mn}", "")
+    folded = F.regexp_replace(F.when(rare, _split_bases(lowered)).otherwise(lowered), r"\p{Mn}", "")
+    return F.when(plain, F.lower(text)).otherwise(folded)
 
 
 def fold(column: Column | str) -> Column:
