@@ -3,26 +3,38 @@
 Score of a row = number of distinct query words it contains; rows without any are out; ties
 go to the earlier row, by an explicit unique order key.
 
-Many questions are answered in one scan of the rows. A join of rows and questions on words
-would produce every pair that shares a common word. But rows of one source that hold the same
-asked words score alike for every question, so only the first ``k`` of them can be among the
-best. Rows are therefore first grouped by the asked words they hold, and the groups take the
-rows' place in the join. Nothing is dropped that could be an answer.
+Many questions are answered from postings. A join of rows and questions on words would produce
+every pair that shares a common word. Instead:
+
+1. rows of one source with the same asked words score alike, so they are one group, which keeps
+   its ``k`` first keys; groups stand in key order and a few neighbours make a block;
+2. a word's first ``k`` groups are scored for every question that holds the word; a question's
+   ``k``-th best of them is its threshold: whatever ranks behind it can't be among the best;
+3. a group with ``t`` of a question's ``m`` words holds one of any ``m - t + 1`` of them, so
+   only the blocks of the rarest words are looked up, never those of the common ones; where a
+   group could do no more than tie, only blocks before the threshold's own;
+4. the words of a whole block bound the score of its groups; blocks that can't beat the
+   threshold are left, the groups of the others are scored.
+
+Nothing is dropped that could be an answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.cast import present, ref
 from tallyframe.functions.text import query_words, value_text, words
+from tallyframe.operators.attach import attach, measure
+from tallyframe.operators.ordering import numbered
 from tallyframe.session import materialize
 
 DEFAULT_K = 8
-# Parts in which the groups found for one question are ranked before the last ranking.
-BUCKETS = 64
+# Groups of a block: a bound is sharper for fewer, and frequent words have fewer blocks for more.
+BLOCK = 16
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -74,6 +86,97 @@ def question_units(questions: DataFrame, question: str = "question", scope: str
     return asked.withColumn("unit", F.when(F.size("words") > 0, F.sha2(F.concat_ws("|", *parts), 256)))
 
 
+@dataclass(frozen=True)
+class Postings:
+    """Rows as groups in key order, and where each word is found.
+
+    ``groups``: source, position, block, key, keys, words. ``lists``: source, word, block, bucket,
+    where a bucket holds the blocks of one power of two. ``blocks``: source, block, words.
+    ``heads``: source, word, position of the first ``k`` groups. ``sizes``: source, word, n.
+    """
+
+    groups: DataFrame
+    lists: DataFrame
+    blocks: DataFrame
+    heads: DataFrame
+    sizes: DataFrame
+    k: int
+
+
+def build_postings(narrow: DataFrame, asked: DataFrame, k: int = DEFAULT_K, block: int = BLOCK) -> Postings:
+    """Postings of ``narrow`` (key, source, words) for the words in ``asked`` (source, word)."""
+    alike = materialize(_alike(narrow, asked, k), "alike")
+    placed = numbered(alike, "source", "key")
+    # One row per source.
+    starts = measure(placed.groupBy("source").agg(F.min("position").alias("start")), ["source"])
+    number = F.floor((F.col("position") - F.col("start")) / block)
+    groups = attach(placed, starts).withColumn("block", number).drop("start", "group")
+    held = groups.select("source", "block", "position", F.explode("words").alias("word"))
+    bucket = F.floor(F.log2(F.col("block") + 1)).cast("int").alias("bucket")
+    lists = materialize(held.select("source", "word", "block").distinct().select("*", bucket), "postings")
+    first = Window.partitionBy("source", "word").orderBy("position")
+    heads = held.withColumn("number", F.row_number().over(first)).filter(F.col("number") <= k)
+    return Postings(
+        groups,
+        lists,
+        lists.groupBy("source", "block").agg(F.collect_list("word").alias("words")),
+        heads.select("source", "word", "position"),
+        lists.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n")),
+        k,
+    )
+
+
+def seeds(asked: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
+    """The first groups of every asked word, scored for the questions that hold it."""
+    met = asked.join(index.heads, ["source", "word"]).select("unit", "source", "place", "position").distinct()
+    return _scored(met.join(index.groups.drop("block", "key", "keys"), ["source", "position"]), units)
+
+
+def _scored(met: DataFrame, units: DataFrame) -> DataFrame:
+    """The overlap of the ``words`` of each line with its question's."""
+    overlap = F.size(F.array_intersect("words", "query"))
+    joined = met.join(units.select("unit", F.col("words").alias("query")), "unit")
+    return joined.withColumn("overlap", overlap).drop("words", "query")
+
+
+def thresholds(scored: DataFrame, index: Postings) -> DataFrame:
+    """Per question the overlap, place and block of its ``k``-th best seed.
+
+    A question with fewer seeds has no threshold and needs none: each of its words is in fewer than ``k``
+    groups, so all its groups are seeds.
+    """
+    last = _first(scored, index.k, "unit").filter(F.col("rank") == index.k)
+    blocks = index.groups.select("source", "position", F.col("block").alias("at_block"))
+    return last.join(blocks, ["source", "position"]).select(
+        "unit", F.col("overlap").alias("least"), F.col("place").alias("at_place"), "at_block"
+    )
+
+
+def candidate_blocks(asked: DataFrame, units: DataFrame, limits: DataFrame, index: Postings) -> DataFrame:
+    """(unit, source, place, block, ...): the blocks that may hold a group ahead of the threshold.
+
+    ``asked`` holds, by question and source, each word's number from rare to common and how many there are.
+    """
+    known = asked.join(limits, "unit").filter("m >= least")
+    # Words that a group with more than the threshold's overlap can't all lack; one more where a tie wins.
+    spare = F.col("m") - F.col("least")
+    always = (F.col("number") <= spare) | ((F.col("number") == spare + 1) & (F.col("place") < F.col("at_place")))
+    tie = (F.col("number") == spare + 1) & (F.col("place") == F.col("at_place"))
+    names = ["unit", "source", "place", "least", "at_place", "at_block", "block"]
+    any_block = known.filter(always).join(index.lists.drop("bucket"), ["source", "word"]).select(*names)
+    buckets = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("at_block") + 1)).cast("int"))).alias("bucket")
+    early = known.filter(tie).select(*[c for c in known.columns], buckets)
+    early = early.join(index.lists, ["source", "word", "bucket"]).filter("block <= at_block").select(*names)
+    found = any_block.union(early).distinct().join(index.blocks, ["source", "block"])
+    return _scored(found, units).filter(_ahead()).drop("overlap")
+
+
+def _ahead() -> Column:
+    """Whether a group of this overlap, place and block may rank ahead of its question's threshold."""
+    earlier = (F.col("place") < F.col("at_place")) | ((F.col("place") == F.col("at_place")) & (F.col("block") <= F.col("at_block")))
+    return (F.col("overlap") > F.col("least")) | ((F.col("overlap") == F.col("least")) & earlier)
+
+
 def retrieve_many(
     rows: DataFrame,
     questions: DataFrame,
@@ -82,49 +185,49 @@ def retrieve_many(
     text: Column | None = None,
     source: str | None = None,
     scope: str | None = None,
-    buckets: int = BUCKETS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``unit``, ``rank``, ``overlap``, source and order key of the ``k`` best rows per unit.
 
     ``questions`` comes from ``question_units``. With ``source`` (a column of the rows) and
     ``scope`` (an array column of the questions) a question sees only the rows of its scope,
     and rows of an earlier source in the scope win ties. The rows are read once, when called.
+    ``block`` sets how many groups share a bound, never the result.
     """
     if k < 1:
         raise ValueError("top_k doit etre superieur ou egal a 1.")
     scopes = F.col(scope) if scope is not None else F.array(F.lit(""))
-    units = (
-        questions.filter("unit is not null")
-        .select("unit", "words", scopes.alias("scope"))
-        .dropDuplicates(["unit"])
-    )
+    units = questions.filter("unit is not null").select("unit", "words", scopes.alias("scope"))
+    units = materialize(units.dropDuplicates(["unit"]), "units")
     places = units.select("unit", "words", F.posexplode("scope").alias("place", "source"))
     places = places.groupBy("unit", "source").agg(F.min("place").alias("place"), F.first("words").alias("words"))
-    postings = places.select("unit", "source", "place", F.explode("words").alias("word"))
+    wanted = places.select("unit", "source", "place", F.explode("words").alias("word"))
 
     tokens = words(record_text(rows) if text is None else text)
     origin = ref(source) if source is not None else F.lit("")
     narrow = rows.select(ref(order_key).alias("key"), origin.alias("source"), tokens.alias("words"))
-    groups = materialize(_alike(narrow, postings.select("source", "word").distinct(), k), "alike")
-
-    # A group ranks by its first row; more than k groups ahead of it means k rows ahead of all its rows.
-    bucket = F.pmod(F.xxhash64("group"), F.lit(buckets))
-    held = groups.select("source", "group", F.get("keys", F.lit(0)).alias("key"), F.explode("words").alias("word"))
-    met = held.join(postings, ["source", "word"]).withColumn("bucket", bucket)
-    # Counting and the first cut share this shuffle.
-    scored = (
-        met.repartition("unit", "bucket")
-        .groupBy("unit", "bucket", "place", "source", "group", "key")
-        .agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    index = build_postings(narrow, wanted.select("source", "word").distinct(), k, block)
+
+    of = Window.partitionBy("unit", "source")
+    asked = wanted.join(index.sizes, ["source", "word"]).select(
+        "unit", "source", "place", "word",
+        F.row_number().over(of.orderBy("n", "word")).alias("number"), F.count(F.lit(1)).over(of).alias("m"),
     )
-    top = _first(_first(scored, k, "unit", "bucket"), k, "unit").drop("key", "bucket", "rank")
-    found = top.join(groups.select("source", "group", "keys"), ["source", "group"])
-    found = found.select("unit", "place", "source", "overlap", F.explode("keys").alias("key"))
-    return _first(found, k, "unit").select("unit", "rank", "overlap", "source", F.col("key").alias(order_key))
+    asked = materialize(asked, "asked")
+    scored = materialize(seeds(asked, units, index), "seeds")
+    limits = thresholds(scored, index)
+    near = candidate_blocks(asked, units, limits, index)
+    met = near.join(index.groups.select("source", "block", "position", "words"), ["source", "block"])
+    more = _scored(met, units).filter(_ahead()).select(*scored.columns)
+    best = _first(scored.union(more).distinct(), k, "unit").drop("rank")
+    keyed = best.join(index.groups.select("source", "position", "keys"), ["source", "position"])
+    found = keyed.select("unit", "place", "source", "overlap", F.explode("keys").alias("position"))
+    top = _first(found, k, "unit")
+    return top.select("unit", "rank", "overlap", "source", F.col("position").alias(order_key))
 
 
 def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Rows grouped by source and asked words: the words and the first ``k`` keys of each group."""
+    """Rows grouped by source and asked words: the words, the first key and the first ``k`` keys of each group."""
     # Not ``explode``: the filter that comes with it would compute the words twice.
     single = narrow.select("source", "key", F.explode_outer("words").alias("word"))
     held = single.join(asked, ["source", "word"], "left_semi").groupBy("source", "key")
@@ -132,12 +235,13 @@ def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     sets = sets.withColumn("group", F.sha2(F.array_join("words", " "), 256))
     number = F.row_number().over(Window.partitionBy("source", "group").orderBy("key"))
     heads = sets.withColumn("number", number).filter(F.col("number") <= k)
-    return heads.groupBy("source", "group").agg(
+    listed = heads.groupBy("source", "group").agg(
         F.first("words").alias("words"), F.sort_array(F.collect_list("key")).alias("keys")
     )
+    return listed.withColumn("key", F.get("keys", F.lit(0)))
 
 
 def _first(scored: DataFrame, k: int, *by: str) -> DataFrame:
-    """The ``k`` best lines by overlap, place and key, with their ``rank``; cut before the shuffle too."""
-    best = Window.partitionBy(*by).orderBy(F.desc("overlap"), "place", "key")
+    """The ``k`` best lines by overlap, place and position, with their ``rank``; cut before the shuffle too."""
+    best = Window.partitionBy(*by).orderBy(F.desc("overlap"), "place", "position")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
