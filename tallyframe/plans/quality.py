@@ -7,17 +7,15 @@ from collections.abc import Mapping
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.operators.attach import measure
+from tallyframe.operators.moments import Fitted
 from tallyframe.operators.profile import (
     SOURCE,
-    correlations,
+    duplicate_rows,
     low_correlation_candidates,
-    missing_report,
-    outlier_report,
-    structure_report,
     top_missing,
 )
 from tallyframe.operators.schema import visible_columns
+from tallyframe.plans.fitting import fenced_outliers
 from tallyframe.sources.readers import SourceSet, read_tables
 
 
@@ -29,7 +27,8 @@ def normalized_profiles(sources: SourceSet) -> tuple[DataFrame, DataFrame]:
     frames = {
         source: df.select(*visible_columns(df)) for source, df in sources.frames.items()
     }
-    described = structure_report(frames).select(
+    fitted = Fitted.of(frames)
+    described = fitted.profile().join(duplicate_rows(frames), SOURCE).select(
         F.col(SOURCE).alias("id"), "rows", "columns", "duplicate_rows", "total_missing",
         F.col("missing_rate_global_pct").alias("missing_rate_pct"),
     )
@@ -42,18 +41,22 @@ def normalized_profiles(sources: SourceSet) -> tuple[DataFrame, DataFrame]:
         "id string, source string, kind string, available boolean, error string",
     )
     # One row per declared source on both sides.
-    return declared.join(described, "id", "left"), top_missing(missing_report(frames), [SOURCE])
+    return declared.join(described, "id", "left"), top_missing(fitted.missing_report(), [SOURCE])
 
 
 def quality(raw: Mapping[str, DataFrame], sources: SourceSet | None = None, threshold: float = 0.2) -> dict[str, DataFrame]:
-    """Structure, missing values, correlations, outliers and pruning candidates."""
-    found = measure(correlations(raw), [SOURCE, "variable"]).table
+    """Structure, missing values, correlations, outliers and pruning candidates.
+
+    The raw rows are read for moments, duplicates, quartiles and outlier counts, once each.
+    """
+    fitted = Fitted.of(raw)
+    found = fitted.correlations()
     reports = {
-        "structure": structure_report(raw),
-        "missing": missing_report(raw),
+        "structure": fitted.profile().join(duplicate_rows(raw), SOURCE),
+        "missing": fitted.missing_report(),
         "correlations": found.orderBy(F.desc_nulls_last("abs_r"), SOURCE, "variable"),
         "low_correlation_candidates": low_correlation_candidates(found, threshold),
-        "outliers": outlier_report(raw),
+        "outliers": fenced_outliers(raw, fitted),
     }
     if sources is not None:
         reports["normalized"], reports["top_missing"] = normalized_profiles(sources)

@@ -10,19 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe import presets
 from tallyframe.functions.cast import without_nan
 from tallyframe.functions.scoring import rule_score
-from tallyframe.operators.clean import correct_all, drop_weak, impute_all, weak_columns
-from tallyframe.operators.attach import Lookup, measure
+from tallyframe.operators.clean import drop_weak, weak_columns
+from tallyframe.operators.attach import Lookup
+from tallyframe.operators.moments import Fitted
 from tallyframe.operators.products import add_product, preset_lookup, product_reference, require_mapped
-from tallyframe.operators.profile import (
-    SOURCE,
-    compare_missing,
-    correlations,
-    missing_report,
-    outlier_report,
-    structure_report,
-)
-from tallyframe.operators.quantiles import DIRECT_VALUES
+from tallyframe.operators.profile import SOURCE, compare_missing, structure_report
 from tallyframe.operators.schema import select_final, standardize_all, union_tagged
+from tallyframe.plans.fitting import fit_cleaning
 from tallyframe.session import scratch_path
 from tallyframe.sources.sinks import write_normalized
 
@@ -41,7 +35,6 @@ class Preset:
     aliases: Sequence[str] = presets.TARGET_ALIASES
     correlation_threshold: float = 0.2
     outlier_multiplier: float = 1.5
-    direct_values: int = DIRECT_VALUES
 
 
 @dataclass(frozen=True)
@@ -59,12 +52,13 @@ class Wrangled:
     pruned: dict[str, DataFrame]
     imputed: dict[str, DataFrame]
     preset: Preset
+    fitted: Fitted
 
     def structure(self) -> DataFrame:
         return structure_report(self.raw, aliases=self.preset.aliases)
 
     def missing(self) -> DataFrame:
-        return missing_report(self.raw)
+        return self.fitted.missing_report()
 
     def missing_comparison(self) -> DataFrame:
         return compare_missing(self.pruned, self.imputed)
@@ -98,9 +92,9 @@ def normalization_audit(consolidated: DataFrame, n_columns: int, score: str = pr
     )
 
 
-def check_row_counts(before: Mapping[str, DataFrame], audit: DataFrame) -> None:
-    """Rows in must be rows out; compares two counts."""
-    rows_in = sum(df.count() for df in before.values())
+def check_row_counts(before: Mapping[str, DataFrame] | int, audit: DataFrame) -> None:
+    """Rows in must be rows out; compares two counts. The first one is given or counted."""
+    rows_in = before if isinstance(before, int) else sum(df.count() for df in before.values())
     rows_out = audit.agg(F.sum("rows")).first()[0] or 0
     if rows_in != rows_out:
         raise ValueError(f"row count changed from {rows_in} to {rows_out}")
@@ -117,23 +111,19 @@ def wrangle(
     The score itself is imputed and capped before its scale is unified, and missing comments
     take the most frequent one: cleaning treats every column of its type alike. The final
     table is written to the shared folder, partitioned by source; the guards and all readers
-    use what was written there. Only after the guards is it published below ``out``.
+    use what was written there. Only after the guards is it published below ``out``. The raw
+    rows are read four times: for moments, order statistics, tallies, and to be written.
     """
     raw = {source: without_nan(df) for source, df in frames.items()}
     spark = next(iter(raw.values())).sparkSession
-    found = measure(correlations(raw, aliases=preset.aliases), [SOURCE, "variable"]).table
+    fitted = Fitted.of(raw, aliases=preset.aliases)
+    found = fitted.correlations()
     weak = weak_columns(found, preset.correlation_threshold, preset.protected)
     pruned = drop_weak(raw, weak)
-
-    imputed, imputation = impute_all(pruned, preset.direct_values)
-    bounds = measure(
-        outlier_report(imputed, multiplier=preset.outlier_multiplier, direct_values=preset.direct_values),
-        [SOURCE, "column"],
-    ).table
-    corrected, corrections = correct_all(imputed, bounds)
+    cleaned = fit_cleaning(pruned, fitted, multiplier=preset.outlier_multiplier)
 
     # A pruned column is absent from its source and comes back as null here.
-    standard = standardize_all(corrected, preset.column_maps, preset.canonical)
+    standard = standardize_all(cleaned.corrected, preset.column_maps, preset.canonical)
     _, consolidated = normalize_all(standard, preset_lookup(spark), preset)
     paths = write_normalized(
         consolidated, product_reference(spark), scratch_path(spark, "wrangled"), SOURCE, preset.score_range
@@ -142,7 +132,7 @@ def wrangle(
     audit = normalization_audit(consolidated, len(preset.final))
     if check:
         require_mapped(consolidated)
-        check_row_counts(raw, audit)
+        check_row_counts(sum(fitted.rows().values()), audit)
     if out:
         write_normalized(consolidated, product_reference(spark), out, SOURCE, preset.score_range)
     tables = {
@@ -151,9 +141,9 @@ def wrangle(
     logs = {
         "correlations": found,
         "removed_columns": weak,
-        "imputation": imputation,
-        "outliers": bounds,
-        "corrections": corrections,
+        "imputation": cleaned.imputation,
+        "outliers": cleaned.outliers,
+        "corrections": cleaned.corrections,
         "normalization": audit,
     }
-    return Wrangled(tables, consolidated, logs, raw, pruned, imputed, preset)
+    return Wrangled(tables, consolidated, logs, raw, pruned, cleaned.imputed, preset, fitted)
