@@ -15,6 +15,8 @@ from tallyframe import presets
 from tallyframe.functions.cast import month_key, num_of, ref, round3, ts_of
 
 GOOD_SCORE = 4
+# Base-2 logarithm of a distinct sketch's size: 4,096 places of half a byte to a byte.
+DISTINCT_SIZE = 12
 
 
 def _measures(df: DataFrame, score: str | None) -> list[Column]:
@@ -232,6 +234,27 @@ def survey_totals(df: DataFrame, score: str | None = presets.SCORE_COLUMN, produ
     )
 
 
+def distinct_cube(df: DataFrame, keys: Sequence[str], columns: Sequence[str], size: int = DISTINCT_SIZE) -> DataFrame:
+    """Per group its rows and a sketch of the distinct values of each column, as ``<column>_sketch``.
+
+    Distinct counts do not add up over groups, but sketches do: stored by country, product and month,
+    they give the distinct values of any coarser group without the rows. Missing values do not count.
+    """
+    sketches = [F.hll_sketch_agg(ref(c).cast("string"), size).alias(f"{c}_sketch") for c in columns]
+    return df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("rows"), *sketches)
+
+
+def distinct_error(size: int = DISTINCT_SIZE) -> float:
+    """Three standard errors of a merged sketch, as a share of the true count."""
+    return 3 * 1.04 / 2 ** (size / 2)
+
+
+def distinct_estimates(cube: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Distinct values of each column by the given keys, from a cube of finer or equal groups."""
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(c) for c in columns]
+    return cube.groupBy(*[ref(k) for k in keys]).agg(F.sum("rows").alias("rows"), *merged)
+
+
 def sla_rate(df: DataFrame, column: str = "sla_respecte") -> DataFrame:
     """Claims and the share of all of them whose flag says yes."""
     met = sla_met(ref(column)).cast("double")

@@ -15,13 +15,51 @@ from tallyframe.functions.text import strip, value_text
 
 def check_columns(source: str, columns: Sequence[str], maps: Mapping[str, Mapping[str, str]]) -> None:
     """The schema contract: every column of a known source must be mapped."""
-    if source not in maps:
+    offenders = [name for _, name in contract_offenders({source: columns}, maps)]
+    if offenders == [None]:
         raise ValueError(f"Mapping absent pour {source}")
-    offenders = [name for name in columns if name not in maps[source]]
     if offenders:
         raise ValueError(f"Colonnes non mappees pour {source}: {offenders}")
 
 
+def contract_offenders(
+    columns: Mapping[str, Sequence[str]], maps: Mapping[str, Mapping[str, str]] = presets.COLUMN_MAPS
+) -> list[tuple[str, str | None]]:
+    """(source, column) of every breach: unmapped columns, and a source without a map with no column."""
+    unknown = [(source, None) for source in columns if source not in maps]
+    unmapped = [(s, c) for s, names in columns.items() if s in maps for c in names if c not in maps[s]]
+    return unknown + unmapped
+
+
+def contract_report(
+    frames: Mapping[str, DataFrame], maps: Mapping[str, Mapping[str, str]] = presets.COLUMN_MAPS
+) -> DataFrame:
+    """Every breach of the schema contract with the cells that are lost by it: source, column, rows, present.
+
+    Where ``standardize`` stops at the first source, this names all offenders. A source without a map is one
+    line without column. Only the offending columns are read; sources that keep the contract have no line.
+    """
+    parts = []
+    found = contract_offenders({source: df.columns for source, df in frames.items()}, maps)
+    for source in dict.fromkeys(s for s, _ in found):
+        df, names = frames[source], [c for s, c in found if s == source]
+        counts = [F.count(F.lit(1)).alias("_rows"), *[F.count(ref(c)).alias(f"_n{i}") for i, c in enumerate(names) if c is not None]]
+        lines = [
+            F.struct(
+                F.lit(source).alias("source"),
+                F.lit(name).cast("string").alias("column"),
+                F.col("_rows").alias("rows"),
+                (F.lit(None).cast("bigint") if name is None else F.col(f"_n{i}")).alias("present"),
+            )
+            for i, name in enumerate(names)
+        ]
+        parts.append(df.agg(*counts).select(F.inline(F.array(*lines))))
+    if not parts:
+        spark = next(iter(frames.values())).sparkSession
+        return spark.createDataFrame([], "source string, column string, rows bigint, present bigint")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def standardize(
     source: str,
     df: DataFrame,

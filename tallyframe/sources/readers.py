@@ -126,6 +126,11 @@ def tag(df: DataFrame, spec: SourceSpec) -> DataFrame:
     return tag_claims(df, spec) if spec.kind == CLAIM_KIND else tag_surveys(df, spec)
 
 
+def _empty_message(spec: SourceSpec) -> str:
+    name = spec.path.rstrip("/").rsplit("/", 1)[-1]
+    return f"Le fichier {name} est vide."
+
+
 def load_source(spark: SparkSession, spec: SourceSpec) -> tuple[DataFrame | None, str | None]:
     """The tagged rows, or the reason they cannot be had."""
     name = spec.path.rstrip("/").rsplit("/", 1)[-1]
@@ -139,7 +144,7 @@ def load_source(spark: SparkSession, spec: SourceSpec) -> tuple[DataFrame | None
     except Exception as error:  # noqa: BLE001 - any read failure is a status, not a crash
         return None, f"Impossible de lire {name}: {type(error).__name__}"
     if empty:
-        return None, f"Le fichier {name} est vide."
+        return None, _empty_message(spec)
     return tag(df, spec), None
 
 
@@ -163,13 +168,20 @@ class SourceSet:
         return cls({spec.id: spec for spec in specs}, frames, errors)
 
     @classmethod
-    def of(cls, specs: tuple[SourceSpec, ...], frames: Mapping[str, DataFrame]) -> SourceSet:
-        """From DataFrames at hand (tables, views or streams) instead of files."""
-        return cls(
-            {spec.id: spec for spec in specs},
-            {spec.id: tag(frames[spec.id], spec) for spec in specs if spec.id in frames},
-            {spec.id: f"Source indisponible: {spec.id}" for spec in specs if spec.id not in frames},
-        )
+    def of(cls, specs: tuple[SourceSpec, ...], frames: Mapping[str, DataFrame], check: bool = True) -> SourceSet:
+        """From DataFrames at hand (tables, views or streams) instead of files.
+
+        A table without rows is an error, as it is for a file; a stream is not asked. ``check=False``
+        spares the look at the first row of tables that are known to have some.
+        """
+        errors = {}
+        for spec in specs:
+            if spec.id not in frames:
+                errors[spec.id] = f"Source indisponible: {spec.id}"
+            elif check and not frames[spec.id].isStreaming and frames[spec.id].isEmpty():
+                errors[spec.id] = _empty_message(spec)
+        kept = {spec.id: tag(frames[spec.id], spec) for spec in specs if spec.id not in errors}
+        return cls({spec.id: spec for spec in specs}, kept, errors)
 
     def pick(self, ids: list[str] | tuple[str, ...]) -> dict[str, DataFrame]:
         """The available frames of the asked sources; an unknown id is an error."""
