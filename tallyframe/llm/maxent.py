@@ -196,24 +196,36 @@ def _buckets(keys: list[np.ndarray], buckets: int) -> np.ndarray:
     return out
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
+def _scores(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The summed weights of each row's features plus the bias, less the row's largest."""
+    scores = weights[features[:, 0]]
+    scores += bias
+    for f in range(1, features.shape[1]):
+        scores += weights[features[:, f]]
     scores -= scores.max(axis=1, keepdims=True)
+    return scores
+
+
+def _slopes(weights: np.ndarray, features: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The chance of every outcome, less one for the one that came."""
+    chance = _scores(weights, features, bias)
+    np.exp(chance, out=chance)
+    chance /= chance.sum(axis=1, keepdims=True)
+    chance[np.arange(len(target)), target] -= 1
+    return chance
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
     scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
     return scores
 
 
 def _class_scores(tables: Tables, weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    scores = weights[features[:, 0]] + tables.class_bias
-    for f in range(1, features.shape[1]):
-        scores += weights[features[:, f]]
-    return _log_softmax(scores)
+    return _log_softmax(_scores(weights, features, tables.class_bias))
 
 
 def _word_scores(tables: Tables, weights: np.ndarray, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    scores = weights[features[:, 0]] + tables.word_bias[nodes]
-    for f in range(1, features.shape[1]):
-        scores += weights[features[:, f]]
-    return _log_softmax(scores)
+    return _log_softmax(_scores(weights, features, tables.word_bias[nodes]))
 
 
 def _step(weights: np.ndarray, seen: np.ndarray, features: np.ndarray, slopes: np.ndarray, rate: float) -> None:
@@ -234,14 +246,12 @@ def _learn(tables: Tables, weights: Weights, seen: tuple[np.ndarray, np.ndarray]
     for a in range(0, len(tokens), s.minibatch):
         part = slice(a, a + s.minibatch)
         features, target = examples.class_features[part], examples.target[part]
-        slopes = np.exp(_class_scores(tables, weights.classes, features))
-        slopes[np.arange(len(target)), target] -= 1
+        slopes = _slopes(weights.classes, features, tables.class_bias, target)
         _step(weights.classes, seen[0], features, slopes, s.rate)
         steps = examples.steps(part)
         if steps.stop > steps.start:
             features, branch = examples.word_features[steps], examples.branch[steps]
-            slopes = np.exp(_word_scores(tables, weights.words, features, examples.node[steps]))
-            slopes[np.arange(len(branch)), branch] -= 1
+            slopes = _slopes(weights.words, features, tables.word_bias[examples.node[steps]], branch)
             _step(weights.words, seen[1], features, slopes, s.rate)
 
 
@@ -277,7 +287,21 @@ def vocabulary(counts: DataFrame, settings: Settings) -> Tables:
     return Tables(hashes, np.array([r["n"] for r in head], dtype=np.int64), total, totals["distinct"], settings)
 
 
-BLOCKS = 16
+#: Pieces of the weights that are added apart, and tasks' pieces that are added at once: sums of sums follow
+#: until three levels serve FAN ** 3 tasks, so no task reads more than FAN pieces of a few hundred KB.
+BLOCKS, FAN = 16, 64
+MOVED = "block int, of int, n long, moved binary"
+
+
+def _add(read: type):
+    """Adds the pieces of one block and group; the sum belongs to the group's own group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, dtype=read).astype(np.float64) for v in sorted(table["moved"].to_pylist()))
+        of = pa.array([table["of"][0].as_py() // FAN], pa.int32())
+        return pa.table({"block": table["block"][:1], "of": of, "n": [sum(table["n"].to_pylist())], "moved": [total.tobytes()]})
+
+    return run
 
 
 def train(texts: DataFrame, tables: Tables) -> Weights:
@@ -310,17 +334,19 @@ def train(texts: DataFrame, tables: Tables) -> Weights:
                     names=["block", "n", "moved"],
                 )
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in sorted(table["moved"].to_pylist()))
-            return pa.table({"block": table["block"][:1], "n": [sum(table["n"].to_pylist())], "moved": [total.tobytes()]})
-
         part = texts.where(F.coalesce(slice_of, F.lit(0)) == round_).select("text")
         made = part.mapInArrow(descend, "block int, n long, moved binary")
-        sums = made.groupBy("block").applyInArrow(add, "block int, n long, moved binary").collect()
+        sums = made.withColumn("of", F.floor(F.spark_partition_id() / FAN).cast("int")).select("block", "of", "n", "moved")
+        for read in (np.float32, np.float64, np.float64):
+            sums = sums.groupBy("block", "of").applyInArrow(_add(read), MOVED)
+        sums = sums.collect()  # one row per block and FAN ** 3 tasks
         shipped.unpersist()
         if not sums:
             continue
-        step = np.concatenate([np.frombuffer(r["moved"]) / r["n"] for r in sorted(sums, key=lambda r: r["block"])])
+        moved, n = [np.float64(0)] * BLOCKS, sum(r["n"] for r in sums if not r["block"])
+        for r in sorted(sums, key=lambda r: (r["block"], r["of"])):
+            moved[r["block"]] = moved[r["block"]] + np.frombuffer(r["moved"])
+        step = np.concatenate(moved) / n
         cut, after = weights.classes.size, Weights(s)
         after.classes[:] = weights.classes + step[:cut].reshape(weights.classes.shape)
         after.words[:] = weights.words + step[cut:].reshape(weights.words.shape)
