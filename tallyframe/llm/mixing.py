@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.ranks import bins_for, hash_bin, with_running_sum
 from tallyframe.llm.spans import BLANKS, texts_of
+from tallyframe.operators.ordering import numbered
 from tallyframe.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -137,23 +138,43 @@ def curriculum(mixed: DataFrame) -> DataFrame:
     return rows.orderBy("due", *[c for c in ("doc_id",) if c in others], "epoch")
 
 
+def training_positions(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``positions``: for each epoch the place from 0 of the row in the curriculum.
+
+    All rows and epochs that are taken are sorted by due time, then id and epoch, in ranges; ``positions`` is
+    null for an epoch that takes nothing of the row. Rows equal in time, id and epoch are in any order.
+    """
+    rows = materialize(mixed.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    taken = rows.select("_row", "doc_id", F.posexplode("parts").alias("_epoch", "_part")).where("_part IS NOT NULL")
+    due = materialize(taken.select("_row", "doc_id", "_epoch", F.col("_part.due").alias("_due")), "due")
+    placed = numbered(due, F.asc("_due"), F.asc_nulls_first("doc_id"), F.asc("_epoch"), F.asc("_row"), name="_place")
+    listed = placed.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_epoch", "_place"))).alias("_places"))
+    at = F.transform("parts", lambda p, i: F.when(p.isNotNull(), F.try_element_at("_places", i)))
+    return rows.join(listed, "_row", "left").withColumn("positions", at).drop("_row", "_places")
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` as the mix trains on them: repeated or left out, in the order of the curriculum.
 
     A row stands once for each epoch that takes at least half of its words. Rows are matched with their
-    places in the mix by id, bytes of text, and number among rows equal in both.
+    places in the mix by id, bytes of text, and number among rows equal in both; a null text has no words
+    and is never taken, a null id is an id of its own. All columns come back, whatever their names; texts of any
+    length stay whole; an empty table gives an empty result.
     """
     names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    own = {name: F.col(plain[names.index(name)]) for name in ("doc_id", "text", "source")}
     # Plain keys without nulls, so that one shuffle of the texts serves both the window and the join.
-    keys = {"_known": F.col("doc_id").isNotNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_bytes": F.coalesce(F.octet_length("text"), F.lit(-1))}
-    keyed = docs.withColumns(keys)
+    keys = {"_known": own["doc_id"].isNotNull(), "_id": F.coalesce(own["doc_id"], F.lit(0)), "_bytes": F.coalesce(F.octet_length(own["text"]), F.lit(-1))}
+    keyed = docs.toDF(*plain).withColumns(keys)
     twins = Window.partitionBy(*keys).orderBy(*keys)
-    parts = mix(keyed, keep=("doc_id", *keys), **settings).withColumn("_t", F.row_number().over(twins))
+    asked = keyed.select(*keys, *[c.alias(name) for name, c in own.items()])
+    parts = mix(asked, keep=("doc_id", *keys), **settings).withColumn("_t", F.row_number().over(twins))
     halves = F.filter("parts", lambda p: p.isNotNull() & (2 * p["words"] >= F.col("size")))
     taken = parts.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_t", halves.alias("_taken")).where(F.size("_taken") > 0)
     rows = keyed.withColumn("_twin", F.row_number().over(twins))
     same = (F.col("_twin") >= F.col("_t")) & (F.col("_twin") <= F.col("_t"))
     for k in keys:
         same &= F.col(k) == F.col(f"_of{k}")
-    placed = rows.join(taken.hint("merge"), same).select(*names, F.explode("_taken.due").alias("_due"))
-    return placed.orderBy("_due", "doc_id").select(*names)
+    placed = rows.join(taken.hint("merge"), same).select(*plain, F.explode("_taken.due").alias("_due"))
+    return placed.orderBy("_due", own["doc_id"]).select(*plain).toDF(*names)

@@ -59,18 +59,33 @@ targets AS (
 laid AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY shuffled, doc_id, size
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM sized)
-SELECT doc_id, size, source_size, target,
-       greatest(least(size, CAST(round(target) AS BIGINT) - start), 0)
-       + greatest(least(size, CAST(round(target) AS BIGINT) - start - source_size), 0) AS taken
-FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
+  FROM sized),
+taken AS (
+  SELECT doc_id, size, source_size, target, [0.0, 0.5, -0.5][CAST(number % 3 AS INT) + 1]::DOUBLE AS slope,
+         epoch, start + epoch * source_size AS place_at,
+         greatest(least(size, CAST(round(target) AS BIGINT) - start - epoch * source_size), 0) AS words
+  FROM laid JOIN (SELECT t.*, s.number FROM targets t JOIN sources s ON t.source IS NOT DISTINCT FROM s.source) t
+    ON laid.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) e(epoch)),
+timed AS (
+  SELECT *, CASE WHEN words > 0 THEN CASE WHEN place_at / target <= 0 THEN 0 ELSE 2 * least(place_at / target, 1)
+         / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(place_at / target, 1))) END END AS due
+  FROM taken),
+placed AS (
+  SELECT *, CASE WHEN words > 0 THEN row_number() OVER (PARTITION BY words > 0 ORDER BY due, doc_id, epoch) - 1 END AS position
+  FROM timed)
+SELECT doc_id, size, source_size, target, CAST(sum(words) AS BIGINT) AS taken,
+       round(max(due) FILTER (epoch = 0), 9) AS first_due, round(max(due) FILTER (epoch = 1), 9) AS second_due,
+       max(position) FILTER (epoch = 0) AS first_position, max(position) FILTER (epoch = 1) AS second_position
+FROM placed GROUP BY doc_id, size, source_size, target
 """
 
 
 @query("op1_mix", MIX_SQL)
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.training_positions(mixing.mix(documents(spark, sf_dir)))
+    times = [F.round(F.col("parts")[i]["due"], 9).alias(f"{name}_due") for i, name in enumerate(("first", "second"))]
+    places = [F.col("positions")[i].alias(f"{name}_position") for i, name in enumerate(("first", "second"))]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *times, *places)
 
 
 @query("op5_licenses")
