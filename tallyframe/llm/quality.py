@@ -67,8 +67,9 @@ class Rules:
     #: Documents nearer than this to the references of all passing documents make the final ones.
     trim_class_distance: float = 0.30
     trim_word_distance: float = 0.40
-    #: Least documents behind a language's reference.
-    min_reference_docs: int = 20
+    #: Characters and words that the fixed prior counts as in every language's reference.
+    prior_chars: float = 2_000.0
+    prior_words: float = 400.0
     common_words: Mapping[str, Sequence[str]] = field(default_factory=lambda: COMMON_WORDS)
 
     @property
@@ -157,8 +158,26 @@ def features(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ("do
 References = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
+#: Prior share of each character class in running text, and of the listed words of a language together.
+PRIOR_CLASSES = (0.76, 0.02, 0.005, 0.16, 0.005, 0.03, 0.001, 0.015, 0.004)
+PRIOR_COMMON = 0.35
+
+
+def priors(rules: Rules) -> References:
+    """What is taken for each configured language before a document is seen: fixed shares of the character
+    classes, and equal shares of its listed words."""
+    classes, out = np.array(PRIOR_CLASSES), {}
+    for lang, listed in rules.common_words.items():
+        common = np.zeros(len(rules.words) + 1)
+        common[[rules.words.index(w) for w in listed]] = PRIOR_COMMON / max(1, len(listed))
+        common[-1] = 1 - common.sum()
+        out[lang] = (classes / classes.sum(), common)
+    return out
+
+
 def references(counted: DataFrame, rules: Rules = Rules()) -> References:
-    """Class and word shares of each language of ``rules``, summed over all given documents that pass the base rules.
+    """Class and word shares of each language of ``rules``: those of all given documents that pass the base rules,
+    smoothed by the prior, which counts as a fixed number of characters and words at every size.
 
     At most one row per configured language reaches the driver.
     """
@@ -167,15 +186,17 @@ def references(counted: DataFrame, rules: Rules = Rules()) -> References:
         counted.where(~F.col("base_failed") & F.col("lang").isin(*rules.common_words))
         .groupBy("lang")
         .agg(
-            F.count("*").alias("n"),
             F.array(*[F.sum(F.col("classes")[i]) for i in range(wide)]).alias("classes"),
             F.array(*[F.sum(F.col("common")[i]) for i in range(common)]).alias("common"),
         )
-        .where(F.col("n") >= rules.min_reference_docs)
         .collect()
     )
-    share = lambda counts: np.array(counts, dtype=float) / max(1, sum(counts))
-    return {r["lang"]: (share(r["classes"]), share(r["common"])) for r in sorted(rows, key=lambda r: r["lang"])}
+    seen = {r["lang"]: (np.array(r["classes"], dtype=float), np.array(r["common"], dtype=float)) for r in rows}
+    known = {}
+    for lang, before in sorted(priors(rules).items()):
+        smoothed = [w * p + c for w, p, c in zip((rules.prior_chars, rules.prior_words), before, seen.get(lang, (0, 0)))]
+        known[lang] = tuple(s / s.sum() for s in smoothed)
+    return known
 
 
 def _distance(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
