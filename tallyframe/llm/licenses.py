@@ -158,7 +158,7 @@ class Scanner:
         self.allowed = allowed
         self.automaton = ahocorasick.Automaton()
         for phrase in dict.fromkeys([*base, *notices, TAG]):
-            entry = (len(phrase) + 2, base.get(phrase), notices.get(phrase), phrase == TAG)
+            entry = (phrase.count(" ") + 1, base.get(phrase), notices.get(phrase), phrase == TAG)
             self.automaton.add_word(f" {phrase} ", entry)
         self.automaton.make_automaton()
 
@@ -168,11 +168,12 @@ class Scanner:
         if not words:
             return found
         line = (b" " + b" ".join(words) + b" ").decode()
-        tagged = False
+        tagged, counted, passed = False, 0, 0
         for end, (length, base, notice, tag) in self.automaton.iter(line):
             tagged |= tag
-            if base:
-                word = line.count(" ", 0, end - length + 1)
+            if base:  # places come in the order of their ends, so blanks are counted once
+                passed, counted = passed + line.count(" ", counted, end), end
+                word = passed - length
                 found.n_base += 1
                 found.first_word = word if found.first_word is None else min(found.first_word, word)
                 found.last_word = word if found.last_word is None else max(found.last_word, word)

@@ -293,14 +293,20 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns: one document of each component.
 
-    Of several rows with a kept doc_id one stays, the first by hashed text. Rows without a doc_id stay.
+    Of several rows with a kept doc_id one stays, the first by hashed text. Rows without a doc_id stay, and so
+    do null and empty texts, one for each id. Columns may have any names; texts are read whole; an empty table
+    gives an empty result.
     """
     kept = near_duplicates(docs, settings).where("kept").select("doc_id").distinct()
     names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    of, text = plain[names.index("doc_id")], plain[names.index("text")]
+    rows = docs.toDF(*plain)
     # Sorted by doc_id already for the join, so the window adds no shuffle.
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return chosen.select(*names).union(docs.where("doc_id IS NULL").select(*names))
+    first = Window.partitionBy(of).orderBy(F.xxhash64(text))
+    joined = rows.join(kept.withColumnRenamed("doc_id", of), of, "left_semi")
+    chosen = joined.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*plain)
+    return chosen.union(rows.where(F.col(of).isNull())).toDF(*names)
 
 
 def leftover(placed: DataFrame, bounded: DataFrame, labels: DataFrame, used: DataFrame, settings: Settings) -> DataFrame:

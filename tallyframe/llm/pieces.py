@@ -242,8 +242,16 @@ def encode(
     A null text has null pieces, 0 of them, and is lossless; an empty one has an empty list. A null key
     counts as 0. Equal rows have equal segmentations; an empty table gives an empty result; other columns
     are not read. Long texts are segmented whole, in parts of bounded size; memory grows only with the
-    longest run of bytes without a blank. ``power`` sharpens the weights of frequent pieces.
+    longest run of bytes without a blank. ``power`` sharpens the weights of frequent pieces. A kept column
+    that has the name of a result comes back with ``input_`` in front; other names are safe.
     """
+    made = ("pieces", "n_pieces", "lossless")
+    names: list[str] = []
+    for name in keep:
+        while name in made or name in names:
+            name = f"input_{name}"
+        names.append(name)
+    plain = [f"_c{i}" for i in range(len(keep))]
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -263,12 +271,14 @@ def encode(
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(chunk.first_row, chunk.rows) for c in batch.columns[: len(keep)]], lists,
                      pa.array(np.diff(offsets)), pa.array(lossless)],
-                    names=[*keep, "pieces", "n_pieces", "lossless"],
+                    names=[*plain, *made],
                 )
 
-    read = docs.select(*keep, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    kept = [F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain)]
+    read = docs.select(*kept, F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     types = dict(read.dtypes)
-    return read.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", pieces array<int>, n_pieces long, lossless boolean")
+    schema = "".join(f"{c} {types[c]}, " for c in plain) + "pieces array<int>, n_pieces long, lossless boolean"
+    return read.mapInArrow(run, schema).toDF(*names, *made)
 
 
 def _lossless(words: Vocabulary, chunk: Texts, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -288,7 +298,11 @@ def _lossless(words: Vocabulary, chunk: Texts, ids: np.ndarray, offsets: np.ndar
 
 
 def decode(encoded: DataFrame, model_path: str, out: str = "text") -> DataFrame:
-    """``encoded`` with its ``pieces`` replaced by the text that they spell; null for null pieces."""
+    """``encoded`` with its ``pieces`` replaced by the text that they spell; null for null pieces.
+
+    An empty list spells the empty text. All other columns come back, but for one that has the name of
+    the result; equal rows stay rows of their own; an empty table gives an empty result.
+    """
     with open(model_path, "rb") as file:
         model = encoded.sparkSession.sparkContext.broadcast(file.read())
     others = [c for c in encoded.columns if c not in ("pieces", out)]
