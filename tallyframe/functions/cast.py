@@ -15,6 +15,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, _NUMERIC)
 
 
+def is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DoubleType, T.FloatType))
+
+
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
 

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe import presets
 from tallyframe.functions.cast import is_numeric, unpivoted
-from tallyframe.operators.attach import measure
 from tallyframe.operators.profile import (
     CORRELATION_SCHEMA,
     SOURCE,
@@ -38,8 +37,6 @@ from tallyframe.session import materialize
 
 # Size of a sketch; its rank error, for one quantile at 99 percent, is 2.296 / size ** 0.9723.
 SKETCH_SIZE = 4_000
-# What a line with its sketch may take, and all lines together, to stay at hand.
-LINE_BYTES, LINES_BYTES = 200_000, 200_000_000
 LINE = (
     "column: string, dtype: string, numeric: boolean, place: int, rows: bigint, present: bigint, mean: double, "
     "squares: double, low: double, high: double, target: string, pairs: bigint, pair_mean: double, "
@@ -168,17 +165,15 @@ def merge_moments(lines: DataFrame, by: Sequence[str] = (SOURCE,)) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fitted:
-    """Measured lines of all sources, and the reports they hold."""
+    """Stored lines of all sources, and the reports they hold."""
 
     lines: DataFrame
     by: tuple[str, ...]
 
     @classmethod
     def of(cls, tables: Tables, by: Sequence[str] = (), aliases: Sequence[str] = presets.TARGET_ALIASES) -> Fitted:
-        """Read the sources once. At most sources x columns lines of one sketch each are kept."""
-        keys = source_keys(tables, by)
-        found = measure(moments(tables, by, aliases), [*keys, "column"], LINES_BYTES, LINE_BYTES)
-        return cls(found.table, tuple(keys))
+        """Read the sources once and store the lines, sources x columns of them."""
+        return cls(materialize(moments(tables, by, aliases), "moments"), tuple(source_keys(tables, by)))
 
     @cached_property
     def _rows(self) -> list[dict]:

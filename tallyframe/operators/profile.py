@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import is_numeric, numeric_columns, present, ref, unpivoted
+from tallyframe.functions.cast import is_float, is_numeric, numeric_columns, present, ref, unpivoted
 from tallyframe.operators.attach import attach, measure
 from tallyframe.operators.quantiles import DIRECT_VALUES, long_values, quantiles
 
@@ -91,17 +91,44 @@ def _missing_report(df: DataFrame, by: list[str], columns: Sequence[str] | None)
 def duplicate_rows(tables: Tables, by: Sequence[str] = ()) -> DataFrame:
     """Rows beyond the first of each set of equal rows.
 
-    Equal rows meet in the map-side aggregate first, so a group of copies arrives as one
-    counted row. A full shuffle of the distinct rows remains; it runs apart from the
-    other profile numbers.
+    Digests first: each row is shuffled as its source and two 64-bit hashes, and copies meet in the
+    map-side aggregate. Only rows whose digests met are read again and compared whole, so unlike rows
+    with one digest are never counted. The digests are counted when this is called.
     """
-    return stacked(tables, by, _duplicate_rows)
+    keys = source_keys(tables, by)
+    frames = {"": tables} if isinstance(tables, DataFrame) else {n: df.drop(SOURCE) for n, df in tables.items()}
+    of = list(by) if isinstance(tables, DataFrame) else []
+    hashed = {name: _with_digests(df, name, of) for name, df in frames.items()}
+    digests = reduce(DataFrame.union, [df.select(*_DIGESTS) for df in hashed.values()])
+    met = digests.groupBy(*_DIGESTS).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = measure(met.select(*_DIGESTS), _DIGESTS)
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        rows = [c for c in df.columns if c not in _DIGESTS]
+        found = attach(df, met, "left_semi").groupBy(*[ref(c) for c in rows]).agg((F.count(F.lit(1)) - 1).alias("_more"))
+        # Every source keeps its line, whether or not some of its rows met.
+        sources = frames[name].groupBy(*of).agg(F.lit(0).cast("bigint").alias("_more"))
+        both = found.select(*of, "_more").unionByName(sources)
+        total = both.groupBy(*of).agg(F.sum("_more").alias("duplicate_rows"))
+        return total if isinstance(tables, DataFrame) else total.select(F.lit(name).alias(SOURCE), "duplicate_rows")
+
+    return reduce(DataFrame.unionByName, [counted(*item) for item in hashed.items()]).select(*keys, "duplicate_rows")
+
+
+_DIGESTS = ("_digest1", "_digest2")
+
+
+def _with_digests(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """The rows as they are compared, with two hashes of their source and cells."""
 
+    def plain(column: str) -> Column:
+        # Zeros of both signs are equal, so their hashes have to be.
+        dtype = df.schema[column].dataType
+        return cell(df, column) + F.lit(0).cast(dtype) if is_float(dtype) else cell(df, column)
 
-def _duplicate_rows(df: DataFrame, by: list[str]) -> DataFrame:
-    cells = [cell(df, name).alias(name) for name in data_columns(df, by)]
-    counted = df.select(*by, *cells).groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*by).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+    rows = df.select(*by, *[plain(c).alias(c) for c in data_columns(df, by)])
+    cells = [ref(c) for c in rows.columns]
+    return rows.withColumns({d: F.xxhash64(F.lit(seed), F.lit(name), *cells) for seed, d in enumerate(_DIGESTS)})
 
 
 def profile(

@@ -7,14 +7,15 @@ Many questions are answered from postings. A join of rows and questions on words
 every pair that shares a common word. Instead:
 
 1. rows of one source with the same asked words score alike, so they are one group, which keeps
-   its ``k`` first keys; groups stand in key order and a few neighbours make a block;
+   its ``k`` first keys; groups are numbered in key order, and the list of a word is cut into
+   buckets of these numbers;
 2. a word's first ``k`` groups are scored for every question that holds the word; a question's
    ``k``-th best of them is its threshold: whatever ranks behind it can't be among the best;
-3. a group with ``t`` of a question's ``m`` words holds one of any ``m - t + 1`` of them, so
-   only the blocks of the rarest words are looked up, never those of the common ones; where a
-   group could do no more than tie, only blocks before the threshold's own;
-4. the words of a whole block bound the score of its groups; blocks that can't beat the
-   threshold are left, the groups of the others are scored.
+3. a group with ``t`` of a question's ``m`` words holds at least ``t - (m - p)`` of any ``p`` of
+   them, so only lists of the ``p`` rarest words are looked up, never those of the common ones, and
+   their count bounds a group's score; where a group could do no more than tie, only buckets up
+   to the threshold's own are looked up;
+4. only groups whose bound still beats the threshold are scored.
 
 Nothing is dropped that could be an answer.
 """
@@ -33,8 +34,8 @@ from tallyframe.operators.ordering import numbered
 from tallyframe.session import materialize
 
 DEFAULT_K = 8
-# Groups of a block: a bound is sharper for fewer, and frequent words have fewer blocks for more.
-BLOCK = 16
+# Words that are looked up beyond the fewest that suffice: more lines are counted, fewer groups are scored.
+EXTRA_WORDS = 2
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -90,91 +91,87 @@ def question_units(questions: DataFrame, question: str = "question", scope: str
 class Postings:
     """Rows as groups in key order, and where each word is found.
 
-    ``groups``: source, position, block, key, keys, words. ``lists``: source, word, block, bucket,
-    where a bucket holds the blocks of one power of two. ``blocks``: source, block, words.
-    ``heads``: source, word, position of the first ``k`` groups. ``sizes``: source, word, n.
+    ``groups``: source, position, key, keys, words. ``lists``: source, word, position, bucket, where a
+    bucket holds the positions of one power of two. ``heads``: source, word, position of the first ``k``
+    groups. ``sizes``: source, word, n.
     """
 
     groups: DataFrame
     lists: DataFrame
-    blocks: DataFrame
     heads: DataFrame
     sizes: DataFrame
     k: int
 
 
-def build_postings(narrow: DataFrame, asked: DataFrame, k: int = DEFAULT_K, block: int = BLOCK) -> Postings:
+def _bucket(position: Column | str) -> Column:
+    return F.floor(F.log2((F.col(position) if isinstance(position, str) else position) + 1)).cast("int")
+
+
+def build_postings(narrow: DataFrame, asked: DataFrame, k: int = DEFAULT_K) -> Postings:
     """Postings of ``narrow`` (key, source, words) for the words in ``asked`` (source, word)."""
-    alike = materialize(_alike(narrow, asked, k), "alike")
-    placed = numbered(alike, "source", "key")
+    placed = numbered(materialize(_alike(narrow, asked, k), "alike"), "source", "key")
     # One row per source.
     starts = measure(placed.groupBy("source").agg(F.min("position").alias("start")), ["source"])
-    number = F.floor((F.col("position") - F.col("start")) / block)
-    groups = attach(placed, starts).withColumn("block", number).drop("start", "group")
-    held = groups.select("source", "block", "position", F.explode("words").alias("word"))
-    bucket = F.floor(F.log2(F.col("block") + 1)).cast("int").alias("bucket")
-    lists = materialize(held.select("source", "word", "block").distinct().select("*", bucket), "postings")
+    groups = attach(placed, starts).withColumn("position", F.col("position") - F.col("start")).drop("start", "group")
+    held = groups.select("source", "position", F.explode("words").alias("word"))
+    lists = materialize(held.withColumn("bucket", _bucket("position")), "postings")
     first = Window.partitionBy("source", "word").orderBy("position")
-    heads = held.withColumn("number", F.row_number().over(first)).filter(F.col("number") <= k)
-    return Postings(
-        groups,
-        lists,
-        lists.groupBy("source", "block").agg(F.collect_list("word").alias("words")),
-        heads.select("source", "word", "position"),
-        lists.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n")),
-        k,
-    )
+    heads = lists.withColumn("number", F.row_number().over(first)).filter(F.col("number") <= k)
+    sizes = lists.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+    return Postings(groups, lists, heads.select("source", "word", "position"), sizes, k)
 
 
 def seeds(asked: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
     """The first groups of every asked word, scored for the questions that hold it."""
     met = asked.join(index.heads, ["source", "word"]).select("unit", "source", "place", "position").distinct()
-    return _scored(met.join(index.groups.drop("block", "key", "keys"), ["source", "position"]), units)
+    return _scored(met, units, index)
 
 
-def _scored(met: DataFrame, units: DataFrame) -> DataFrame:
-    """The overlap of the ``words`` of each line with its question's."""
-    overlap = F.size(F.array_intersect("words", "query"))
-    joined = met.join(units.select("unit", F.col("words").alias("query")), "unit")
-    return joined.withColumn("overlap", overlap).drop("words", "query")
+def _scored(met: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
+    """The groups of each line with their words, and how many the question asks of them."""
+    queries = units.select("unit", F.col("words").alias("query"))
+    joined = met.join(index.groups.select("source", "position", "words"), ["source", "position"]).join(queries, "unit")
+    return joined.withColumn("overlap", F.size(F.array_intersect("words", "query"))).drop("words", "query")
 
 
-def thresholds(scored: DataFrame, index: Postings) -> DataFrame:
-    """Per question the overlap, place and block of its ``k``-th best seed.
+def thresholds(scored: DataFrame, k: int) -> DataFrame:
+    """Per question the overlap, place and position of its ``k``-th best seed.
 
     A question with fewer seeds has no threshold and needs none: each of its words is in fewer than ``k``
     groups, so all its groups are seeds.
     """
-    last = _first(scored, index.k, "unit").filter(F.col("rank") == index.k)
-    blocks = index.groups.select("source", "position", F.col("block").alias("at_block"))
-    return last.join(blocks, ["source", "position"]).select(
-        "unit", F.col("overlap").alias("least"), F.col("place").alias("at_place"), "at_block"
+    last = _first(scored, k, "unit").filter(F.col("rank") == k)
+    return last.select(
+        "unit", F.col("overlap").alias("least"), F.col("place").alias("at_place"), F.col("position").alias("at_position")
     )
 
 
-def candidate_blocks(asked: DataFrame, units: DataFrame, limits: DataFrame, index: Postings) -> DataFrame:
-    """(unit, source, place, block, ...): the blocks that may hold a group ahead of the threshold.
+def candidates(asked: DataFrame, limits: DataFrame, index: Postings, extra: int = EXTRA_WORDS) -> DataFrame:
+    """(unit, source, place, position, ...): the groups that may rank ahead of their question's threshold.
 
     ``asked`` holds, by question and source, each word's number from rare to common and how many there are.
     """
-    known = asked.join(limits, "unit").filter("m >= least")
-    # Words that a group with more than the threshold's overlap can't all lack; one more where a tie wins.
     spare = F.col("m") - F.col("least")
-    always = (F.col("number") <= spare) | ((F.col("number") == spare + 1) & (F.col("place") < F.col("at_place")))
-    tie = (F.col("number") == spare + 1) & (F.col("place") == F.col("at_place"))
-    names = ["unit", "source", "place", "least", "at_place", "at_block", "block"]
-    any_block = known.filter(always).join(index.lists.drop("bucket"), ["source", "word"]).select(*names)
-    buckets = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("at_block") + 1)).cast("int"))).alias("bucket")
-    early = known.filter(tie).select(*[c for c in known.columns], buckets)
-    early = early.join(index.lists, ["source", "word", "bucket"]).filter("block <= at_block").select(*names)
-    found = any_block.union(early).distinct().join(index.blocks, ["source", "block"])
-    return _scored(found, units).filter(_ahead()).drop("overlap")
-
-
-def _ahead() -> Column:
-    """Whether a group of this overlap, place and block may rank ahead of its question's threshold."""
-    earlier = (F.col("place") < F.col("at_place")) | ((F.col("place") == F.col("at_place")) & (F.col("block") <= F.col("at_block")))
-    return (F.col("overlap") > F.col("least")) | ((F.col("overlap") == F.col("least")) & earlier)
+    # A group with all words of the threshold can only tie, unless there are more words than that.
+    known = asked.join(limits, "unit").filter("m >= least").withColumn("looked", F.least(spare + extra, F.col("m")))
+    known = known.filter(F.col("number") <= F.col("looked"))
+    free = (spare > 0) | (F.col("place") < F.col("at_place"))
+    names = ["unit", "source", "place", "position", "least", "at_place", "at_position", "m", "looked"]
+    anywhere = known.filter(free).join(index.lists.drop("bucket"), ["source", "word"]).select(*names)
+    buckets = F.explode(F.sequence(F.lit(0), _bucket("at_position"))).alias("bucket")
+    early = known.filter(~free & (F.col("place") == F.col("at_place"))).select(*known.columns, buckets)
+    early = early.join(index.lists, ["source", "word", "bucket"]).filter("position <= at_position").select(*names)
+    met = anywhere.union(early).groupBy(*names).agg(F.count(F.lit(1)).cast("int").alias("met"))
+    # What was not looked up may be there, all of it.
+    bound = F.col("met") + F.col("m") - F.col("looked")
+    return met.filter(_ahead(bound)).select(*names[:7])
+
+
+def _ahead(overlap: Column) -> Column:
+    """Whether a group of this overlap, place and position may rank ahead of its question's threshold."""
+    same = F.col("place") == F.col("at_place")
+    earlier = (F.col("place") < F.col("at_place")) | (same & (F.col("position") <= F.col("at_position")))
+    return (overlap > F.col("least")) | ((overlap == F.col("least")) & earlier)
 
 
 def retrieve_many(
@@ -185,14 +182,14 @@ def retrieve_many(
     text: Column | None = None,
     source: str | None = None,
     scope: str | None = None,
-    block: int = BLOCK,
+    extra: int = EXTRA_WORDS,
 ) -> DataFrame:
     """``unit``, ``rank``, ``overlap``, source and order key of the ``k`` best rows per unit.
 
     ``questions`` comes from ``question_units``. With ``source`` (a column of the rows) and
     ``scope`` (an array column of the questions) a question sees only the rows of its scope,
     and rows of an earlier source in the scope win ties. The rows are read once, when called.
-    ``block`` sets how many groups share a bound, never the result.
+    ``extra`` weighs lines against scored groups, never the result.
     """
     if k < 1:
         raise ValueError("top_k doit etre superieur ou egal a 1.")
@@ -206,26 +203,27 @@ def retrieve_many(
     tokens = words(record_text(rows) if text is None else text)
     origin = ref(source) if source is not None else F.lit("")
     narrow = rows.select(ref(order_key).alias("key"), origin.alias("source"), tokens.alias("words"))
-    index = build_postings(narrow, wanted.select("source", "word").distinct(), k, block)
-
-    of = Window.partitionBy("unit", "source")
-    asked = wanted.join(index.sizes, ["source", "word"]).select(
-        "unit", "source", "place", "word",
-        F.row_number().over(of.orderBy("n", "word")).alias("number"), F.count(F.lit(1)).over(of).alias("m"),
-    )
-    asked = materialize(asked, "asked")
+    index = build_postings(narrow, wanted.select("source", "word").distinct(), k)
+    asked = materialize(_by_rarity(wanted, index), "asked")
     scored = materialize(seeds(asked, units, index), "seeds")
-    limits = thresholds(scored, index)
-    near = candidate_blocks(asked, units, limits, index)
-    met = near.join(index.groups.select("source", "block", "position", "words"), ["source", "block"])
-    more = _scored(met, units).filter(_ahead()).select(*scored.columns)
+    near = candidates(asked, thresholds(scored, k), index, extra)
+    more = _scored(near, units, index).filter(_ahead(F.col("overlap"))).select(*scored.columns)
     best = _first(scored.union(more).distinct(), k, "unit").drop("rank")
-    keyed = best.join(index.groups.select("source", "position", "keys"), ["source", "position"])
+    keyed = best.join(index.groups.select("source", "position", "keys"), ["source", "position"]).drop("position")
     found = keyed.select("unit", "place", "source", "overlap", F.explode("keys").alias("position"))
     top = _first(found, k, "unit")
     return top.select("unit", "rank", "overlap", "source", F.col("position").alias(order_key))
 
 
+def _by_rarity(wanted: DataFrame, index: Postings) -> DataFrame:
+    """The words of each question and source that are found at all, numbered from rare to common."""
+    of = Window.partitionBy("unit", "source")
+    return wanted.join(index.sizes, ["source", "word"]).select(
+        "unit", "source", "place", "word",
+        F.row_number().over(of.orderBy("n", "word")).alias("number"), F.count(F.lit(1)).over(of).cast("int").alias("m"),
+    )
+
+
 def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Rows grouped by source and asked words: the words, the first key and the first ``k`` keys of each group."""
     # Not ``explode``: the filter that comes with it would compute the words twice.
