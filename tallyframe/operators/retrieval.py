@@ -34,7 +34,8 @@ from tallyframe.operators.ordering import numbered
 from tallyframe.session import materialize
 
 DEFAULT_K = 8
-# Words that are looked up beyond the fewest that suffice: more lines are counted, fewer groups are scored.
+# Words that are looked up beyond the fewest that find what beats a threshold, at least one for what ties
+# with it: with more of them more lines are counted and fewer groups are scored.
 EXTRA_WORDS = 2
 
 
@@ -193,6 +194,8 @@ def retrieve_many(
     """
     if k < 1:
         raise ValueError("top_k doit etre superieur ou egal a 1.")
+    if extra < 1:
+        raise ValueError(f"extra must be at least 1, not {extra}")
     scopes = F.col(scope) if scope is not None else F.array(F.lit(""))
     units = questions.filter("unit is not null").select("unit", "words", scopes.alias("scope"))
     units = materialize(units.dropDuplicates(["unit"]), "units")
