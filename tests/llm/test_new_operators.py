@@ -249,3 +249,67 @@ def test_zone_maps_spare_distances(spark):
     for _ in range(3):
         centroids, share = zonemaps.moved(zones, centroids, settings)
     assert share > 0.5
+
+
+# --- Changes to earlier operators ------------------------------------------------------------------
+
+
+def test_training_positions_are_the_order_of_due_times(spark):
+    from tallyframe.llm import mixing
+
+    rows = [(i if i % 9 else None, f"w{i} " * (1 + i % 13), "abc"[i % 3] if i % 5 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = []
+    for r in mixing.training_positions(mixing.mix(docs)).collect():
+        for part, place in zip(r["parts"], r["positions"]):
+            assert (part is None) == (place is None)
+            if part is not None:
+                taken.append((place, part["due"]))
+    assert [p for p, _ in sorted(taken)] == list(range(len(taken)))
+    assert [d for _, d in sorted(taken)] == sorted(d for _, d in taken)
+
+
+def test_quality_changes_little_with_one_more_document(spark):
+    """No number of documents switches the judgement on: junk is judged among 3, 19 and 20 alike."""
+    from tallyframe.llm import quality
+
+    clean = "the cat and the dog went to the house in the old town, and it was a day for them all that is known {i} times over "
+    junk = " ".join(f"qx{i}zz" for i in range(300))
+    seen = []
+    for n in (3, 19, 20):
+        rows = [(i, "".join(clean.format(i=i * 7 + j) for j in range(4)), "en", "s", 0) for i in range(n)] + [(99, junk, "en", "s", 0)]
+        judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+        seen.append({r["doc_id"]: r for r in judged.collect()})
+        assert not seen[-1][99]["kept"] and seen[-1][99]["word_distance"] is not None
+        assert seen[-1][0]["kept"]
+    for name in ("class_distance", "word_distance"):
+        assert abs(seen[1][99][name] - seen[2][99][name]) < 0.02 and abs(seen[1][0][name] - seen[2][0][name]) < 0.02
+
+
+def test_stages_with_clashing_columns(spark):
+    import public_tokenizers
+
+    from tallyframe.llm import minhash, mixing, pieces
+
+    names = ["_id", "_place", "_due", "_twin", "pieces", "_key", "n_pieces", "_c1"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, f"text number {i} of many " * 8, "en", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (minhash.one_of_each, mixing.mixed_documents):
+        made = stage(docs)
+        assert made.columns == docs.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in made.collect() for n in names)
+    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", *names))
+    assert {"pieces", "input_pieces", "input_n_pieces", "lossless"} < set(encoded.columns)
+    assert all(r["lossless"] and r["input_pieces"] == f"pieces{r['doc_id']}" for r in encoded.collect())
+
+
+def test_many_licence_places_take_linear_time():
+    import time
+
+    from tallyframe.llm import licenses
+
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES, licenses.PERMISSIVE)
+    start = time.time()
+    found = scanner.scan("x the MIT license, " * 100_000)
+    assert (found.n_base, found.first_word, found.last_word) == (100_000, 2, 4 * 100_000 - 2) and time.time() - start < 5
