@@ -17,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
-from math import ceil, floor
+from math import ceil, floor, isfinite
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe import presets
-from tallyframe.functions.cast import is_numeric, unpivoted
+from tallyframe.functions.cast import is_float, is_numeric, unpivoted
 from tallyframe.operators.profile import (
     CORRELATION_SCHEMA,
     SOURCE,
@@ -284,19 +284,12 @@ def _counted(frames: Mapping[str, DataFrame], spans: Mapping) -> DataFrame:
     """(source, column, slot, value, n): values inside a span one by one, the others by where they lie."""
     parts = []
     for source, df in frames.items():
-        cells = []
-        for (of, name), intervals in spans.items():
-            if of != source:
-                continue
-            value = cell(df, name).cast("double")
-            slot = F.when(value.isNull(), F.lit(None).cast("int"))
-            for i, (low, high) in enumerate(intervals):
-                slot = slot.when(value < low, 2 * i).when(value <= high, 2 * i + 1)
-            slot = slot.otherwise(2 * len(intervals))
-            inside = F.when(slot % 2 == 1, value)
-            cells.append(F.struct(F.lit(name).alias("column"), slot.alias("slot"), inside.alias("value")))
+        # As SQL text, because a column of so many branches would take a driver call for each.
+        cells = [
+            _placed(name, is_float(df.schema[name].dataType), intervals) for (of, name), intervals in spans.items() if of == source
+        ]
         if cells:
-            listed = df.select(F.lit(source).alias(SOURCE), F.inline(F.array(*cells))).filter("slot is not null")
+            listed = df.select(F.lit(source).alias(SOURCE), F.expr(f"inline(array({', '.join(cells)}))")).filter("slot is not null")
             parts.append(listed.groupBy(SOURCE, "column", "slot", "value").agg(F.count(F.lit(1)).alias("n")))
     counted = parts[0]
     for part in parts[1:]:
@@ -304,6 +297,21 @@ def _counted(frames: Mapping[str, DataFrame], spans: Mapping) -> DataFrame:
     return materialize(counted, "counted")
 
 
+def _placed(name: str, may_be_nan: bool, intervals: Sequence[tuple[float, float]]) -> str:
+    """A cell's column, the slot of its value (odd inside a span), and the value if it is inside one."""
+    bare = "`" + name.replace("`", "``") + "`"
+    value = f"CAST({f'nanvl({bare}, NULL)' if may_be_nan else bare} AS DOUBLE)"
+    steps = [f"WHEN {value} < {_number(low)} THEN {2 * i} WHEN {value} <= {_number(high)} THEN {2 * i + 1}" for i, (low, high) in enumerate(intervals)]
+    slot = f"CASE WHEN {value} IS NULL THEN NULL {' '.join(steps)} ELSE {2 * len(intervals)} END"
+    inside = " OR ".join(f"{value} BETWEEN {_number(low)} AND {_number(high)}" for low, high in intervals)
+    text = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"named_struct('column', '{text}', 'slot', {slot}, 'value', CASE WHEN {inside} THEN {value} END)"
+
+
+def _number(value: float) -> str:
+    return f"{value!r}D" if isfinite(value) else f"CAST('{value}' AS DOUBLE)"
+
+
 def _at_ranks(counted: DataFrame, left: Ranks) -> Values:
     """The value at each wanted rank that lies inside a span. Few ranks per column are asked and collected."""
     # Whole slots first, so that the window inside a slot is one of the few that hold a rank.
