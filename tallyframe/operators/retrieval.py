@@ -37,6 +37,8 @@ DEFAULT_K = 8
 # Words that are looked up beyond the fewest that find what beats a threshold, at least one for what ties
 # with it: with more of them more lines are counted and fewer groups are scored.
 EXTRA_WORDS = 2
+# Parts in which the groups found for one question are ranked before the last ranking.
+BUCKETS = 64
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -183,6 +185,7 @@ def retrieve_many(
     text: Column | None = None,
     source: str | None = None,
     scope: str | None = None,
+    buckets: int = BUCKETS,
     extra: int = EXTRA_WORDS,
 ) -> DataFrame:
     """``unit``, ``rank``, ``overlap``, source and order key of the ``k`` best rows per unit.
@@ -190,7 +193,7 @@ def retrieve_many(
     ``questions`` comes from ``question_units``. With ``source`` (a column of the rows) and
     ``scope`` (an array column of the questions) a question sees only the rows of its scope,
     and rows of an earlier source in the scope win ties. The rows are read once, when called.
-    ``extra`` weighs lines against scored groups, never the result.
+    ``buckets`` and ``extra`` say how the work is dealt, never the result.
     """
     if k < 1:
         raise ValueError("top_k doit etre superieur ou egal a 1.")
@@ -211,7 +214,9 @@ def retrieve_many(
     scored = materialize(seeds(asked, units, index), "seeds")
     near = candidates(asked, thresholds(scored, k), index, extra)
     more = _scored(near, units, index).filter(_ahead(F.col("overlap"))).select(*scored.columns)
-    best = _first(scored.union(more).distinct(), k, "unit").drop("rank")
+    part = F.pmod(F.xxhash64("source", "position"), F.lit(buckets))
+    every = scored.union(more).distinct().withColumn("part", part)
+    best = _first(_first(every, k, "unit", "part"), k, "unit").drop("rank", "part")
     keyed = best.join(index.groups.select("source", "position", "keys"), ["source", "position"]).drop("position")
     found = keyed.select("unit", "place", "source", "overlap", F.explode("keys").alias("position"))
     top = _first(found, k, "unit")
