@@ -17,7 +17,9 @@ every pair that shares a common word. Instead:
    to the threshold's own are looked up;
 4. only groups whose bound still beats the threshold are scored.
 
-Nothing is dropped that could be an answer.
+The pairs of questions and groups that share a rare word grow with both, so they are never moved:
+the groups are dealt out once, blocks of questions go to where the groups are, and steps 3 and 4
+count, bound, score and cut to ``k`` a question there. Nothing is dropped that could be an answer.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ DEFAULT_K = 8
 EXTRA_WORDS = 2
 # Parts in which the groups found for one question are ranked before the last ranking.
 BUCKETS = 64
+# Words of questions that are sent to the groups at a time, some 20 MB of them.
+BLOCK_WORDS = 500_000
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -131,9 +135,12 @@ def seeds(asked: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
 
 
 def _scored(met: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
-    """The groups of each line with their words, and how many the question asks of them."""
+    """The groups of each line and how many of their words the question asks.
+
+    The few words of a question go to the group, whose many words are thus moved once, not once per line.
+    """
     queries = units.select("unit", F.col("words").alias("query"))
-    joined = met.join(index.groups.select("source", "position", "words"), ["source", "position"]).join(queries, "unit")
+    joined = met.join(queries, "unit").join(index.groups.select("source", "position", "words"), ["source", "position"])
     return joined.withColumn("overlap", F.size(F.array_intersect("words", "query"))).drop("words", "query")
 
 
@@ -154,27 +161,80 @@ def candidates(asked: DataFrame, limits: DataFrame, index: Postings, extra: int
 
     ``asked`` holds, by question and source, each word's number from rare to common and how many there are.
     """
+    known, blocks = _looked_up(asked, limits, extra)
+    near = _early(known, index)
+    for block in range(blocks):
+        near = near.union(_anywhere(known.filter(_block(blocks) == block), index))
+    return near
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("unit"), F.lit(blocks))
+
+
+def _looked_up(asked: DataFrame, limits: DataFrame, extra: int) -> tuple[DataFrame, int]:
+    """The words that are looked up, and the number of blocks that questions are dealt to.
+
+    A group beats the threshold if more than ``over`` of them are met, or just as many up to the position ``upto``.
+    """
     spare = F.col("m") - F.col("least")
     # A group with all words of the threshold can only tie, unless there are more words than that.
     known = asked.join(limits, "unit").filter("m >= least").withColumn("looked", F.least(spare + extra, F.col("m")))
-    known = known.filter(F.col("number") <= F.col("looked"))
-    free = (spare > 0) | (F.col("place") < F.col("at_place"))
-    names = ["unit", "source", "place", "position", "least", "at_place", "at_position", "m", "looked"]
-    anywhere = known.filter(free).join(index.lists.drop("bucket"), ["source", "word"]).select(*names)
-    buckets = F.explode(F.sequence(F.lit(0), _bucket("at_position"))).alias("bucket")
-    early = known.filter(~free & (F.col("place") == F.col("at_place"))).select(*known.columns, buckets)
-    early = early.join(index.lists, ["source", "word", "bucket"]).filter("position <= at_position").select(*names)
-    met = anywhere.union(early).groupBy(*names).agg(F.count(F.lit(1)).cast("int").alias("met"))
+    earlier, same = F.col("place") < F.col("at_place"), F.col("place") == F.col("at_place")
+    upto = F.when(earlier, F.lit(2**63 - 1)).when(same, F.col("at_position")).otherwise(F.lit(-1)).cast("bigint")
     # What was not looked up may be there, all of it.
-    bound = F.col("met") + F.col("m") - F.col("looked")
-    return met.filter(_ahead(bound)).select(*names[:7])
+    over = (F.col("least") - F.col("m") + F.col("looked")).cast("int")
+    named = known.filter(F.col("number") <= F.col("looked")).select(
+        "unit", "source", "place", "word", F.col("least").cast("int").alias("least"), over.alias("over"), upto.alias("upto"),
+        ((spare > 0) | earlier).alias("free"),
+    )
+    total = asked.count()
+    return materialize(named, "looked"), max(1, -(-total // BLOCK_WORDS))
+
+
+_LINE = ("unit", "source", "place", "position", "least", "over", "upto")
+
+
+def _anywhere(known: DataFrame, index: Postings) -> DataFrame:
+    """Groups wherever they are, found where they are: one block of questions is sent to all groups, and the
+    lines of a group stay in its partition."""
+    dealt = _dealt(index).select("source", "position", F.explode("words").alias("word"))
+    # A block of questions, of bounded size.
+    block = F.broadcast(known.filter("free").drop("free"))
+    return _enough(dealt.join(block, ["source", "word"]))
+
+
+def _dealt(index: Postings) -> DataFrame:
+    return index.groups.select("source", "position", "words").repartition("source", "position")
+
+
+def _early(known: DataFrame, index: Postings) -> DataFrame:
+    """Groups that can only tie, looked up in the buckets up to the threshold's own."""
+    buckets = F.explode(F.sequence(F.lit(0), _bucket("upto"))).alias("bucket")
+    early = known.filter("NOT free AND upto >= 0").select(*known.columns, buckets)
+    return _enough(early.join(index.lists, ["source", "word", "bucket"]).filter("position <= upto"))
+
+
+def _enough(lines: DataFrame) -> DataFrame:
+    met = lines.groupBy(*_LINE).agg(F.count(F.lit(1)).cast("int").alias("met"))
+    return met.filter("met > over OR (met = over AND position <= upto)").select(*_LINE)
+
+
+def _ahead(scored: DataFrame) -> DataFrame:
+    return scored.filter("overlap > least OR (overlap = least AND position <= upto)")
 
 
-def _ahead(overlap: Column) -> Column:
-    """Whether a group of this overlap, place and position may rank ahead of its question's threshold."""
-    same = F.col("place") == F.col("at_place")
-    earlier = (F.col("place") < F.col("at_place")) | (same & (F.col("position") <= F.col("at_position")))
-    return (overlap > F.col("least")) | ((overlap == F.col("least")) & earlier)
+def _better(asked: DataFrame, limits: DataFrame, units: DataFrame, index: Postings, k: int, extra: int) -> DataFrame:
+    """The ``k`` best groups of each question among those ahead of its threshold, with their overlap."""
+    known, blocks = _looked_up(asked, limits, extra)
+    found = _ahead(_scored(_early(known, index), units, index))
+    for block in range(blocks):
+        of = _block(blocks) == block
+        queries = F.broadcast(units.filter(of).select("unit", F.col("words").alias("query")))
+        near = _anywhere(known.filter(of), index).join(queries, "unit").join(_dealt(index), ["source", "position"])
+        overlap = F.size(F.array_intersect("words", "query"))
+        found = found.union(_ahead(near.withColumn("overlap", overlap).select(*found.columns)))
+    return _first(found, k, "unit").select("unit", "source", "place", "position", "overlap")
 
 
 def retrieve_many(
@@ -201,7 +261,9 @@ def retrieve_many(
         raise ValueError(f"extra must be at least 1, not {extra}")
     scopes = F.col(scope) if scope is not None else F.array(F.lit(""))
     units = questions.filter("unit is not null").select("unit", "words", scopes.alias("scope"))
-    units = materialize(units.dropDuplicates(["unit"]), "units")
+    units = units.dropDuplicates(["unit"]).withColumnRenamed("unit", "name")
+    # A number in place of the digest, which would stand in every line.
+    units = materialize(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     places = units.select("unit", "words", F.posexplode("scope").alias("place", "source"))
     places = places.groupBy("unit", "source").agg(F.min("place").alias("place"), F.first("words").alias("words"))
     wanted = places.select("unit", "source", "place", F.explode("words").alias("word"))
@@ -212,12 +274,12 @@ def retrieve_many(
     index = build_postings(narrow, wanted.select("source", "word").distinct(), k)
     asked = materialize(_by_rarity(wanted, index), "asked")
     scored = materialize(seeds(asked, units, index), "seeds")
-    near = candidates(asked, thresholds(scored, k), index, extra)
-    more = _scored(near, units, index).filter(_ahead(F.col("overlap"))).select(*scored.columns)
+    more = materialize(_better(asked, thresholds(scored, k), units, index, k, extra), "better").select(*scored.columns)
     part = F.pmod(F.xxhash64("source", "position"), F.lit(buckets))
     every = scored.union(more).distinct().withColumn("part", part)
     best = _first(_first(every, k, "unit", "part"), k, "unit").drop("rank", "part")
     keyed = best.join(index.groups.select("source", "position", "keys"), ["source", "position"]).drop("position")
+    keyed = keyed.join(units.select("unit", "name"), "unit").drop("unit").withColumnRenamed("name", "unit")
     found = keyed.select("unit", "place", "source", "overlap", F.explode("keys").alias("position"))
     top = _first(found, k, "unit")
     return top.select("unit", "rank", "overlap", "source", F.col("position").alias(order_key))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators import retrieval as module
 from tallyframe.operators.retrieval import (
     _by_rarity,
     build_postings,
@@ -75,3 +76,28 @@ def test_few_pairs_are_scored(spark):
     assert scored.count() + near.count() < 0.05 * pairs
     few = asked.filter(F.col("question").isin(common)).select("unit")
     assert near.join(few, "unit").count() < 30 * len(common)
+
+
+def test_lines_stay_where_their_group_is(spark, monkeypatch):
+    """Lines of questions and groups that share rare words are counted and bounded without being moved."""
+    monkeypatch.setattr(module, "BLOCK_WORDS", 20)
+    docs = list(enumerate(texts(300, 12, 8)))
+    asked = [*texts(30, 6, 9), "word0 word1"]
+    rows = spark.createDataFrame(docs, "key long, text string").repartition(3)
+    questions = question_units(spark.createDataFrame([(q,) for q in asked], "question string"))
+    plans, anywhere = [], module._anywhere
+
+    def seen(*args):
+        lines = anywhere(*args)
+        plans.append(lines._jdf.queryExecution().executedPlan().toString())
+        return lines
+
+    monkeypatch.setattr(module, "_anywhere", seen)
+    found = retrieve_many(rows, questions, "key", 4, text=F.col("text"))
+    assert len(plans) > 3
+    # The groups are dealt out; nothing else is but the block of questions that is sent to them.
+    assert all(plan.split("REPARTITION_BY_COL")[0].count("Exchange hashpartitioning") == 1 for plan in plans)
+    lists = {}
+    for r in questions.join(found, "unit").select("question", "rank", "key", "overlap").distinct().orderBy("rank").collect():
+        lists.setdefault(r["question"], []).append((r["key"], r["overlap"]))
+    assert lists == {q: near for q in asked if (near := best(docs, q, 4))}
