@@ -40,7 +40,8 @@ SKETCH_SIZE = 4_000
 LINE = (
     "column: string, dtype: string, numeric: boolean, place: int, rows: bigint, present: bigint, mean: double, "
     "squares: double, low: double, high: double, target: string, pairs: bigint, pair_mean: double, "
-    "pair_squares: double, target_mean: double, target_squares: double, products: double, sketch: binary"
+    "pair_squares: double, target_mean: double, target_squares: double, products: double, "
+    "pair_low: double, pair_high: double, target_low: double, target_high: double, sketch: binary"
 )
 
 
@@ -88,6 +89,11 @@ def _moments(df: DataFrame, by: list[str], aliases: Sequence[str], sketch_size:
                 F.avg(yy).alias(f"_ym{i}"),
                 F.var_pop(yy).alias(f"_yv{i}"),
                 F.covar_pop(xx, yy).alias(f"_xy{i}"),
+                # Whether one side is constant is told by its ends: a variance keeps a trace of rounding.
+                F.min(xx).alias(f"_xl{i}"),
+                F.max(xx).alias(f"_xh{i}"),
+                F.min(yy).alias(f"_yl{i}"),
+                F.max(yy).alias(f"_yh{i}"),
             ]
     counted = df.groupBy(*by).agg(*aggregates)
     none = F.lit(None).cast("double")
@@ -113,6 +119,10 @@ def _moments(df: DataFrame, by: list[str], aliases: Sequence[str], sketch_size:
             (F.col(f"_ym{i}") if pair else none).alias("target_mean"),
             (F.col(f"_yv{i}") * pairs if pair else none).alias("target_squares"),
             (F.col(f"_xy{i}") * pairs if pair else none).alias("products"),
+            (F.col(f"_xl{i}") if pair else none).alias("pair_low"),
+            (F.col(f"_xh{i}") if pair else none).alias("pair_high"),
+            (F.col(f"_yl{i}") if pair else none).alias("target_low"),
+            (F.col(f"_yh{i}") if pair else none).alias("target_high"),
             (F.col(f"_sketch{i}") if number else F.lit(None).cast("binary")).alias("sketch"),
         )
 
@@ -154,8 +164,8 @@ def merge_moments(lines: DataFrame, by: Sequence[str] = (SOURCE,)) -> DataFrame:
         F.first("_mean", ignorenulls=True).alias("mean"),
         F.first("_x", ignorenulls=True).alias("pair_mean"),
         F.first("_y", ignorenulls=True).alias("target_mean"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
+        *[F.min(c).alias(c) for c in ("low", "pair_low", "target_low")],
+        *[F.max(c).alias(c) for c in ("high", "pair_high", "target_high")],
         F.kll_merge_agg_double("sketch").alias("_sketch"),
     )
     sketch = F.when(F.col("numeric"), F.col("_sketch")).alias("sketch")
@@ -206,7 +216,8 @@ class Fitted:
 
     def correlations(self) -> DataFrame:
         spread = F.sqrt("pair_squares") * F.sqrt("target_squares")
-        r = F.when(F.col("pairs") >= 2, F.try_divide("products", spread)).alias("pearson_r")
+        vary = (F.col("pair_low") < F.col("pair_high")) & (F.col("target_low") < F.col("target_high"))
+        r = F.when((F.col("pairs") >= 2) & vary, F.try_divide("products", spread)).alias("pearson_r")
         found = self.lines.filter("pairs is not null").select(
             *self.by, "target", F.col("column").alias("variable"), r, F.abs(r).alias("abs_r"), F.col("pairs").alias("n_valid")
         )

@@ -222,8 +222,10 @@ def _correlations(df, by, target, columns, aliases) -> DataFrame:
         both = x.isNotNull() & y.isNotNull()
         x, yy = F.when(both, x), F.when(both, y)
         spread = F.stddev_pop(x) * F.stddev_pop(yy)
+        # Whether one side is constant is told by its ends: a variance keeps a trace of rounding.
+        vary = (F.min(x) < F.max(x)) & (F.min(yy) < F.max(yy))
         aggregates += [
-            F.try_divide(F.covar_pop(x, yy), spread).alias(f"_r{i}"),
+            F.when(vary, F.try_divide(F.covar_pop(x, yy), spread)).alias(f"_r{i}"),
             F.count(x).alias(f"_n{i}"),
         ]
     lines = [

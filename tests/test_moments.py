@@ -112,3 +112,18 @@ def test_digests_only_point_at_duplicates(spark):
     assert duplicate_rows(df).first()["duplicate_rows"] == 4
     assert {r["k"]: r["duplicate_rows"] for r in duplicate_rows(df, ["k"]).collect()} == {1: 3, 2: 1, 3: 0}
     assert duplicate_rows({"all": df, "none": df.limit(0)}).collect() == [("all", 4), ("none", 0)]
+
+
+def test_a_constant_column_has_no_correlation(spark):
+    """Merged moments of a constant keep a trace of rounding, which is no spread."""
+    rows = spark.range(60_000).select(
+        F.lit("s").alias("source"), "id", F.lit(0.1).alias("constant"), (F.col("id") % 977 * 1.3).alias("other"),
+        F.when(F.col("id") % 4 > 0, F.col("id") * 0.7).alias("satisfaction"),
+        # Constant only where the score is present.
+        F.when(F.col("id") % 4 > 0, F.lit(0.3)).otherwise(F.col("id") * 1.0).alias("there"),
+    ).repartition(7)
+    parts = [moments(rows.filter(F.col("id") % 3 == i).drop("id"), ["source"]) for i in range(3)]
+    merged = Fitted(merge_moments(parts[0].union(parts[1]).union(parts[2])), ("source",)).correlations()
+    for found in (merged, Fitted(moments(rows.drop("id"), ["source"]), ("source",)).correlations(), correlations(rows.drop("id"), ["source"])):
+        r = {line["variable"]: line["pearson_r"] for line in found.collect()}
+        assert r["constant"] is None and r["there"] is None and abs(r["other"]) < 0.1, r
