@@ -6,6 +6,7 @@ scope detection) take a streaming DataFrame as they take a table. No state is ke
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -20,13 +21,18 @@ def file_stream(
     max_files: int | None = None,
     name_pattern: str | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream; ``max_files`` bounds one micro-batch."""
+    """New Parquet files of a folder as a stream; ``max_files`` bounds one micro-batch.
+
+    ``name_pattern`` picks tables in the folder by name, be they single files or folders of part files.
+    """
     reader = spark.readStream.schema(schema)
-    if name_pattern is not None:
-        reader = reader.option("pathGlobFilter", name_pattern)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    if name_pattern is None:
+        return reader.parquet(path)
+    # Only a path with a pattern may name a file or a folder, so a plain name is made one.
+    glob = name_pattern if re.search(r"[*?\[{]", name_pattern) else f"{name_pattern[:-1]}[{name_pattern[-1]}]"
+    return reader.parquet(f"{path.rstrip('/')}/{glob}")
 
 
 def write_available(

@@ -66,3 +66,18 @@ def test_a_second_run_adds_only_new_files(spark):
         spark.range(part * 10, part * 10 + 10).write.mode("append").parquet(path)
         write_available(file_stream(spark, path, spark.read.parquet(path).schema), lambda df: df, out, state)
         assert spark.read.parquet(out).count() == (part + 1) * 10
+
+
+@pytest.mark.parametrize("pattern", ["some.parquet", "som?.parquet"])
+def test_a_table_is_picked_as_a_file_or_a_folder(spark, tmp_path, pattern):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "folders" / "some.parquet"))
+    spark.range(7).write.parquet(str(tmp_path / "folders" / "other.parquet"))
+    spark.range(30).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "files").mkdir()
+    for name, made in (("some", "made"), ("other", "made")):
+        (tmp_path / "files" / f"{name}.parquet").write_bytes(next((tmp_path / made).glob("part-*")).read_bytes())
+    for kind in ("folders", "files"):
+        out = scratch_path(spark, "stream-out")
+        stream = file_stream(spark, str(tmp_path / kind), spark.range(1).schema, name_pattern=pattern)
+        write_available(stream, lambda df: df, out)
+        assert sorted(r.id for r in spark.read.schema("id bigint").parquet(out).collect()) == list(range(30)), kind
