@@ -274,3 +274,22 @@ def test_published_table_equals_the_result(spark, sf, tmp_path):
     published = spark.read.parquet(str(out / "normalized"))
     assert published.count() == done.consolidated.count() > 0
     assert (out / "product_reference" / "_SUCCESS").exists()
+
+
+@pytest.mark.parametrize(
+    "name", ["imputation_log", "cap_outliers", "correction_log", "outlier_report", "compare_missing", "impute_numeric"]
+)
+def test_a_table_read_often_is_joined_once(spark, sf, monkeypatch, name):
+    """Customers are neither broadcast nor joined again by each pass over the rows."""
+    from workload import QUERIES, views
+
+    joins, store = [], getattr(views, "materialize", None)
+
+    def stored(df, *args):
+        joins.append(plan_of(df))
+        return store(df, *args)
+
+    monkeypatch.setattr(views, "materialize", stored, raising=False)
+    last = plan_of(QUERIES[name](spark, sf))
+    assert "customer.parquet" not in last
+    assert len(joins) == 1 and "customer.parquet" in joins[0] and "SortMergeJoin" in joins[0] and "Broadcast" not in joins[0]

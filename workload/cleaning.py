@@ -30,7 +30,7 @@ from tallyframe.operators.schema import align_union
 from tallyframe.plans.quality import normalized_profiles
 from workload.registry import query
 from workload.sets import claim_rows, source_set, survey_rows
-from workload.views import BRANCHES, raw_sources, table, view
+from workload.views import BRANCHES, raw_sources, stored_view, table, view
 
 # --- Filters -----------------------------------------------------------------------------
 
@@ -228,7 +228,7 @@ _GAP_COLUMNS = ("id", "price", "balance", "rating", "priority", "status")
     uses=("gaps",),
 )
 def profile_sources(spark, sf):
-    return profile(view(spark, sf, "gaps"), ["source"])
+    return profile(stored_view(spark, sf, "gaps"), ["source"])
 
 
 @query(
@@ -276,7 +276,7 @@ def duplicate_events(spark, sf):
     uses=("gaps",),
 )
 def compare_missing_query(spark, sf):
-    gaps = view(spark, sf, "gaps")
+    gaps = stored_view(spark, sf, "gaps")
     stats = imputation_stats(gaps, ["source"], ["price", "balance"])
     filled = impute_numeric(gaps, stats, ["source"], ["price", "balance"])
     return compare_missing(gaps, filled, ["source"])
@@ -370,7 +370,7 @@ def _round_bounds(report):
     uses=("gaps",),
 )
 def outlier_report_query(spark, sf):
-    return _round_bounds(outlier_report(view(spark, sf, "gaps"), ["source"], ["price", "balance", "rating"]))
+    return _round_bounds(outlier_report(stored_view(spark, sf, "gaps"), ["source"], ["price", "balance", "rating"]))
 
 
 @query(
@@ -401,7 +401,7 @@ _FILLS = """SELECT source, 'price' AS "column", round((count(*) - count(price))
     uses=("gaps",),
 )
 def imputation_log_query(spark, sf):
-    stats = imputation_stats(view(spark, sf, "gaps"), ["source"], ["price", "balance", "rating"])
+    stats = imputation_stats(stored_view(spark, sf, "gaps"), ["source"], ["price", "balance", "rating"])
     return imputation_log(stats).withColumn("imputation_value", F.round("imputation_value", 6))
 
 
@@ -412,7 +412,7 @@ def imputation_log_query(spark, sf):
     uses=("gaps",),
 )
 def impute_numeric_query(spark, sf):
-    gaps = view(spark, sf, "gaps")
+    gaps = stored_view(spark, sf, "gaps")
     stats = imputation_stats(gaps, ["source"], ["price", "balance"])
     filled = impute_numeric(gaps, stats, ["source"], ["price", "balance"])
     return filled.select("id", F.round("price", 6).alias("price"), F.round("balance", 6).alias("balance"))
@@ -428,7 +428,7 @@ _MODES = """SELECT source, priority AS mode FROM (SELECT source, priority, row_n
     uses=("gaps",),
 )
 def fill_categories_query(spark, sf):
-    gaps = view(spark, sf, "gaps")
+    gaps = stored_view(spark, sf, "gaps")
     columns = ["priority", "status"]
     filled = fill_categories(gaps, category_stats(gaps, ["source"], columns), ["source"], columns)
     return filled.select("id", "priority", "status")
@@ -441,7 +441,7 @@ def fill_categories_query(spark, sf):
     uses=("gaps",),
 )
 def category_fill_stats(spark, sf):
-    return category_stats(view(spark, sf, "gaps"), ["source"], ["priority", "status"])
+    return category_stats(stored_view(spark, sf, "gaps"), ["source"], ["priority", "status"])
 
 
 @query(
@@ -453,7 +453,7 @@ def category_fill_stats(spark, sf):
     uses=("gaps",),
 )
 def cap_outliers_query(spark, sf):
-    gaps = view(spark, sf, "gaps")
+    gaps = stored_view(spark, sf, "gaps")
     columns = ["price", "balance"]
     capped = cap_outliers(gaps, outlier_report(gaps, ["source"], columns), ["source"], columns)
     return capped.select("id", F.round("price", 6).alias("price"), F.round("balance", 6).alias("balance"))
@@ -469,7 +469,7 @@ def cap_outliers_query(spark, sf):
     uses=("gaps",),
 )
 def correction_log_query(spark, sf):
-    gaps = view(spark, sf, "gaps")
+    gaps = stored_view(spark, sf, "gaps")
     log = correction_log(
         category_stats(gaps, ["source"], ["priority", "status"]),
         outlier_report(gaps, ["source"], ["price", "balance"]),

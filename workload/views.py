@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe import presets
+from tallyframe.session import materialize
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -140,6 +141,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def stored_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view that is read several times: joined once and written, its tables shuffled.
+
+    As a lazy join every read would collect the smaller table in the driver to broadcast it again.
+    """
+    text = VIEWS[name]
+    used = {t: table(spark, sf_dir, t).hint("merge") for t in TABLES if "{" + t + "}" in text}
+    return materialize(spark.sql(text, **used), name)
+
+
 def raw_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {branch: view(spark, sf_dir, f"raw_{branch.lower()}") for branch in BRANCHES}
 
