@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, functions as F
@@ -44,6 +44,23 @@ def question_facts(
     return _known(scoped, sources, surveys, claims)
 
 
+def question_evidence(
+    questions: DataFrame,
+    sources: SourceSet,
+    spec: FilterSpec = FilterSpec(),
+    question: str = "question",
+    selected: str = "selected",
+) -> DataFrame:
+    """``question_facts`` with the evidence of every question: the first rows of its scope.
+
+    The filtered sources are scanned once for the facts and once for the first rows; nothing is retrieved.
+    """
+    frames = filtered(sources, list(sources.frames), spec)
+    scoped = resolve_scope(questions, question, selected)
+    surveys, claims = cubes(sources, frames, extra=["_source_id"])
+    return _with_evidence(_known(scoped, sources, surveys, claims), scoped, sources, frames)
+
+
 def answer_questions(
     questions: DataFrame,
     sources: SourceSet,
@@ -74,6 +91,11 @@ def answer_questions(
     unset = asdict(FilterSpec())
     active = {name: value for name, value in asdict(spec).items() if value != unset[name]}
     answered = contexts(known, fields, records, json.dumps(active, ensure_ascii=False, default=str))
+    return _with_evidence(answered, scoped, sources, frames)
+
+
+def _with_evidence(answered: DataFrame, scoped: DataFrame, sources: SourceSet, frames: Mapping[str, DataFrame]) -> DataFrame:
+    keys = {source: sources.specs[source].order_key for source in frames}
     rows = measure(evidence_lists(scoped, frames, keys), ["place_key"], row_bytes=RECORDS_BYTES)
     return attach(answered.withColumn("place_key", place_key("effective")), rows).drop("place_key")
 

@@ -293,3 +293,21 @@ def test_a_table_read_often_is_joined_once(spark, sf, monkeypatch, name):
     last = plan_of(QUERIES[name](spark, sf))
     assert "customer.parquet" not in last
     assert len(joins) == 1 and "customer.parquet" in joins[0] and "SortMergeJoin" in joins[0] and "Broadcast" not in joins[0]
+
+
+def test_evidence_needs_no_retrieval(spark, sources, monkeypatch):
+    """The evidence of a question is the same whether or not rows are retrieved for it."""
+    from tallyframe.plans import ask
+
+    asked = spark.createDataFrame(
+        [(1, "colis en France", ["france"]), (2, "colis", ["maroc", "reclamations"])], "question_id int, question string, selected array<string>"
+    )
+    names = ("question_id", "row_count", "summary", "missing", "evidence")
+    whole = sorted(answer_questions(asked, sources).select(*names).collect())
+
+    def unasked(*args, **kwargs):
+        raise AssertionError("retrieved")
+
+    monkeypatch.setattr(ask, "retrieved_records", unasked)
+    assert sorted(ask.question_evidence(asked, sources).select(*names).collect()) == whole
+    assert all(row.evidence for row in whole)
