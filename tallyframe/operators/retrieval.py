@@ -43,6 +43,8 @@ EXTRA_WORDS = 2
 BUCKETS = 64
 # Words of questions that are sent to the groups at a time, some 20 MB of them.
 BLOCK_WORDS = 500_000
+# No asked word is longer than this where all of them are sent to the rows.
+WORD_BYTES = 100
 
 
 def record_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -298,7 +300,9 @@ def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Rows grouped by source and asked words: the words, the first key and the first ``k`` keys of each group."""
     # Not ``explode``: the filter that comes with it would compute the words twice.
     single = narrow.select("source", "key", F.explode_outer("words").alias("word"))
-    held = single.join(asked, ["source", "word"], "left_semi").groupBy("source", "key")
+    # So long as the asked words can be sent to the rows, no word of a row is moved but the asked ones.
+    wanted = measure(asked.select("source", "word"), ["source", "word"], row_bytes=WORD_BYTES)
+    held = attach(single, wanted, "left_semi").groupBy("source", "key")
     sets = held.agg(F.array_sort(F.collect_set("word")).alias("words"))
     sets = sets.withColumn("group", F.sha2(F.array_join("words", " "), 256))
     number = F.row_number().over(Window.partitionBy("source", "group").orderBy("key"))

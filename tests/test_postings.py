@@ -101,3 +101,16 @@ def test_lines_stay_where_their_group_is(spark, monkeypatch):
     for r in questions.join(found, "unit").select("question", "rank", "key", "overlap").distinct().orderBy("rank").collect():
         lists.setdefault(r["question"], []).append((r["key"], r["overlap"]))
     assert lists == {q: near for q in asked if (near := best(docs, q, 4))}
+
+
+def test_words_that_nobody_asks_are_not_moved(spark):
+    """Also where Spark itself would broadcast nothing."""
+    rows = spark.createDataFrame([("", i, t.split()) for i, t in enumerate(texts(50, 12, 10))], "source string, key long, words array<string>")
+    asked = spark.createDataFrame([("", "word0"), ("", "word7")], "source string, word string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = module._alike(rows, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
