@@ -74,6 +74,7 @@ class Tables:
         self.open_total = self.rare_total - int(counts[others].sum())
         self.open_distinct = self.rare_distinct - len(others)
         nodes = self._paths(others, by_hash, counts, smoothed)
+        self._lookups(len(nodes))
         with np.errstate(divide="ignore"):  # empty classes and places have no chance
             self.class_bias = np.maximum(np.log(mass / mass.max()), -1e30).astype(np.float32)
             self.word_bias = np.maximum(np.log(nodes), -1e30).astype(np.float32)
@@ -115,6 +116,21 @@ class Tables:
         self.node, self.branch, self.depth = node, branch, depth
         return np.concatenate(made)
 
+    def _lookups(self, nodes: int) -> None:
+        """Set what examples read by place in the head, so that it is hashed once; behind the head are OTHER and START.
+
+        ``names`` tells all head words apart, ``common`` those of the classes.
+        """
+        s = self.settings
+        salt = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.names = np.append(self.hashes, (OTHER, START))
+        self.common = np.append(np.where(self.place >= 0, self.hashes, OTHER), (OTHER, START))
+        self.target = np.append(np.where(self.place >= 0, self.place // s.per_class, s.classes), s.classes)
+        self.single = [_buckets(self.names + salt[i], s.class_buckets) for i in (0, 2, 3)]
+        self.mixed = [mix(self.common + salt[i]) for i in (1, 4)]
+        self.group = mix(np.arange(nodes, dtype=np.uint64) + salt[5])
+        self.second = self.names + salt[6]
+
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token in the head, or -1."""
         if not len(self.hashes):
@@ -146,40 +162,40 @@ class Examples:
     """Features and targets of a chunk's tokens, and of the steps to each word behind its class."""
 
     def __init__(self, tables: Tables, tokens: np.ndarray, offsets: np.ndarray):
-        s = tables.settings
+        s, other = tables.settings, len(tables.hashes)
         self.head = tables.find(tokens)
-        frequent = np.where(self.head >= 0, tables.place[self.head] if len(tables.place) else -1, -1)
-        self.target = np.where(frequent >= 0, frequent // s.per_class, s.classes)
-        known = np.where(self.head >= 0, tokens, OTHER)
-        common = np.where(frequent >= 0, tokens, OTHER)
-        start = np.repeat(offsets[:-1], np.diff(offsets))
-        back = np.arange(len(tokens)) - start
-
-        def before(values: np.ndarray, steps: int) -> np.ndarray:
-            out = np.full(len(values), START)
-            out[steps:] = values[:-steps] if len(values) > steps else values[:0]
-            out[back < steps] = START
+        at = np.where(self.head >= 0, self.head, other)
+        self.target = tables.target[at]
+        firsts, ends = offsets[:-1], offsets[1:]
+
+        def before(steps: int) -> np.ndarray:
+            out = np.full(len(at), other + 1)
+            out[steps:] = at[:-steps]
+            for step in range(steps):
+                start = firsts + step
+                out[start[start < ends]] = other + 1
             return out
 
-        one, two, three = (before(known, i) for i in (1, 2, 3))
-        near, next_near = before(common, 1), before(common, 2)
-        salt = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = [
-            one + salt[0],  # the word before
-            mix(near + salt[1]) + next_near,  # the two words before
-            two + salt[2],  # skip one
-            three + salt[3],  # skip two
-            mix(near + salt[4]) + before(common, 3),  # the word before and the third before
-        ]
-        self.class_features = _buckets(keys, s.class_buckets)
-        depth = tables.depth[self.head]
+        one, two, three = (before(i) for i in (1, 2, 3))
+        self.class_features = np.stack(
+            [
+                tables.single[0][one],  # the word before
+                _buckets(tables.mixed[0][one] + tables.common[two], s.class_buckets),  # the two words before
+                tables.single[1][two],  # skip one
+                tables.single[2][three],  # skip two
+                _buckets(tables.mixed[1][one] + tables.common[three], s.class_buckets),  # the word before and the third before
+            ],
+            axis=1,
+        )
+        depth = tables.depth[at]
         self.first_step = np.concatenate(([0], np.cumsum(depth)))
         self.token = np.repeat(np.arange(len(tokens)), depth)
-        level = np.arange(len(self.token)) - self.first_step[self.token]
-        self.node = tables.node[self.head[self.token], level]
-        self.branch = tables.branch[self.head[self.token], level]
-        group = mix(self.node.astype(np.uint64) + salt[5])
-        self.word_features = _buckets([k[self.token] + group for k in (near, two + salt[6])], s.word_buckets)
+        step = at[self.token] * tables.node.shape[1] + np.arange(len(self.token)) - self.first_step[self.token]
+        self.node, self.branch = tables.node.ravel()[step], tables.branch.ravel()[step]
+        group = tables.group[self.node]
+        self.word_features = np.stack(
+            [_buckets(key[self.token] + group, s.word_buckets) for key in (tables.common[one], tables.second[two])], axis=1
+        )
         self.word_features[self.node >= s.classes] += np.uint16(s.word_buckets)
 
     def steps(self, part: slice) -> slice:
@@ -188,35 +204,49 @@ class Examples:
         return slice(*ends)
 
 
-def _buckets(keys: list[np.ndarray], buckets: int) -> np.ndarray:
-    """A bucket for each key; ``buckets`` is a power of two of at most 2**15, as 16 bits sort fast."""
-    out = np.empty((len(keys[0]), len(keys)), dtype=np.uint16)
-    for i, key in enumerate(keys):
-        out[:, i] = mix(key) & np.uint64(buckets - 1)
-    return out
+def _buckets(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key; ``buckets`` is a power of two of at most 2**15, as 16 bits sort fast."""
+    return (mix(key) & np.uint64(buckets - 1)).astype(np.uint16)
+
+
+#: Rows whose outcomes are worked on at once, so that they stay in a core's cache; the results do not depend on it.
+ROWS = 1 << 11
+#: Buckets with so many uses in a minibatch are summed one by one, the others together, use by use; at most 255.
+MANY = 32
 
 
 def _scores(weights: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """The summed weights of each row's features plus the bias, less the row's largest."""
-    scores = weights[features[:, 0]]
+    first, *others = np.ascontiguousarray(features.T, dtype=np.intp)
+    scores = weights.take(first, axis=0)
     scores += bias
-    for f in range(1, features.shape[1]):
-        scores += weights[features[:, f]]
-    scores -= scores.max(axis=1, keepdims=True)
+    for feature in others:
+        scores += weights.take(feature, axis=0)
+    scores -= np.ascontiguousarray(scores.T).max(axis=0)[:, None]
     return scores
 
 
-def _slopes(weights: np.ndarray, features: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The chance of every outcome, less one for the one that came."""
-    chance = _scores(weights, features, bias)
-    np.exp(chance, out=chance)
-    chance /= chance.sum(axis=1, keepdims=True)
-    chance[np.arange(len(target)), target] -= 1
-    return chance
+def _totals(values: np.ndarray) -> np.ndarray:
+    """The sum of each row, as a column."""
+    return np.einsum("ij->i", values)[:, None]
+
+
+def _slopes(
+    weights: np.ndarray, features: np.ndarray, bias: np.ndarray, target: np.ndarray, nodes: np.ndarray | None = None
+) -> np.ndarray:
+    """The chance of every outcome, less one for the one that came; with ``nodes``, the bias is that row of ``bias``."""
+    slopes = np.empty((len(target), weights.shape[1]), dtype=np.float32)
+    for a in range(0, len(target), ROWS):
+        part = slice(a, a + ROWS)
+        chance = _scores(weights, features[part], bias if nodes is None else bias.take(nodes[part], axis=0))
+        np.exp(chance, out=chance)
+        np.divide(chance, _totals(chance), out=slopes[part])
+    slopes[np.arange(len(target)), target] -= 1
+    return slopes
 
 
 def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    scores -= np.log(_totals(np.exp(scores)))
     return scores
 
 
@@ -225,7 +255,33 @@ def _class_scores(tables: Tables, weights: np.ndarray, features: np.ndarray) ->
 
 
 def _word_scores(tables: Tables, weights: np.ndarray, features: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    return _log_softmax(_scores(weights, features, tables.word_bias[nodes]))
+    return _log_softmax(_scores(weights, features, tables.word_bias.take(nodes, axis=0)))
+
+
+def _run_sums(slopes: np.ndarray, rows: np.ndarray, firsts: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of runs by falling length, and in it the sum of each run ``slopes[rows[first : first + uses]]``.
+
+    Whole rows are added at a time; numpy's own sums of runs go through every column apart.
+    """
+    order = np.argsort(np.maximum(MANY - uses, 0).astype(np.uint8), kind="stable")
+    at, n = firsts[order], uses[order]
+    long = int(np.count_nonzero(n >= MANY))
+    sums = np.empty((len(n), slopes.shape[1]), dtype=np.float32)
+    for i in range(long):
+        left, parts = int(n[i]), slopes.take(rows[at[i] : at[i] + n[i]], axis=0)
+        while left > 1:  # in halves, so that sums of many stay exact
+            half = left // 2
+            parts[:half] += parts[left - half : left]
+            left -= half
+        sums[i] = parts[0]
+    at, rest = at[long:], sums[long:]
+    rest[:] = slopes.take(rows[at], axis=0)
+    has = len(at) - np.cumsum(np.bincount(n[long:], minlength=MANY))  # runs longer than each length
+    for use in range(1, MANY - 1):
+        if not has[use]:
+            break
+        rest[: has[use]] += slopes.take(rows[at[: has[use]] + use], axis=0)
+    return order, sums
 
 
 def _step(weights: np.ndarray, seen: np.ndarray, features: np.ndarray, slopes: np.ndarray, rate: float) -> None:
@@ -234,10 +290,12 @@ def _step(weights: np.ndarray, seen: np.ndarray, features: np.ndarray, slopes: n
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     firsts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    buckets = ordered[firsts]
-    sums = np.add.reduceat(slopes[order // features.shape[1]], firsts, axis=0)
-    seen[buckets] += np.diff(np.append(firsts, len(flat)))
-    weights[buckets] -= (rate / features.shape[1] / np.sqrt(seen[buckets]))[:, None] * sums
+    uses = np.diff(np.append(firsts, len(flat)))
+    by_uses, sums = _run_sums(slopes, order // features.shape[1], firsts, uses)
+    buckets = ordered[firsts[by_uses]].astype(np.intp)
+    seen[buckets] += uses[by_uses]
+    sums *= (rate / features.shape[1] / np.sqrt(seen[buckets]))[:, None]
+    weights[buckets] -= sums
 
 
 def _learn(tables: Tables, weights: Weights, seen: tuple[np.ndarray, np.ndarray], tokens, offsets) -> None:
@@ -251,7 +309,7 @@ def _learn(tables: Tables, weights: Weights, seen: tuple[np.ndarray, np.ndarray]
         steps = examples.steps(part)
         if steps.stop > steps.start:
             features, branch = examples.word_features[steps], examples.branch[steps]
-            slopes = _slopes(weights.words, features, tables.word_bias[examples.node[steps]], branch)
+            slopes = _slopes(weights.words, features, tables.word_bias, branch, examples.node[steps])
             _step(weights.words, seen[1], features, slopes, s.rate)
 
 
@@ -359,10 +417,9 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, b
 
 def _chances(tables: Tables, weights: Weights, examples: Examples) -> np.ndarray:
     """The log10 chance of each token; for words beyond the head that of the leaf they share."""
-    s = tables.settings
     chance = np.empty(len(examples.target))
-    for a in range(0, len(chance), s.minibatch):
-        part = slice(a, a + s.minibatch)
+    for a in range(0, len(chance), ROWS):
+        part = slice(a, a + ROWS)
         target, steps = examples.target[part], examples.steps(part)
         here = _class_scores(tables, weights.classes, examples.class_features[part])[np.arange(len(target)), target].astype(np.float64)
         if steps.stop > steps.start:

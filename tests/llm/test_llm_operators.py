@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import timeit
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ import sentencepiece
 
 from tallyframe.llm import licenses, maxent, minhash, mixing, neighbours, pieces, quality, queries, shards, tokencount, urls
 from tallyframe.llm.links import components
+from tallyframe.llm.spans import mix
 from workload.compare import connect, spark_rows, sql_rows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -150,6 +152,73 @@ def test_model_learns_which_rarer_word_follows(spark):
     assert gain > 0.4
 
 
+def minibatch(n=8192, outcomes=33, buckets=1 << 14):
+    """Features and slopes of a minibatch: many buckets used once, some used hundreds of times."""
+    rng = np.random.default_rng(3)
+    features = (buckets * rng.random((n, 5)) ** 4).astype(np.uint16)
+    return features, rng.normal(size=(n, outcomes)).astype(np.float32)
+
+
+def test_step_equals_sums_in_doubles():
+    features, slopes = minibatch()
+    for n in (1, 2, 40, len(features)):
+        weights, seen = np.zeros((1 << 14, 33), np.float32), np.full(1 << 14, 400, np.float32)
+        sums, uses = np.zeros(weights.shape), np.zeros(1 << 14)
+        for column in features[:n].T:
+            np.add.at(sums, column, slopes[:n].astype(np.float64))
+            np.add.at(uses, column, 1)
+        maxent._step(weights, seen, features[:n], slopes[:n], 1.0)
+        assert (seen == 400 + uses).all() and (n < 8192 or uses.max() > 1000)
+        assert np.abs(weights + sums / 5 / np.sqrt(400 + uses)[:, None]).max() < 1e-5
+
+
+def test_step_takes_less_time_than_sums_of_runs_by_column():
+    features, slopes = minibatch()
+    order = np.argsort(features.ravel(), kind="stable")
+    firsts = np.flatnonzero(np.diff(features.ravel()[order].astype(int), prepend=-1))
+    rows = slopes[order // 5]
+    weights, seen = np.zeros((1 << 14, 33), np.float32), np.full(1 << 14, 400, np.float32)
+
+    def seconds(call):
+        return min(timeit.repeat(call, number=1, repeat=9))
+
+    by_column = seconds(lambda: np.add.reduceat(rows, firsts, axis=0))
+    assert seconds(lambda: maxent._step(weights, seen, features, slopes, 1.0)) < by_column
+
+
+def test_examples_read_the_words_before():
+    """Features and targets by a plain loop over the tokens of rows of 1 to 5, some beyond the head."""
+    settings = maxent.Settings(classes=2, per_class=3)
+    words = np.arange(1, 31, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.arange(60, 30, -1)
+    tables = maxent.Tables(words, counts, int(counts.sum()) + 40, 60, settings)
+    rng = np.random.default_rng(4)
+    offsets = np.concatenate(([0], np.cumsum(rng.integers(1, 6, 200))))
+    tokens = np.append(words, np.uint64(12345))[rng.integers(0, 31, offsets[-1])]
+    made = maxent.Examples(tables, tokens, offsets)
+    salt = [np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i in range(1, 8)]
+    rank = {int(w): i for i, w in enumerate(words)}
+    with np.errstate(over="ignore"):
+        for first, end in zip(offsets[:-1], offsets[1:]):
+            for i in range(first, end):
+                back = [tokens[i - k] if i - k >= first else maxent.START for k in (1, 2, 3)]
+                known = [w if int(w) in rank or w == maxent.START else maxent.OTHER for w in back]
+                common = [w if rank.get(int(w), 99) < 6 or w == maxent.START else maxent.OTHER for w in back]
+                keys = [
+                    known[0] + salt[0], mix(common[0] + salt[1]) + common[1], known[1] + salt[2], known[2] + salt[3],
+                    mix(common[0] + salt[4]) + common[2],
+                ]
+                assert list(made.class_features[i]) == [int(mix(k)) % settings.class_buckets for k in keys]
+                place = rank.get(int(tokens[i]), 99)
+                assert made.target[i] == (place // 3 if place < 6 else 2)
+                for step in range(made.first_step[i], made.first_step[i + 1]):
+                    node = int(made.node[step])
+                    group, more = mix(np.uint64(node) + salt[5]), settings.word_buckets * (node >= 2)
+                    keys = [common[0] + group, known[1] + salt[6] + group]
+                    assert list(made.word_features[step]) == [int(mix(k)) % settings.word_buckets + more for k in keys]
+                    assert made.token[step] == i and (place >= 6 or (node, made.branch[step]) == divmod(place, 3))
+
+
 def shingles(text, n):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
