@@ -200,24 +200,22 @@ class SourceSet:
 
     def inventory(self, spark: SparkSession) -> DataFrame:
         """One row per declared source: availability, error, row and column counts."""
-        declared = spark.createDataFrame(
-            [
-                (
-                    position, spec.id, spec.label, spec.kind, spec.id in self.frames,
-                    self.errors.get(spec.id),
-                    ", ".join(self.frames[spec.id].columns) if spec.id in self.frames else "",
-                    len(self.frames[spec.id].columns) if spec.id in self.frames else 0,
-                )
-                for position, spec in enumerate(self.specs.values())
-            ],
-            "position int, id string, label string, kind string, available boolean, "
-            "error string, columns string, n_columns int",
-        )
-        counts = None
-        for source, df in self.frames.items():
-            part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(source).alias("id"), "rows")
-            counts = part if counts is None else counts.unionByName(part)
-        if counts is None:
-            return declared.withColumn("rows", F.lit(0).cast("bigint"))
-        # Both sides hold one row per declared source.
-        return declared.join(counts, "id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        types = {
+            "id": "string", "position": "int", "label": "string", "kind": "string", "available": "boolean",
+            "error": "string", "columns": "string", "n_columns": "int", "rows": "bigint",
+        }
+        lines = []
+        for position, spec in enumerate(self.specs.values()):
+            df = self.frames.get(spec.id)
+            names = df.columns if df is not None else []
+            known = (
+                spec.id, position, spec.label, spec.kind, df is not None, self.errors.get(spec.id), ", ".join(names), len(names)
+            )
+            # Every source makes its own line: with one source, a join of counts to lines is a nested loop.
+            one = spark.range(0, 1, 1, 1).select(F.lit(0).alias("rows"))
+            counted = one if df is None else df.agg(F.count(F.lit(1)).alias("rows"))
+            values = [F.lit(v) for v in known] + [F.col("rows")]
+            lines.append(counted.select(*[v.cast(t).alias(n) for v, (n, t) in zip(values, types.items())]))
+        if not lines:
+            return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in types.items()))
+        return reduce(DataFrame.unionAll, lines)

@@ -96,6 +96,21 @@ def test_inventory_and_status(spark, tmp_path):
         sources.pick([])
 
 
+@pytest.mark.parametrize("given", [(), ("a",), ("a", "b"), ("b", "c", "a")])
+def test_inventory_has_a_line_per_source_without_a_join(spark, given):
+    declared = tuple(SourceSpec(n, n.upper(), "satisfaction", f"{n}.parquet") for n in ("a", "b", "c"))
+    frames = {n: spark.range(i + 1).withColumn("rows", F.lit("x")) for i, n in enumerate(given)}
+    found = SourceSet.of(declared, frames).inventory(spark)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == ["id", "position", "label", "kind", "available", "error", "columns", "n_columns", "rows"]
+    for i, (spec, r) in enumerate(zip(declared, found.collect(), strict=True)):
+        here = spec.id in given
+        assert (r.id, r.position, r.label, r.kind, r.available) == (spec.id, i, spec.label, "satisfaction", here)
+        assert r.rows == (given.index(spec.id) + 1 if here else 0) and r.n_columns == len(r.columns.split(", ")) * here
+        assert r.error == (None if here else f"Source indisponible: {spec.id}")
+    assert SourceSet.of((), {}).inventory(spark).count() == 0
+
+
 def test_records(spark):
     df = spark.createDataFrame([(2, None), (1, float("nan"))], "id int, v double").withColumn("d", F.lit("2024-01-05 10:00:00").cast("timestamp"))
     found = [json.loads(r.record) for r in to_records(df, 1, "id").collect()]
