@@ -7,27 +7,31 @@ Many questions are answered from postings. A join of rows and questions on words
 every pair that shares a common word. Instead:
 
 1. rows of one source with the same asked words score alike, so they are one group, which keeps
-   its ``k`` first keys; groups are numbered in key order, and the list of a word is cut into
-   buckets of these numbers;
+   its ``k`` first keys; groups are numbered in key order;
 2. a word's first ``k`` groups are scored for every question that holds the word; a question's
    ``k``-th best of them is its threshold: whatever ranks behind it can't be among the best;
 3. a group with ``t`` of a question's ``m`` words holds at least ``t - (m - p)`` of any ``p`` of
-   them, so only lists of the ``p`` rarest words are looked up, never those of the common ones, and
-   their count bounds a group's score; where a group could do no more than tie, only buckets up
-   to the threshold's own are looked up;
+   them, so lists of the ``p`` rarest words are looked up first, and their count bounds a group's
+   score; those of common words are only looked up to score what passes; a group that could do no more than tie counts only up to
+   the threshold's own place;
 4. only groups whose bound still beats the threshold are scored.
 
 The pairs of questions and groups that share a rare word grow with both, so they are never moved:
 the groups are dealt out once, blocks of questions go to where the groups are, and steps 3 and 4
-count, bound, score and cut to ``k`` a question there. Nothing is dropped that could be an answer.
+count, bound, score and cut to ``k`` a question there, over arrays of a batch of groups at a time:
+a line for each shared word, as a join makes it, takes hundreds of times longer. Nothing is dropped
+that could be an answer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.cast import present, ref
 from tallyframe.functions.text import query_words, value_text, words
@@ -100,34 +104,65 @@ def question_units(questions: DataFrame, question: str = "question", scope: str
 class Postings:
     """Rows as groups in key order, and where each word is found.
 
-    ``groups``: source, position, key, keys, words. ``lists``: source, word, position, bucket, where a
-    bucket holds the positions of one power of two. ``heads``: source, word, position of the first ``k``
+    ``groups``: source, position, key, keys, words. ``heads``: source, word, position of the first ``k``
     groups. ``sizes``: source, word, n.
     """
 
     groups: DataFrame
-    lists: DataFrame
     heads: DataFrame
     sizes: DataFrame
     k: int
 
 
-def _bucket(position: Column | str) -> Column:
-    return F.floor(F.log2((F.col(position) if isinstance(position, str) else position) + 1)).cast("int")
-
-
 def build_postings(narrow: DataFrame, asked: DataFrame, k: int = DEFAULT_K) -> Postings:
     """Postings of ``narrow`` (key, source, words) for the words in ``asked`` (source, word)."""
     placed = numbered(materialize(_alike(narrow, asked, k), "alike"), "source", "key")
     # One row per source.
     starts = measure(placed.groupBy("source").agg(F.min("position").alias("start")), ["source"])
     groups = attach(placed, starts).withColumn("position", F.col("position") - F.col("start")).drop("start", "group")
-    held = groups.select("source", "position", F.explode("words").alias("word"))
-    lists = materialize(held.withColumn("bucket", _bucket("position")), "postings")
-    first = Window.partitionBy("source", "word").orderBy("position")
-    heads = lists.withColumn("number", F.row_number().over(first)).filter(F.col("number") <= k)
-    sizes = lists.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
-    return Postings(groups, lists, heads.select("source", "word", "position"), sizes, k)
+    found = materialize(_word_counts(groups, k), "postings")
+    heads = found.select("source", "word", F.explode("heads").alias("position"))
+    return Postings(groups, heads, found.select("source", "word", "n"), k)
+
+
+def _word_counts(groups: DataFrame, k: int) -> DataFrame:
+    """(source, word, n, heads): how many groups hold a word, and the positions of the first ``k``.
+
+    A batch of groups is counted before anything is moved.
+    """
+    named = groups.select("source", "position", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of_source in _by_source(batch):
+                words, owner = _flat(of_source)
+                coded = words.dictionary_encode()
+                codes, places = coded.indices.to_numpy(), of_source.column(1).to_numpy()[owner]
+                order = np.lexsort((places, codes))
+                n = np.bincount(codes, minlength=len(coded.dictionary))
+                begins = np.cumsum(n) - n
+                first = order[np.arange(len(codes)) - np.repeat(begins, n) < k]
+                heads = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.minimum(n, k))).astype(np.int32), places[first])
+                source = of_source.column(0).take(pa.array(np.zeros(len(n), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([source, coded.dictionary, pa.array(n), heads], names=["source", "word", "n", "heads"])
+
+    schema = T.StructType([named.schema["source"], T.StructField("word", T.StringType())]).add("n", T.LongType()).add("heads", T.ArrayType(T.LongType()))
+    counted = named.mapInArrow(run, schema).groupBy("source", "word")
+    heads = F.slice(F.sort_array(F.flatten(F.collect_list("heads"))), 1, k)
+    return counted.agg(F.sum("n").alias("n"), heads.alias("heads"))
+
+
+def _by_source(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each source in a batch whose first column is the source; none without a word."""
+    batch = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
+    for source in pc.unique(batch.column(0).drop_null()):
+        yield batch.filter(pc.equal(batch.column(0), source))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows, and the row each of them stands in."""
+    lists = batch.column(2)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
 
 
 def seeds(asked: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
@@ -164,10 +199,15 @@ def candidates(asked: DataFrame, limits: DataFrame, index: Postings, extra: int
     ``asked`` holds, by question and source, each word's number from rare to common and how many there are.
     """
     known, blocks = _looked_up(asked, limits, extra)
-    near = _early(known, index)
-    for block in range(blocks):
-        near = near.union(_anywhere(known.filter(_block(blocks) == block), index))
-    return near
+    near = [_anywhere(known.filter(_block(blocks) == block), index).select(*_LINE) for block in range(blocks)]
+    return _union(near)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
 
 
 def _block(blocks: int) -> Column:
@@ -175,7 +215,7 @@ def _block(blocks: int) -> Column:
 
 
 def _looked_up(asked: DataFrame, limits: DataFrame, extra: int) -> tuple[DataFrame, int]:
-    """The words that are looked up, and the number of blocks that questions are dealt to.
+    """The words with ``rare`` for those that are looked up, and the number of blocks that questions are dealt to.
 
     A group beats the threshold if more than ``over`` of them are met, or just as many up to the position ``upto``.
     """
@@ -186,9 +226,10 @@ def _looked_up(asked: DataFrame, limits: DataFrame, extra: int) -> tuple[DataFra
     upto = F.when(earlier, F.lit(2**63 - 1)).when(same, F.col("at_position")).otherwise(F.lit(-1)).cast("bigint")
     # What was not looked up may be there, all of it.
     over = (F.col("least") - F.col("m") + F.col("looked")).cast("int")
-    named = known.filter(F.col("number") <= F.col("looked")).select(
+    # Where all words would be needed to tie, and no tie counts, there is nothing to find.
+    named = known.filter((spare > 0) | (upto >= 0)).select(
         "unit", "source", "place", "word", F.col("least").cast("int").alias("least"), over.alias("over"), upto.alias("upto"),
-        ((spare > 0) | earlier).alias("free"),
+        (F.col("number") <= F.col("looked")).alias("rare"),
     )
     total = asked.count()
     return materialize(named, "looked"), max(1, -(-total // BLOCK_WORDS))
@@ -197,46 +238,98 @@ def _looked_up(asked: DataFrame, limits: DataFrame, extra: int) -> tuple[DataFra
 _LINE = ("unit", "source", "place", "position", "least", "over", "upto")
 
 
-def _anywhere(known: DataFrame, index: Postings) -> DataFrame:
-    """Groups wherever they are, found where they are: one block of questions is sent to all groups, and the
-    lines of a group stay in its partition."""
-    dealt = _dealt(index).select("source", "position", F.explode("words").alias("word"))
+@dataclass(frozen=True)
+class _Asked:
+    """A block of questions to one source: ``words``, and by question a run of their numbers, rare ones first."""
+
+    words: pa.Array
+    numbers: np.ndarray
+    begins: np.ndarray
+    rare: np.ndarray
+    lines: dict[str, np.ndarray]
+
+
+def _asked(block: pa.Table) -> dict[object, _Asked]:
+    found = {}
+    for source in pc.unique(block["source"]):
+        rows = block.filter(pc.equal(block["source"], source))
+        rows = rows.sort_by([("unit", "ascending"), ("rare", "descending")]).combine_chunks()
+        word = rows["word"].combine_chunks().dictionary_encode()
+        unit = rows["unit"].to_numpy()
+        begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        rare = np.add.reduceat(rows["rare"].to_numpy().astype(np.int64), begins)
+        lines = {name: rows[name].to_numpy()[begins] for name in ("unit", "place", "least", "over", "upto")}
+        found[source.as_py()] = _Asked(word.dictionary, word.indices.to_numpy(), np.append(begins, len(unit)), rare, lines)
+    return found
+
+
+def _anywhere(known: DataFrame, index: Postings, k: int | None = None) -> DataFrame:
+    """Groups that pass the bound, wherever they are, found and scored where they are: one block of questions is
+    sent to all groups.
+
+    With ``k``, of each batch of groups only those ahead of the threshold, and the ``k`` best a question.
+    """
     # A block of questions, of bounded size.
-    block = F.broadcast(known.filter("free").drop("free"))
-    return _enough(dealt.join(block, ["source", "word"]))
+    shipped = known.sparkSession.sparkContext.broadcast(_asked(known.toArrow()))
+    dealt = _dealt(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of_source in _by_source(batch):
+                asked = shipped.value.get(of_source.column(0)[0].as_py())
+                if asked is not None:
+                    yield _met(of_source, asked, k)
+
+    types = {f.name: f for f in (*known.schema, *dealt.schema)}
+    return dealt.mapInArrow(run, T.StructType([types[name] for name in _LINE]).add("overlap", T.IntegerType()))
+
+
+def _met(batch: pa.RecordBatch, asked: _Asked, k: int | None) -> pa.RecordBatch:
+    """Lines of the groups of one source with the questions whose bound they pass, and their overlap."""
+    words, owner = _flat(batch)
+    codes = pc.fill_null(pc.index_in(words, value_set=asked.words), -1).to_numpy()
+    owner, codes = owner[codes >= 0], codes[codes >= 0]
+    holders = owner[np.argsort(codes, kind="stable")]
+    ends = np.cumsum(np.bincount(codes, minlength=len(asked.words)))
+    lists = [holders[i:j] for i, j in zip(np.append(0, ends[:-1]), ends)]
+    positions, n = batch.column(1).to_numpy(), batch.num_rows
+    of, near, overlaps = [], [], []
+    limits = zip(asked.begins[:-1].tolist(), asked.begins[1:].tolist(), asked.rare.tolist(), *(asked.lines[x].tolist() for x in ("least", "over", "upto")))
+    numbers = asked.numbers.tolist()
+    for question, (begin, end, rare, least, over, upto) in enumerate(limits):
+        looked = [lists[w] for w in numbers[begin : begin + rare]]
+        met = np.bincount(np.concatenate(looked), minlength=n)
+        found = np.flatnonzero(met >= over)
+        found = found[(met[found] > over) | (positions[found] <= upto)]
+        if not len(found):
+            continue
+        more = [lists[w] for w in numbers[begin + rare : end]]
+        overlap = met[found] + (np.bincount(np.concatenate(more), minlength=n)[found] if more else 0)
+        if k is not None:
+            ahead = (overlap > least) | ((overlap == least) & (positions[found] <= upto))
+            found, overlap = found[ahead], overlap[ahead]
+            best = np.lexsort((positions[found], -overlap))[:k]
+            found, overlap = found[best], overlap[best]
+        of.append(np.full(len(found), question))
+        near.append(found)
+        overlaps.append(overlap)
+    whole = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (of, near, overlaps)]
+    line = {name: pa.array(values[whole[0]]) for name, values in asked.lines.items()}
+    rows = pa.array(whole[1])
+    line |= {"source": batch.column(0).take(rows), "position": batch.column(1).take(rows), "overlap": pa.array(whole[2].astype(np.int32))}
+    names = [*_LINE, "overlap"]
+    return pa.RecordBatch.from_arrays([line[name] for name in names], names=names)
 
 
 def _dealt(index: Postings) -> DataFrame:
     return index.groups.select("source", "position", "words").repartition("source", "position")
 
 
-def _early(known: DataFrame, index: Postings) -> DataFrame:
-    """Groups that can only tie, looked up in the buckets up to the threshold's own."""
-    buckets = F.explode(F.sequence(F.lit(0), _bucket("upto"))).alias("bucket")
-    early = known.filter("NOT free AND upto >= 0").select(*known.columns, buckets)
-    return _enough(early.join(index.lists, ["source", "word", "bucket"]).filter("position <= upto"))
-
-
-def _enough(lines: DataFrame) -> DataFrame:
-    met = lines.groupBy(*_LINE).agg(F.count(F.lit(1)).cast("int").alias("met"))
-    return met.filter("met > over OR (met = over AND position <= upto)").select(*_LINE)
-
-
-def _ahead(scored: DataFrame) -> DataFrame:
-    return scored.filter("overlap > least OR (overlap = least AND position <= upto)")
-
-
-def _better(asked: DataFrame, limits: DataFrame, units: DataFrame, index: Postings, k: int, extra: int) -> DataFrame:
+def _better(asked: DataFrame, limits: DataFrame, index: Postings, k: int, extra: int) -> DataFrame:
     """The ``k`` best groups of each question among those ahead of its threshold, with their overlap."""
     known, blocks = _looked_up(asked, limits, extra)
-    found = _ahead(_scored(_early(known, index), units, index))
-    for block in range(blocks):
-        of = _block(blocks) == block
-        queries = F.broadcast(units.filter(of).select("unit", F.col("words").alias("query")))
-        near = _anywhere(known.filter(of), index).join(queries, "unit").join(_dealt(index), ["source", "position"])
-        overlap = F.size(F.array_intersect("words", "query"))
-        found = found.union(_ahead(near.withColumn("overlap", overlap).select(*found.columns)))
-    return _first(found, k, "unit").select("unit", "source", "place", "position", "overlap")
+    found = [_anywhere(known.filter(_block(blocks) == block), index, k) for block in range(blocks)]
+    return _first(_union(found), k, "unit").select("unit", "source", "place", "position", "overlap")
 
 
 def retrieve_many(
@@ -276,7 +369,7 @@ def retrieve_many(
     index = build_postings(narrow, wanted.select("source", "word").distinct(), k)
     asked = materialize(_by_rarity(wanted, index), "asked")
     scored = materialize(seeds(asked, units, index), "seeds")
-    more = materialize(_better(asked, thresholds(scored, k), units, index, k, extra), "better").select(*scored.columns)
+    more = materialize(_better(asked, thresholds(scored, k), index, k, extra), "better").select(*scored.columns)
     part = F.pmod(F.xxhash64("source", "position"), F.lit(buckets))
     every = scored.union(more).distinct().withColumn("part", part)
     best = _first(_first(every, k, "unit", "part"), k, "unit").drop("rank", "part")

@@ -114,3 +114,30 @@ def test_words_that_nobody_asks_are_not_moved(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_shared_word_is_no_row(spark, monkeypatch):
+    """Groups are counted, bounded and scored without a row for each word they share with a question."""
+    made = random.Random(11)
+    docs = [(s, i, t) for s in "ab" for i, t in enumerate(texts(150, 10, 12 + ord(s)) + ["word0 word1 word2"] * 12)]
+    made.shuffle(docs)
+    rows = spark.createDataFrame(docs, "source string, key long, text string").repartition(5)
+    asked = [(q, ["b", "a"]) for q in [*texts(20, 6, 13), "word0 word1 word2", "word399 absent"]]
+    questions = question_units(spark.createDataFrame(asked, "question string, scope array<string>"), scope="scope")
+    plans, anywhere = [], module._anywhere
+
+    def seen(*args):
+        lines = anywhere(*args)
+        plans.append(lines._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_COL")[0])
+        return lines
+
+    monkeypatch.setattr(module, "_anywhere", seen)
+    found = retrieve_many(rows, questions, "key", 4, text=F.col("text"), source="source", scope="scope")
+    assert plans and not any(made in plan for plan in plans for made in ("Join", "Generate", "HashAggregate"))
+    lists = {}
+    for r in questions.join(found, "unit").select("question", "rank", "source", "key", "overlap").distinct().orderBy("rank").collect():
+        lists.setdefault(r["question"], []).append((-r["overlap"], r["source"] == "a", r["key"]))
+    for question, _ in asked:
+        words = set(question.split())
+        scored = sorted((-len(words & set(t.split())), s == "a", i) for s, i, t in docs)
+        assert lists.get(question, []) == [line for line in scored[:4] if line[0]]
