@@ -12,15 +12,15 @@ every pair that shares a common word. Instead:
    ``k``-th best of them is its threshold: whatever ranks behind it can't be among the best;
 3. a group with ``t`` of a question's ``m`` words holds at least ``t - (m - p)`` of any ``p`` of
    them, so lists of the ``p`` rarest words are looked up first, and their count bounds a group's
-   score; those of common words are only looked up to score what passes; a group that could do no more than tie counts only up to
-   the threshold's own place;
+   score; those of common words are only looked up to score what passes; a group that could do
+   no more than tie counts only up to the threshold's own place;
 4. only groups whose bound still beats the threshold are scored.
 
 The pairs of questions and groups that share a rare word grow with both, so they are never moved:
 the groups are dealt out once, blocks of questions go to where the groups are, and steps 3 and 4
-count, bound, score and cut to ``k`` a question there, over arrays of a batch of groups at a time:
-a line for each shared word, as a join makes it, takes hundreds of times longer. Nothing is dropped
-that could be an answer.
+count, bound, score and cut to ``k`` a question there, over arrays of a batch of groups at a time,
+not as a line for each shared word. Asked words are numbered, so that groups hold numbers. Nothing
+is dropped that could be an answer.
 """
 
 from __future__ import annotations
@@ -104,29 +104,35 @@ def question_units(questions: DataFrame, question: str = "question", scope: str
 class Postings:
     """Rows as groups in key order, and where each word is found.
 
-    ``groups``: source, position, key, keys, words. ``heads``: source, word, position of the first ``k``
-    groups. ``sizes``: source, word, n.
+    ``groups``: source, position, key, keys, words (their numbers). ``sizes``: source, word, its number
+    ``code``, how many groups hold it ``n``, and the position ``last`` of its ``k``-th or else last group.
     """
 
     groups: DataFrame
-    heads: DataFrame
     sizes: DataFrame
     k: int
 
 
 def build_postings(narrow: DataFrame, asked: DataFrame, k: int = DEFAULT_K) -> Postings:
     """Postings of ``narrow`` (key, source, words) for the words in ``asked`` (source, word)."""
-    placed = numbered(materialize(_alike(narrow, asked, k), "alike"), "source", "key")
+    coded = _coded(asked)
+    placed = numbered(materialize(_alike(narrow, coded, k, "code"), "alike"), "source", "key")
     # One row per source.
     starts = measure(placed.groupBy("source").agg(F.min("position").alias("start")), ["source"])
     groups = attach(placed, starts).withColumn("position", F.col("position") - F.col("start")).drop("start", "group")
-    found = materialize(_word_counts(groups, k), "postings")
-    heads = found.select("source", "word", F.explode("heads").alias("position"))
-    return Postings(groups, heads, found.select("source", "word", "n"), k)
+    counts = materialize(_word_counts(groups, k), "postings")
+    return Postings(groups, coded.join(counts, ["source", "code"]), k)
+
+
+def _coded(asked: DataFrame) -> DataFrame:
+    """(source, word, code): the asked words, numbered."""
+    stored = materialize(asked.select("source", "word").distinct(), "asked-words")
+    placed = numbered(stored, "source", "word", name="code")
+    return materialize(placed.withColumn("code", F.col("code").cast("int")), "codes")
 
 
 def _word_counts(groups: DataFrame, k: int) -> DataFrame:
-    """(source, word, n, heads): how many groups hold a word, and the positions of the first ``k``.
+    """(source, code, n, last): how many groups hold a word, and the position of the ``k``-th, or else of the last.
 
     A batch of groups is counted before anything is moved.
     """
@@ -144,12 +150,13 @@ def _word_counts(groups: DataFrame, k: int) -> DataFrame:
                 first = order[np.arange(len(codes)) - np.repeat(begins, n) < k]
                 heads = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.minimum(n, k))).astype(np.int32), places[first])
                 source = of_source.column(0).take(pa.array(np.zeros(len(n), dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([source, coded.dictionary, pa.array(n), heads], names=["source", "word", "n", "heads"])
+                yield pa.RecordBatch.from_arrays([source, coded.dictionary, pa.array(n), heads], names=["source", "code", "n", "heads"])
 
-    schema = T.StructType([named.schema["source"], T.StructField("word", T.StringType())]).add("n", T.LongType()).add("heads", T.ArrayType(T.LongType()))
-    counted = named.mapInArrow(run, schema).groupBy("source", "word")
+    schema = T.StructType([named.schema["source"], T.StructField("code", T.IntegerType())])
+    schema = schema.add("n", T.LongType()).add("heads", T.ArrayType(T.LongType()))
+    counted = named.mapInArrow(run, schema).groupBy("source", "code")
     heads = F.slice(F.sort_array(F.flatten(F.collect_list("heads"))), 1, k)
-    return counted.agg(F.sum("n").alias("n"), heads.alias("heads"))
+    return counted.agg(F.sum("n").alias("n"), F.element_at(heads, -1).alias("last"))
 
 
 def _by_source(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -166,19 +173,43 @@ def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
 
 
 def seeds(asked: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
-    """The first groups of every asked word, scored for the questions that hold it."""
-    met = asked.join(index.heads, ["source", "word"]).select("unit", "source", "place", "position").distinct()
-    return _scored(met, units, index)
+    """The first groups of every asked word, scored for the questions that hold it.
 
+    ``asked`` holds all words of ``units`` that are found at all.
+    """
+    words = asked.join(units.select("unit"), "unit", "left_semi").select("unit", "source", "place", "code", "last")
+    blocks = _blocks(asked)
+    return _union([_seeded(words.filter(_block(blocks) == block), index) for block in range(blocks)])
 
-def _scored(met: DataFrame, units: DataFrame, index: Postings) -> DataFrame:
-    """The groups of each line and how many of their words the question asks.
 
-    The few words of a question go to the group, whose many words are thus moved once, not once per line.
-    """
-    queries = units.select("unit", F.col("words").alias("query"))
-    joined = met.join(queries, "unit").join(index.groups.select("source", "position", "words"), ["source", "position"])
-    return joined.withColumn("overlap", F.size(F.array_intersect("words", "query"))).drop("words", "query")
+def _seeded(words: DataFrame, index: Postings) -> DataFrame:
+    """Seeds of a block of questions, which is sent to all groups."""
+    shipped = words.sparkSession.sparkContext.broadcast(_asked(words.toArrow()))
+    groups = index.groups.select("source", "position", "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of_source in _by_source(batch):
+                asked = shipped.value.get(of_source.column(0)[0].as_py())
+                if asked is not None:
+                    yield _first_met(of_source, asked)
+
+    types = {f.name: f for f in (*words.schema, *groups.schema)}
+    return groups.mapInArrow(run, T.StructType([types[name] for name in _SEED]).add("overlap", T.IntegerType()))
+
+
+def _first_met(batch: pa.RecordBatch, asked: _Asked) -> pa.RecordBatch:
+    """Lines of the groups of one source that are among the first of a question's word, and their overlap."""
+    lists, positions = _lists(batch, asked), batch.column(1).to_numpy()
+    first = [held[positions[held] <= last] for held, last in zip(lists, asked.last.tolist())]
+    found = _Found()
+    numbers, begins = asked.numbers.tolist(), asked.begins.tolist()
+    for question, (begin, end) in enumerate(zip(begins[:-1], begins[1:])):
+        own = numbers[begin:end]
+        near = np.unique(np.concatenate([first[w] for w in own]))
+        if len(near):
+            found.add(question, near, np.bincount(np.concatenate([lists[w] for w in own]), minlength=len(positions))[near])
+    return found.lines(batch, asked, _SEED)
 
 
 def thresholds(scored: DataFrame, k: int) -> DataFrame:
@@ -228,41 +259,82 @@ def _looked_up(asked: DataFrame, limits: DataFrame, extra: int) -> tuple[DataFra
     over = (F.col("least") - F.col("m") + F.col("looked")).cast("int")
     # Where all words would be needed to tie, and no tie counts, there is nothing to find.
     named = known.filter((spare > 0) | (upto >= 0)).select(
-        "unit", "source", "place", "word", F.col("least").cast("int").alias("least"), over.alias("over"), upto.alias("upto"),
+        "unit", "source", "place", "code", F.col("least").cast("int").alias("least"), over.alias("over"), upto.alias("upto"),
         (F.col("number") <= F.col("looked")).alias("rare"),
     )
-    total = asked.count()
-    return materialize(named, "looked"), max(1, -(-total // BLOCK_WORDS))
+    return materialize(named, "looked"), _blocks(asked)
 
 
-_LINE = ("unit", "source", "place", "position", "least", "over", "upto")
+def _blocks(asked: DataFrame) -> int:
+    return max(1, -(-asked.count() // BLOCK_WORDS))
+
+
+_SEED = ("unit", "source", "place", "position")
+_LINE = (*_SEED, "least", "over", "upto")
 
 
 @dataclass(frozen=True)
 class _Asked:
-    """A block of questions to one source: ``words``, and by question a run of their numbers, rare ones first."""
+    """A block of questions to one source: its ``codes`` and what is known of each (``last``), and by question a run
+    of their places, rare ones first."""
 
-    words: pa.Array
+    codes: pa.Array
+    last: np.ndarray | None
     numbers: np.ndarray
     begins: np.ndarray
-    rare: np.ndarray
+    rare: np.ndarray | None
     lines: dict[str, np.ndarray]
 
 
 def _asked(block: pa.Table) -> dict[object, _Asked]:
     found = {}
+    names = block.column_names
     for source in pc.unique(block["source"]):
         rows = block.filter(pc.equal(block["source"], source))
-        rows = rows.sort_by([("unit", "ascending"), ("rare", "descending")]).combine_chunks()
-        word = rows["word"].combine_chunks().dictionary_encode()
+        order = [("unit", "ascending"), *[("rare", "descending")] * ("rare" in names)]
+        rows = rows.sort_by(order).combine_chunks()
+        code = rows["code"].combine_chunks().dictionary_encode()
+        numbers = code.indices.to_numpy()
         unit = rows["unit"].to_numpy()
         begins = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-        rare = np.add.reduceat(rows["rare"].to_numpy().astype(np.int64), begins)
-        lines = {name: rows[name].to_numpy()[begins] for name in ("unit", "place", "least", "over", "upto")}
-        found[source.as_py()] = _Asked(word.dictionary, word.indices.to_numpy(), np.append(begins, len(unit)), rare, lines)
+        rare = np.add.reduceat(rows["rare"].to_numpy().astype(np.int64), begins) if "rare" in names else None
+        last = rows["last"].to_numpy()[np.unique(numbers, return_index=True)[1]] if "last" in names else None
+        lines = {name: rows[name].to_numpy()[begins] for name in _LINE if name in names and name != "source"}
+        found[source.as_py()] = _Asked(code.dictionary, last, numbers, np.append(begins, len(unit)), rare, lines)
     return found
 
 
+def _lists(batch: pa.RecordBatch, asked: _Asked) -> list[np.ndarray]:
+    """For each asked word the rows of the batch that hold it."""
+    words, owner = _flat(batch)
+    places = pc.fill_null(pc.index_in(words, value_set=asked.codes), -1).to_numpy()
+    owner, places = owner[places >= 0], places[places >= 0]
+    holders = owner[np.argsort(places, kind="stable")]
+    ends = np.cumsum(np.bincount(places, minlength=len(asked.codes)))
+    return [holders[i:j] for i, j in zip(np.append(0, ends[:-1]), ends)]
+
+
+class _Found:
+    """Rows of a batch found for questions, and their overlap."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, question: int, rows: np.ndarray, overlap: np.ndarray) -> None:
+        self.parts.append((np.full(len(rows), question), rows, overlap))
+
+    def lines(self, batch: pa.RecordBatch, asked: _Asked, names: Sequence[str]) -> pa.RecordBatch:
+        question, near, overlap = (
+            np.concatenate([part[i] for part in self.parts]).astype(np.int64) if self.parts else np.zeros(0, np.int64) for i in range(3)
+        )
+        made = {name: pa.array(values[question]) for name, values in asked.lines.items()}
+        rows = pa.array(near)
+        made |= {"source": batch.column(0).take(rows), "position": batch.column(1).take(rows)}
+        made |= {"overlap": pa.array(overlap.astype(np.int32))}
+        names = [*names, "overlap"]
+        return pa.RecordBatch.from_arrays([made[name] for name in names], names=names)
+
+
 def _anywhere(known: DataFrame, index: Postings, k: int | None = None) -> DataFrame:
     """Groups that pass the bound, wherever they are, found and scored where they are: one block of questions is
     sent to all groups.
@@ -286,19 +358,12 @@ def _anywhere(known: DataFrame, index: Postings, k: int | None = None) -> DataFr
 
 def _met(batch: pa.RecordBatch, asked: _Asked, k: int | None) -> pa.RecordBatch:
     """Lines of the groups of one source with the questions whose bound they pass, and their overlap."""
-    words, owner = _flat(batch)
-    codes = pc.fill_null(pc.index_in(words, value_set=asked.words), -1).to_numpy()
-    owner, codes = owner[codes >= 0], codes[codes >= 0]
-    holders = owner[np.argsort(codes, kind="stable")]
-    ends = np.cumsum(np.bincount(codes, minlength=len(asked.words)))
-    lists = [holders[i:j] for i, j in zip(np.append(0, ends[:-1]), ends)]
-    positions, n = batch.column(1).to_numpy(), batch.num_rows
-    of, near, overlaps = [], [], []
-    limits = zip(asked.begins[:-1].tolist(), asked.begins[1:].tolist(), asked.rare.tolist(), *(asked.lines[x].tolist() for x in ("least", "over", "upto")))
+    lists, positions, n = _lists(batch, asked), batch.column(1).to_numpy(), batch.num_rows
+    lines = _Found()
+    limits = (asked.begins[:-1], asked.begins[1:], asked.rare, *(asked.lines[x] for x in ("least", "over", "upto")))
     numbers = asked.numbers.tolist()
-    for question, (begin, end, rare, least, over, upto) in enumerate(limits):
-        looked = [lists[w] for w in numbers[begin : begin + rare]]
-        met = np.bincount(np.concatenate(looked), minlength=n)
+    for question, (begin, end, rare, least, over, upto) in enumerate(zip(*(x.tolist() for x in limits))):
+        met = np.bincount(np.concatenate([lists[w] for w in numbers[begin : begin + rare]]), minlength=n)
         found = np.flatnonzero(met >= over)
         found = found[(met[found] > over) | (positions[found] <= upto)]
         if not len(found):
@@ -310,15 +375,8 @@ def _met(batch: pa.RecordBatch, asked: _Asked, k: int | None) -> pa.RecordBatch:
             found, overlap = found[ahead], overlap[ahead]
             best = np.lexsort((positions[found], -overlap))[:k]
             found, overlap = found[best], overlap[best]
-        of.append(np.full(len(found), question))
-        near.append(found)
-        overlaps.append(overlap)
-    whole = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (of, near, overlaps)]
-    line = {name: pa.array(values[whole[0]]) for name, values in asked.lines.items()}
-    rows = pa.array(whole[1])
-    line |= {"source": batch.column(0).take(rows), "position": batch.column(1).take(rows), "overlap": pa.array(whole[2].astype(np.int32))}
-    names = [*_LINE, "overlap"]
-    return pa.RecordBatch.from_arrays([line[name] for name in names], names=names)
+        lines.add(question, found, overlap)
+    return lines.lines(batch, asked, _LINE)
 
 
 def _dealt(index: Postings) -> DataFrame:
@@ -384,20 +442,23 @@ def _by_rarity(wanted: DataFrame, index: Postings) -> DataFrame:
     """The words of each question and source that are found at all, numbered from rare to common."""
     of = Window.partitionBy("unit", "source")
     return wanted.join(index.sizes, ["source", "word"]).select(
-        "unit", "source", "place", "word",
+        "unit", "source", "place", "word", "code", "last",
         F.row_number().over(of.orderBy("n", "word")).alias("number"), F.count(F.lit(1)).over(of).cast("int").alias("m"),
     )
 
 
-def _alike(narrow: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Rows grouped by source and asked words: the words, the first key and the first ``k`` keys of each group."""
+def _alike(narrow: DataFrame, asked: DataFrame, k: int, name: str = "word") -> DataFrame:
+    """Rows grouped by source and asked words: the words, the first key and the first ``k`` keys of each group.
+
+    Words stand as the column ``name`` of ``asked``, which holds each word of a source once.
+    """
     # Not ``explode``: the filter that comes with it would compute the words twice.
     single = narrow.select("source", "key", F.explode_outer("words").alias("word"))
     # So long as the asked words can be sent to the rows, no word of a row is moved but the asked ones.
-    wanted = measure(asked.select("source", "word"), ["source", "word"], row_bytes=WORD_BYTES)
-    held = attach(single, wanted, "left_semi").groupBy("source", "key")
-    sets = held.agg(F.array_sort(F.collect_set("word")).alias("words"))
-    sets = sets.withColumn("group", F.sha2(F.array_join("words", " "), 256))
+    named = asked.select(*dict.fromkeys(["source", "word", name]))
+    held = attach(single, measure(named, ["source", "word"], row_bytes=WORD_BYTES), "inner").groupBy("source", "key")
+    sets = held.agg(F.array_sort(F.collect_set(name)).alias("words"))
+    sets = sets.withColumn("group", F.sha2(F.array_join(F.col("words").cast("array<string>"), " "), 256))
     number = F.row_number().over(Window.partitionBy("source", "group").orderBy("key"))
     heads = sets.withColumn("number", number).filter(F.col("number") <= k)
     listed = heads.groupBy("source", "group").agg(
