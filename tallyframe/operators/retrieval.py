@@ -200,7 +200,8 @@ def _seeded(words: DataFrame, index: Postings) -> DataFrame:
 
 def _first_met(batch: pa.RecordBatch, asked: _Asked) -> pa.RecordBatch:
     """Lines of the groups of one source that are among the first of a question's word, and their overlap."""
-    lists, positions = _lists(batch, asked), batch.column(1).to_numpy()
+    lists, positions, n = _lists(batch, asked), batch.column(1).to_numpy(), batch.num_rows
+    common = _common(lists, n)
     first = [held[positions[held] <= last] for held, last in zip(lists, asked.last.tolist())]
     found = _Found()
     numbers, begins = asked.numbers.tolist(), asked.begins.tolist()
@@ -208,7 +209,7 @@ def _first_met(batch: pa.RecordBatch, asked: _Asked) -> pa.RecordBatch:
         own = numbers[begin:end]
         near = np.unique(np.concatenate([first[w] for w in own]))
         if len(near):
-            found.add(question, near, np.bincount(np.concatenate([lists[w] for w in own]), minlength=len(positions))[near])
+            found.add(question, near, _overlap(own, near, lists, common, n))
     return found.lines(batch, asked, _SEED)
 
 
@@ -314,6 +315,26 @@ def _lists(batch: pa.RecordBatch, asked: _Asked) -> list[np.ndarray]:
     return [holders[i:j] for i, j in zip(np.append(0, ends[:-1]), ends)]
 
 
+def _overlap(words: list[int], rows: np.ndarray, lists: list[np.ndarray], common: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """How many of ``words`` each of ``rows`` holds; lists of common words are not gone through for a few rows."""
+    total = np.zeros(len(rows), dtype=np.int64)
+    for word in words:
+        if word in common:
+            total += common[word][rows]
+    rest = [lists[word] for word in words if word not in common]
+    return total + np.bincount(np.concatenate(rest), minlength=n)[rows] if rest else total
+
+
+def _common(lists: list[np.ndarray], n: int) -> dict[int, np.ndarray]:
+    """For each word that more than one row in 16 holds, whether a row holds it."""
+    common = {}
+    for word, held in enumerate(lists):
+        if 16 * len(held) > n:
+            common[word] = np.zeros(n, dtype=bool)
+            common[word][held] = True
+    return common
+
+
 class _Found:
     """Rows of a batch found for questions, and their overlap."""
 
@@ -359,7 +380,7 @@ def _anywhere(known: DataFrame, index: Postings, k: int | None = None) -> DataFr
 def _met(batch: pa.RecordBatch, asked: _Asked, k: int | None) -> pa.RecordBatch:
     """Lines of the groups of one source with the questions whose bound they pass, and their overlap."""
     lists, positions, n = _lists(batch, asked), batch.column(1).to_numpy(), batch.num_rows
-    lines = _Found()
+    common, lines = _common(lists, n), _Found()
     limits = (asked.begins[:-1], asked.begins[1:], asked.rare, *(asked.lines[x] for x in ("least", "over", "upto")))
     numbers = asked.numbers.tolist()
     for question, (begin, end, rare, least, over, upto) in enumerate(zip(*(x.tolist() for x in limits))):
@@ -368,8 +389,7 @@ def _met(batch: pa.RecordBatch, asked: _Asked, k: int | None) -> pa.RecordBatch:
         found = found[(met[found] > over) | (positions[found] <= upto)]
         if not len(found):
             continue
-        more = [lists[w] for w in numbers[begin + rare : end]]
-        overlap = met[found] + (np.bincount(np.concatenate(more), minlength=n)[found] if more else 0)
+        overlap = met[found] + _overlap(numbers[begin + rare : end], found, lists, common, n)
         if k is not None:
             ahead = (overlap > least) | ((overlap == least) & (positions[found] <= upto))
             found, overlap = found[ahead], overlap[ahead]
